@@ -167,6 +167,8 @@ def links(distinct: DataFrame, radius: int = 4, block: int | None = None) -> Dat
         u, v = close_forest(data[0], data[1] if len(data) > 1 else None, radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
+    pairs = sum(r[2] - r[1] + 1 for r in reach)
+    sent = sent.repartition(min(pairs, 8192), "a", "b")
     return sent.groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
