@@ -100,7 +100,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
         F.min(F.when(whole, F.array_min("places"))).cast("long").alias("first_word"), F.max(F.when(whole, F.array_max("places"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(whole, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(whole | near, F.col("label")))), ",").alias("labels"),
-        F.coalesce(F.max(F.least(F.lit(1.0), F.col("grams_hit") / F.col("size"))), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.col("grams_hit") / F.col("size")), F.lit(0.0)).alias("score"),
     )
     out = out.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
