@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, license, simhash
+from . import decontam, license, linededup, packing, simhash
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -15,6 +17,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048, end_id=0)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
@@ -27,10 +33,34 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4, seed=42)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents"), run=2)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pack": op2_pack,
     "op5_decontaminate": op5_decontaminate,
     "op7_license_scan": op7_license_scan,
     "op9_simhash_components": op9_simhash_components,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": """
+        with l as (select doc_id, text, string_split(text, chr(10)) as w from documents where text is not null),
+        x as (select doc_id, unnest(range(1, len(w))) as a, w from l),
+        g as (select doc_id, a, w[a] || chr(10) || w[a + 1] as t from x),
+        f as (select *, row_number() over (partition by t order by doc_id, a) as k from g),
+        later as (select doc_id, a from f where k > 1),
+        gone as (select distinct doc_id, a from (select doc_id, a from later union all select doc_id, a + 1 from later)),
+        runs as (select doc_id, count(*) as n_removed, count(*) filter (where not exists
+            (select 1 from gone p where p.doc_id = gone.doc_id and p.a = gone.a - 1)) as n_runs from gone group by doc_id),
+        every as (select doc_id, unnest(range(1, len(w) + 1)) as a, w from l),
+        kept as (select every.doc_id, string_agg(w[every.a], chr(10) order by every.a) as t
+            from every left join gone on gone.doc_id = every.doc_id and gone.a = every.a where gone.a is null group by every.doc_id)
+        select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0) as n_lines, coalesce(n_removed, 0) as n_removed,
+            coalesce(n_runs, 0) as n_runs, case when d.text is not null then sha256(coalesce(kept.t, '')) end as kept_sha256
+        from documents d left join runs on runs.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
+    """,
+}
