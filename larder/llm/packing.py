@@ -8,8 +8,10 @@ about one bin partly filled, so the loss is that of one bin in some thousands at
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,43 +21,98 @@ from pyspark.sql import functions as F
 from .staging import stage
 
 _CACHE: dict = {}
+# Words of these letters, digits and signs fall into the pieces below whatever stands beside them: the vocabulary's own rule never joins letters
+# with digits or signs, but for an apostrophe, and its special tokens hold "<". Others are encoded whole.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_SIGNS = r"!-&(-/:;=-@\[-`{-~"
+_SIMPLE = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
+_PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+|\n")
+_WORD_END = "</w>"
+
+
+class _Lists:
+    """Numbered lists of ids in one growing array."""
+
+    def __init__(self):
+        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.n = self.used = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.size) < self.n + len(sizes):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        here = slice(self.n, self.n + len(sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[here], self.size[here] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used = self.n + len(sizes), self.used + len(ids)
+
+    def join(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these lists, one after another, and where each ends."""
+        sizes = self.size[which]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[which] - ends + sizes, sizes) + np.arange(total)], ends
 
 
 class _Words:
-    """Token ids of white-space separated words; the vocabulary used here drops white space, so a text's ids are its words' in order."""
+    """Token ids of white-space separated words; the vocabulary used here drops white space, so a text's ids are its words' in order.
 
-    LIMIT = 400_000
+    What is kept only saves work; it starts anew beyond LIMIT entries.
+    """
+
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self.clear_pieces()
+        self.clear_words()
 
-    def clear(self) -> None:
+    def clear_words(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.words = _Lists()
+
+    def clear_pieces(self) -> None:
+        self.pieces: dict[str, int] = {"\n": 0}
+        self.parts = _Lists()
+        self.parts.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = list(filter(_SIMPLE.fullmatch, new))
+        found = _PIECE.findall("\n".join([*plain, ""]).lower())
+        if len(self.pieces) > self.LIMIT:
+            self.clear_pieces()
+        if fresh := list(set(found).difference(self.pieces)):
+            # A piece is one word of the vocabulary's rule, so its last id, and no other, has the mark of a word's end.
+            lists = self._encoded([" ".join(fresh[k : k + 1000]) for k in range(0, len(fresh), 1000)])
+            ids = np.concatenate([np.array(x, np.uint32) for x in lists])
+            sizes = np.diff(np.nonzero(self.ends[ids])[0], prepend=-1)
+            self.pieces.update(zip(fresh, range(len(self.pieces), len(self.pieces) + len(fresh)), strict=True))
+            self.parts.add(ids, sizes)
+        codes = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        ids, ends = self.parts.join(codes)
+        self.words.add(ids, np.diff(ends[codes == 0], prepend=0))
+        odd = list(set(new).difference(plain)) if len(plain) < len(new) else []
+        if odd:
+            lists = self._encoded(odd)
+            self.words.add(np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+        self.known.update(zip(plain + odd, range(len(self.known), len(self.known) + len(new)), strict=True))
 
     def encode(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
         if len(self.known) > self.LIMIT:
-            self.clear()
-        known = self.known
-        new = list({w for words in texts for w in words if w not in known})
-        if new:
-            ids = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+            self.clear_words()
+        if new := list(set().union(*texts).difference(self.known)):
+            self._learn(new)
         for words in texts:
-            codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            sizes = self.size[codes]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.flat[np.repeat(self.start[codes] - ends + sizes, sizes) + np.arange(total)]
+            yield self.words.join(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))[0]
 
 
 def _tokenizer(path: str) -> _Words:
