@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, license, linededup, packing, sharding, simhash, toxicity, urlfilter
+from . import covertree, decontam, license, linededup, packing, sadedup, sharding, simhash, toxicity, urlfilter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -45,6 +45,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sadedup.remove_repeats(read(spark, sf_dir, "documents"), length=400)
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4, seed=42)
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_top_k": op6_top_k,
     "op7_license_scan": op7_license_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_components": op9_simhash_components,
     "op10_line_dedup": op10_line_dedup,
 }

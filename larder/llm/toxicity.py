@@ -16,29 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytehash import Spans, mix
 from .staging import stage
 
 BITS = 20
 STEMS = (4, 5, 6, 7, 8)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 to the 64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            step = np.full(n, base, np.uint64)
-            step[0] = 1
-            _POWERS[k] = np.cumprod(step)
-    return _POWERS[0], _POWERS[1]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(29))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
 
 
 def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -48,9 +31,7 @@ def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     is_word = np.concatenate([[False], _WORD[data], [False]])
     turn = np.diff(is_word.view(np.int8))
     start, end = np.nonzero(turn == 1)[0], np.nonzero(turn == -1)[0]
-    up, down = _powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    part = lambda a, b: _mix((sums[b] - sums[a]) * down[a])
+    part = Spans(data).at
     ends = np.cumsum([len(r) + 1 for r in raw])
     doc = np.searchsorted(ends, start, side="right")
     word = part(start, end)
@@ -60,9 +41,9 @@ def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
         out.append((doc[long], part(start[long], start[long] + n) + np.uint64(n)))
     for gap in (1, 2):
         same = doc[gap:] == doc[:-gap]
-        out.append((doc[gap:][same], _mix(word[:-gap][same] * np.uint64(3) + np.uint64(gap)) + word[gap:][same]))
+        out.append((doc[gap:][same], mix(word[:-gap][same] * np.uint64(3) + np.uint64(gap)) + word[gap:][same]))
     docs, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
-    return docs, (_mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
+    return docs, (mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Learner:
@@ -166,3 +147,13 @@ def toxicity(
     weights = fit(rows, **how) or {1 << BITS: 0.0}
     out = score(docs, weights, id_col, text_col)
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay. Rows equal in id and text are judged alike."""
+    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("x")))
+    learnt = sample(docs.where(~held_out(id_col)), labels.where(~held_out(id_col)), id_col, text_col, how.pop("label_col", "toxic"), how.pop("max_rows", 20_000))
+    weights = fit(learnt, **how) or {1 << BITS: 0.0}
+    scored = score(keyed, weights, "_key", text_col, to="_score")
+    bad = scored.where(F.col("_score") >= threshold).select(F.col("_key").alias("_bad")).distinct()
+    return keyed.join(bad, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").drop("_key")

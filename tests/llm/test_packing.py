@@ -11,8 +11,11 @@ from larder.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+CODER = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 0]
+    return [*CODER.encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def whole(rows, docs, limit=2048):
