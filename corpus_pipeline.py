@@ -1,11 +1,62 @@
-"""A filtering and packing pipeline over ``documents``, one corpus operator a stage."""
+"""A filtering and packing pipeline over ``documents``, one corpus operator a stage.
 
-STAGES = []
+Every stage but the last returns the columns of ``documents``; a stage works on all rows that the one before it kept, read again from Parquet.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larder.llm import decontam, linededup, packing, simhash, toxicity
+from larder.llm.queries import TOKENIZER, read
+from larder.llm.staging import stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text scores below 0.5; learnt from the labelled ones among them that aren't held out."""
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of two or more lines go from the texts; a document that loses all its lines goes. ``n_chars`` follows the text."""
+    out = linededup.dedup_lines(docs, run=2).where("n_removed = 0 or text <> ''")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by ``benchmark``."""
+    return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), limit=2048, end_id=0)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", dedup_near),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
+
+#: The learnt classifier can't be expressed in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs, name.replace(" ", "-"))
     return docs
