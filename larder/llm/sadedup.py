@@ -27,7 +27,8 @@ from .staging import stage
 
 GRAM, PHRASE_GRAM, PHRASE_WINDOW, SHARDS = 96, 16, 64, 4
 CHUNK = 1 << 20
-TASK_BYTES = 12 << 20
+TASK_BYTES = 8 << 20
+PIECE = 1 << 20
 
 
 def depth(length: int) -> int:
@@ -111,16 +112,28 @@ def merge(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.nda
     return source, interval
 
 
+def _pieces(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of segments of about PIECE bytes: what is worked out byte by byte is held for one piece at a time."""
+    lo = 0
+    while lo < len(starts) - 1:
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + PIECE, side="right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def candidates(data: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
     """True for the segments [starts[k], starts[k + 1]) that share ``rounds`` phrases with another place."""
     n = len(starts) - 1
-    spans = Spans(data)
-    cut = minimizers(spans.rolling(PHRASE_GRAM), PHRASE_WINDOW)
-    owner = np.searchsorted(starts, cut, side="right") - 1
-    a, b = cut[:-1], cut[1:]
-    same = owner[:-1] == owner[1:]
-    owner, phrases = owner[:-1][same], spans.at(a[same], b[same])
-    _, symbols = np.unique(phrases, return_inverse=True)
+    owners, phrases = [], []
+    for lo, hi in _pieces(starts):
+        spans = Spans(data[starts[lo] : starts[hi]])
+        cut = minimizers(spans.rolling(PHRASE_GRAM), PHRASE_WINDOW)
+        own = np.searchsorted(starts[lo:hi] - starts[lo], cut, side="right") - 1 + lo
+        same = own[:-1] == own[1:]
+        owners.append(own[:-1][same])
+        phrases.append(spans.at(cut[:-1][same], cut[1:][same]))
+    owner = np.concatenate(owners)
+    _, symbols = np.unique(np.concatenate(phrases), return_inverse=True)
     found = np.zeros(n, bool)
     bounds = np.linspace(0, n, SHARDS + 1).astype(np.int64)
     suffixes, transforms, segments = [], [], []
@@ -139,64 +152,72 @@ def candidates(data: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
     return found
 
 
+def _windows(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, hit: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in data, hash) of the strings of ``length`` bytes within the segments that were hit; equal only within a group."""
+    at, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for lo, hi in _pieces(starts):
+        own = np.nonzero(hit[lo:hi])[0] + lo
+        if len(own) == 0:
+            continue
+        hashes = Spans(data[starts[lo] : starts[hi]]).rolling(length)
+        count = starts[own + 1] - starts[own] - length + 1
+        of = np.repeat(own, count)
+        here = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + starts[of]
+        at.append(here)
+        keys.append(hashes[here - starts[lo]] ^ (groups[of].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return np.concatenate(at), np.concatenate(keys)
+
+
 def repeats(groups: np.ndarray, texts: np.ndarray, places: np.ndarray, segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first byte, end) of the runs of strings of ``length`` bytes that start in another place too, within a group.
 
     A segment is ``segments[k]``, from byte places[k] of text number texts[k]; segments may overlap.
     """
     none = np.zeros(0, np.int64)
-    long = np.array([len(s) >= length for s in segments], bool)
-    keep = np.nonzero(long)[0]
+    keep = np.nonzero([len(s) >= length for s in segments])[0]
     if len(keep) < 2:
         return none, none, none
     segments = [segments[k] for k in keep]
     starts = np.concatenate([[0], np.cumsum([len(s) for s in segments])])
     raw = b"".join(segments)
     data = np.frombuffer(raw, np.uint8)
-    hit = np.nonzero(candidates(data, starts, depth(length)))[0]
-    if len(hit) == 0:
-        return none, none, none
-    count = (np.diff(starts) - length + 1)[hit]
-    which = np.repeat(hit, count)
-    within = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    at = starts[which] + within
-    spans = Spans(data)
-    key = spans.at(at, at + length) ^ (groups[keep][which].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at, key = _windows(data, starts, groups[keep], candidates(data, starts, depth(length)), length)
     order = np.argsort(key)
-    equal = key[order][1:] == key[order][:-1]
-    order = order[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])]
-    where = (texts[keep][which[order]] << 40) + places[keep][which[order]] + within[order]
-    by = np.lexsort((where, key[order]))
-    order, where = order[by], where[by]
-    if len(order) == 0:
+    ranked = key[order]
+    equal = ranked[1:] == ranked[:-1]
+    order = order[np.concatenate([[False], equal]) | np.concatenate([equal, [False]])] if len(order) else order
+    at, key = at[order], key[order]
+    if len(at) == 0:
         return none, none, none
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    which = np.searchsorted(starts, at, side="right") - 1
+    where = (texts[keep][which] << 40) + places[keep][which] + at - starts[which]
+    by = np.lexsort((where, key))
+    at, key, where = at[by], key[by], where[by]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
     first = np.nonzero(new)[0]
     run = np.cumsum(new) - 1
-    last = np.concatenate([first[1:], [len(order)]]) - 1
+    last = np.concatenate([first[1:], [len(at)]]) - 1
     twice = where[first[run]] != where[last[run]]
-    other = order[np.where(where == where[first[run]], last[run], first[run])]
-    order, other = order[twice], other[twice]
-    by = np.argsort(order)
-    order, other = order[by], other[by]
+    shift = (at[np.where(where == where[first[run]], last[run], first[run])] - at)[twice]
+    at = at[twice]
+    by = np.argsort(at)
+    at, shift = at[by], shift[by]
     # Byte check, a run of neighbours with one shift at a time.
-    shift = at[other] - at[order]
-    cut = np.nonzero((np.diff(at[order]) != 1) | (np.diff(shift) != 0))[0] + 1
-    good = np.ones(len(order), bool)
+    cut = np.nonzero((np.diff(at) != 1) | (np.diff(shift) != 0))[0] + 1
+    good = np.ones(len(at), bool)
     view = memoryview(raw)
-    for x, y in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(order)]]).tolist(), strict=True):
+    for x, y in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(at)]]).tolist(), strict=True):
         if x < y:
-            a, b = int(at[order[x]]), int(at[order[y - 1]]) + length
-            s = int(shift[x])
+            a, b, s = int(at[x]), int(at[y - 1]) + length, int(shift[x])
             if view[a:b] != view[a + s : b + s]:
                 good[x:y] = [view[p : p + length] == view[p + s : p + s + length] for p in range(a, b - length + 1)]
-    order = order[good]
-    if len(order) == 0:
+    at = at[good]
+    if len(at) == 0:
         return none, none, none
-    cut = np.nonzero(np.diff(at[order]) != 1)[0] + 1
-    x, y = order[np.concatenate([[0], cut])], order[np.concatenate([cut - 1, [len(order) - 1]])]
-    seg = keep[which[x]]
-    return seg, places[seg] + within[x], places[seg] + within[y] + length
+    cut = np.nonzero(np.diff(at) != 1)[0] + 1
+    x, y = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
+    seg = np.searchsorted(starts, x, side="right") - 1
+    return keep[seg], places[keep[seg]] + x - starts[seg], places[keep[seg]] + y - starts[seg] + length
 
 
 def _text_key(text: Column) -> Column:
