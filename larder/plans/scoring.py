@@ -45,9 +45,9 @@ def totals(items: DataFrame, foods: DataFrame, nutrients: Sequence[str], by: Seq
     return items.join(foods.select("food_id", *map(q, nutrients)), "food_id").groupBy(*by).agg(*sums)
 
 
-def daily_average(items: DataFrame, foods: DataFrame, nutrients: Sequence[str], days: int) -> DataFrame:
+def daily_average(items: DataFrame, foods: DataFrame, nutrients: Sequence[str], days: int, digits: int = 2) -> DataFrame:
     week = totals(items, foods, nutrients, ["plan_id"])
-    return week.select("plan_id", *(F.round(q(n) / days, 2).alias(n) for n in nutrients))
+    return week.select("plan_id", *(F.round(q(n) / days, digits).alias(n) for n in nutrients))
 
 
 def shopping_list(items: DataFrame, foods: DataFrame) -> DataFrame:

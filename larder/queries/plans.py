@@ -121,13 +121,13 @@ def _status(n: str, low: float | None, high: float | None, slack: float) -> str:
     return f"select plan_id, '{n}' as nutrient, \"{n}\" as actual, case when {under} then 'below_min' when {over} then 'above_max' else 'in_range' end as status, {error} as error from daily"
 
 
-DAILY = f"daily as (select plan_id, {', '.join(f'round(\"{n}\" / 7, 2) as \"{n}\"' for n in NUTRIENTS)} from (select plan_id, {SUMS} from items join menu using (food_id) group by plan_id))"
+DAILY = f"daily as (select plan_id, {', '.join(f'round(\"{n}\" / 7, 4) as \"{n}\"' for n in NUTRIENTS)} from (select plan_id, {SUMS} from items join menu using (food_id) group by plan_id))"
 GOALS = {"calories": (KCAL * 0.95, KCAL * 1.05, 0.0)} | {n: (*b, 0.2) for n, b in TARGETS.items()}
 
 
 @query(" union all ".join(_status(n, *g) for n, g in GOALS.items()), f"{MENU}, {DAILY}")
 def plan_compliance(t):
-    daily = scoring.daily_average(t.items, menu(t), NUTRIENTS, DAYS)
+    daily = scoring.daily_average(t.items, menu(t), NUTRIENTS, DAYS, 4)
     bound = lambda x: F.lit(None if x is None else float(x)).cast("double")
     each = F.array(*(F.struct(F.lit(n).alias("nutrient"), F.col(f"`{n}`").alias("actual"), bound(lo).alias("lo"), bound(hi).alias("hi"), F.lit(s).alias("slack")) for n, (lo, hi, s) in GOALS.items()))
     long = daily.select("plan_id", F.inline(each))
