@@ -24,6 +24,6 @@ def same(spark, query, sql, sf_dir):
     rows = sorted((tuple(norm(r[k]) for k in at) for r in want.fetchall()), key=str)
     got = sorted((tuple(norm(r[n]) for n in names) for r in found.collect()), key=str)
     for a, b in zip(got, rows, strict=False):
-        assert a == b, names
+        assert a == b, (names, a, b)
     assert len(got) == len(rows)
     return len(got)
