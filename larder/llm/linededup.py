@@ -32,7 +32,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2) -> DataFrame:
-    """(id, text_hash, starts): for every text with later repeats, the sorted starts of the windows of ``run`` lines that occurred before."""
+    """(id, text_hash, starts, foreign): for every text with later repeats, the sorted starts of the windows of ``run`` lines that occurred before, and of those that first did in another text."""
     windows = _windows(df, id_col, text_col, run)
     place = lambda at: F.struct(F.col("id").isNull().alias("n"), "id", "text_hash", F.col(at).alias("at"))
     ends = lambda at: (F.min(place(at)).alias("first"), F.max(place(at)).alias("last"))
@@ -42,22 +42,23 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The windows about a fingerprint are its extensions both ways; a first place for each text of a window.
     again = held.groupBy("w1", "w2").agg(*ends("at")).where("first <> last").select("w1", "w2", "first")
     later = held.join(again, ["w1", "w2"]).where(place("at") != F.col("first"))
-    return later.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("starts"))
+    other = ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_hash") == F.col("text_hash")))
+    return later.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("starts"), F.array_sort(F.collect_set(F.when(other, F.col("at")))).alias("foreign"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2) -> DataFrame:
-    """``df`` with later repeated runs of ``run`` or more lines deleted from the text, plus n_lines, n_removed and n_runs.
+    """``df`` with later repeated runs of ``run`` or more lines deleted from the text, plus n_lines, n_removed, n_runs and n_foreign (removed lines that another text had first).
 
     Lines are split at line feeds. Order is by id (null last), text hash and line. Rows equal in id and text are one text and get the same
     result; a null text stays null with no lines; an empty text is one empty line. A text of which all lines go becomes empty. Other columns stay.
     """
-    lists = repeated_runs(df, id_col, text_col, run).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "starts")
+    lists = repeated_runs(df, id_col, text_col, run).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "starts", "foreign")
     keyed = df.withColumn("_own", F.xxhash64(text_col))
     out = keyed.join(lists, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     lines = F.split(F.col(text_col), "\n")
     none = F.array().cast("array<int>")
-    gone = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", none), lambda a: F.transform(F.sequence(F.lit(0), F.lit(run - 1)), lambda k: a + k))))
-    out = fixed(out, _lines=lines, _gone=gone)
+    covered = lambda starts: F.array_distinct(F.flatten(F.transform(F.coalesce(starts, none), lambda a: F.transform(F.sequence(F.lit(0), F.lit(run - 1)), lambda k: a + k))))
+    out = fixed(out, _lines=lines, _gone=covered("starts"), _other=covered("foreign"))
     start = F.struct(F.lit(0).alias("next"), F.lit(None).cast("int").alias("last"), F.lit(0).alias("runs"))
 
     def count(acc: Column, x: Column) -> Column:
@@ -67,7 +68,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     kept = F.array_join(F.transform(F.array_except(places(F.size("_lines")), F.col("_gone")), lambda k: F.get("_lines", k)), "\n")
     text = F.when(F.size("_gone") > 0, kept).otherwise(F.col(text_col))
     runs = F.aggregate(F.array_sort("_gone"), start, count)["runs"]
-    made = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_removed": F.size("_gone").cast("long"), "n_runs": runs.cast("long")}
+    made = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_removed": F.size("_gone").cast("long"), "n_runs": runs.cast("long"), "n_foreign": F.size("_other").cast("long")}
     made["n_lines"] = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(made["n_lines"])
     held = [c for c in df.columns if c not in made]
     return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in held), *(c.alias(n) for n, c in made.items()))

@@ -10,6 +10,7 @@ fingerprints costs k rows; the components of all forests together are the compon
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bytehash import mix
 from .components import connected_components
 from .staging import stage
 
@@ -25,38 +27,48 @@ TILE = 512
 PARTS = 4
 
 
-def text_fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The unsigned 64-bit SimHash of one text; 0 where there are no words."""
+#: Odd factors that derive further hashes from a shingle's.
+_FACTORS = [1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+
+
+def text_fingerprint(text: bytes, shingle: int = 4, seed: int = 42, words: int = 1) -> list[int]:
+    """The SimHash of one text, as unsigned 64-bit words; the first one's bits are those of the shingles' hashes, further ones' of mixed hashes. Zeros where there are no words."""
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
+    tokens = text.lower().split()
+    if not tokens:
+        return [0] * words
+    joined = b" ".join(tokens)
+    ends = list(accumulate(len(w) + 1 for w in tokens))
     starts = [0, *ends]
-    last = max(1, len(words) - shingle + 1)
-    spans = zip(starts[:last], ends[min(shingle, len(words)) - 1 :], strict=True)
+    last = max(1, len(tokens) - shingle + 1)
+    spans = zip(starts[:last], ends[min(shingle, len(tokens)) - 1 :], strict=True)
     hashes = np.fromiter((xxh64_intdigest(joined[a : b - 1], seed) for a, b in spans), np.uint64, last)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, last, 65536):
-        bits = np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > last, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp long): a null text is a text without words."""
+    out = []
+    for k in range(words):
+        own = mix(hashes * np.uint64(_FACTORS[k])) if k else hashes
+        votes = np.zeros(64, np.int64)
+        for at in range(0, last, 65536):
+            bits = np.unpackbits(own[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes += bits.sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(votes * 2 > last, bitorder="little").view("<u8")[0]))
+    return out
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, words: int = 1) -> DataFrame:
+    """(id, fp long, more array<long>): ``words`` words of 64 bits, all but the first in ``more``; a null text is a text without words."""
     kind = df.schema[id_col].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
-            fps = np.fromiter((text_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = [text_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed, words) for t in texts]
+            made = np.array(fps, np.uint64).reshape(-1, words).view(np.int64)
+            more = pa.array(list(made[:, 1:]), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(made[:, 0])), more], ["id", "fp", "more"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"id {kind.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(work, f"id {kind.simpleString()}, fp long, more array<long>").withColumnRenamed("id", id_col)
 
 
 def part_counts(fps: np.ndarray) -> np.ndarray:
@@ -79,30 +91,47 @@ def spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return lab
 
 
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Fingerprints (rows of words) by population counts of the first word and its parts."""
+    return x[np.lexsort([x[:, 0], *part_counts(x[:, 0])[::-1], np.bitwise_count(x[:, 0])])]
+
+
+def _boxes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest counts of each tile: those of the first word's parts, and each further word's."""
+    counts = np.concatenate([part_counts(x[:, 0]), np.bitwise_count(x[:, 1:]).astype(np.int16).T])
+    at = np.arange(0, len(x), TILE)
+    return np.minimum.reduceat(counts, at, axis=1), np.maximum.reduceat(counts, at, axis=1)
+
+
+def _close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a tile pair within the radius; further words only for pairs that the first two leave."""
+    near = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0])
+    if left.shape[1] > 1:
+        near = near + np.bitwise_count(left[:, None, 1] ^ right[None, :, 1])
+    x, y = np.nonzero(near <= radius)
+    if left.shape[1] > 2 and len(x):
+        keep = np.bitwise_count(left[x] ^ right[y]).sum(axis=1, dtype=np.int64) <= radius
+        x, y = x[keep], y[keep]
+    return x, y
+
+
 def close_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within the radius, of a with b or of a with itself."""
+    """A spanning forest of the pairs within the radius, of a with b or of a with itself, by first words. Fingerprints are words, or rows of words."""
     own = b is None
-    both = a if own else np.concatenate([a, b])
-    order = lambda x: x[np.lexsort([x, *part_counts(x)[::-1], np.bitwise_count(x)])]
-    a, b = order(a), (None if own else order(b))
-    b = a if own else b
+    a = _ordered(a.reshape(len(a), -1))
+    b = a if own else _ordered(b.reshape(len(b), -1))
     both = a if own else np.concatenate([a, b])
     shift = 0 if own else len(a)
-
-    def boxes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts, at = part_counts(x), np.arange(0, len(x), TILE)
-        return np.minimum.reduceat(counts, at, axis=1), np.maximum.reduceat(counts, at, axis=1)
-
-    (lo_a, hi_a), (lo_b, hi_b) = boxes(a), boxes(b)
+    (lo_a, hi_a), (lo_b, hi_b) = _boxes(a), _boxes(b)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     lab, held = np.arange(len(both)), 0
     for i in range(lo_a.shape[1]):
         gap = np.maximum(0, np.maximum(lo_b - hi_a[:, i : i + 1], lo_a[:, i : i + 1] - hi_b)).sum(axis=0)
-        left = a[i * TILE : (i + 1) * TILE, None]
+        left = a[i * TILE : (i + 1) * TILE]
         for j in np.nonzero(gap <= radius)[0]:
             if own and j < i:
                 continue
-            x, y = np.nonzero(np.bitwise_count(left ^ b[None, j * TILE : (j + 1) * TILE]) <= radius)
+            x, y = _close(left, b[j * TILE : (j + 1) * TILE], radius)
             x, y = x + i * TILE, y + j * TILE + shift
             keep = lab[x] != lab[y]
             if keep.any():
@@ -112,7 +141,7 @@ def close_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.n
             lab, found, held = _merge(lab, found), [], 0
     lab = _merge(lab, found)
     inner = np.nonzero(lab != np.arange(len(both)))[0]
-    return both[inner], both[lab[inner]]
+    return both[inner, 0], both[lab[inner], 0]
 
 
 def _merge(lab: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -122,8 +151,8 @@ def _merge(lab: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return spanning(lab[u], lab[v], len(lab))[lab]
 
 
-def links(distinct: DataFrame, radius: int = 4, block: int | None = None) -> DataFrame:
-    """``distinct``: (fp long), each once. Returns a set of links (u, v) within the radius that connects all that are linked.
+def links(distinct: DataFrame, radius: int = 4, block: int | None = None, words: int = 1) -> DataFrame:
+    """``distinct``: (fp long, more array<long>), each fp once. Returns a set of links (u, v) within the radius that connects all that are linked.
 
     ``block``: fingerprints a block; by default a twelfth of them, between 4,096 and 131,072, so a task holds 2 MB of
     them at most and a fingerprint is sent to (number of blocks) tasks.
@@ -138,18 +167,17 @@ def links(distinct: DataFrame, radius: int = 4, block: int | None = None) -> Dat
         return F.bit_count(F.shiftrightunsigned("fp", part * k).bitwiseAND(F.lit((1 << part) - 1)))
 
     keyed = distinct.withColumn("pop", F.bit_count("fp"))
-    dealt = keyed.repartitionByRange(max(1, -(-n // size)), "pop", *(count(k) for k in range(PARTS)), "fp").select("fp")
+    dealt = keyed.repartitionByRange(max(1, -(-n // size)), "pop", *(count(k) for k in range(PARTS)), "fp").select("fp", "more")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         here = TaskContext.get().partitionId()
-        got = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
-        fps = np.sort(np.concatenate(got).view(np.uint64)) if got else np.zeros(0, np.uint64)
-        fps = fps[np.lexsort([fps, np.bitwise_count(fps)])]
+        got = [np.column_stack([b.column(0).to_numpy(zero_copy_only=False), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, words - 1)]) for b in batches if b.num_rows]
+        fps = _ordered(np.concatenate(got).view(np.uint64)) if got else np.zeros((0, words), np.uint64)
         for k, at in enumerate(range(0, len(fps), 2 * size)):
             own = fps[at : at + 2 * size]
-            pops = np.bitwise_count(own)
+            pops = np.bitwise_count(own[:, 0])
             row = [here * 100000 + k, int(pops.min()), int(pops.max()), own.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row[:3]] + [pa.array([row[3]], pa.binary())], ["block", "low", "high", "data"])
 
@@ -163,27 +191,28 @@ def links(distinct: DataFrame, radius: int = 4, block: int | None = None) -> Dat
     sent = sent.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b"), "k", "data")
 
     def compare(table: pa.Table) -> pa.Table:
-        data = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
+        data = [np.frombuffer(x, np.uint64).reshape(-1, words) for x in table.column("data").to_pylist()]
         u, v = close_forest(data[0], data[1] if len(data) > 1 else None, radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     pairs = sum(r[2] - r[1] + 1 for r in reach)
-    sent = sent.repartition(min(pairs, 8192), "a", "b")
+    sent = sent.repartition(min(max(pairs, 1), 8192), "a", "b")
     return sent.groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42, block: int | None = None
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42, block: int | None = None, words: int = 1
 ) -> DataFrame:
     """(id, fingerprint, component_id): one row a row of ``df``.
 
     ``component_id`` is the smallest id that is reachable over links of at most ``radius`` differing bits, the row's own included. Null or
     wordless texts have fingerprint zero, which is linked like any other. Rows with equal ids stay separate rows; a null id is never
     the smallest unless a group has no other. An empty table gives no rows. Other columns of ``df`` are ignored.
+    ``words``: 64-bit words a fingerprint has; the radius is over all of them. The first word names a fingerprint: texts equal in it are linked.
     """
-    marked = stage(fingerprints(df, id_col, text_col, shingle, seed), "simhash")
-    groups = marked.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = connected_components(links(groups.select("fp"), radius, block))
+    marked = stage(fingerprints(df, id_col, text_col, shingle, seed, words), "simhash")
+    groups = marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("more").alias("more"))
+    roots = connected_components(links(groups.select("fp", "more"), radius, block, words))
     named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.select("fp", "root").join(least, "root").select("fp", "component_id")
@@ -191,14 +220,21 @@ def near_duplicates(
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def radius_for(similarity: float, words: int) -> int:
+    """Differing bits to expect of two texts whose shingle sets have this Jaccard similarity, plus half a standard deviation."""
+    j = 2 * similarity / (1 + similarity)  # cosine of two sets of equal size
+    share, bits = math.acos(j) / math.pi, 64 * words
+    return round(share * bits + 0.5 * math.sqrt(bits * share * (1 - share)))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, **how) -> DataFrame:
     """``df`` without the rows that are not the first of their near-duplicate group; all columns stay.
 
-    The first is the row of the smallest id (a null id comes last), then of the smallest text hash; of rows
-    that are equal in both, one stays.
+    Texts are linked if fingerprints of 256 bits over shingles of five words put their similarity at 0.8 or more. The first is the row of the smallest id (a null id comes
+    last), then of the smallest text hash; of rows that are equal in both, one stays. All wordless texts are one group.
     """
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("x"))
     keyed = df.withColumn("_key", key)
-    classes = near_duplicates(keyed.select("_key", F.col(text_col).alias("_text")), "_key", "_text", **how)
+    classes = near_duplicates(keyed.select("_key", F.col(text_col).alias("_text")), "_key", "_text", shingle, radius_for(similarity, words), words=words, **how)
     first = classes.where("_key <=> component_id").select("_key").distinct()
     return keyed.join(first, keyed["_key"].eqNullSafe(first["_key"]), "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -30,7 +30,7 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, 1, "w", 0) for r in rows], "doc_id long, text string, at int, mark string, id int")
     for run in (2, 3):
         out = linededup.dedup_lines(df, run=run)
-        assert out.columns == [*df.columns, "n_lines", "n_removed", "n_runs"]
+        assert out.columns == [*df.columns, "n_lines", "n_removed", "n_runs", "n_foreign"]
         assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == brute(rows, run)
 
 

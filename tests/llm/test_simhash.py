@@ -50,11 +50,37 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (5, "one TWO"), (None, "x y z"), (None, "x y z"), (7, "w " * 50000), (8, "é b c d e")]
     df = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, fp string, component_id int")
     assert got(simhash.near_duplicates(df)) == brute(rows)
-    kept = simhash.keep_one(df)
+    kept = simhash.keep_one(df, shingle=4)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 4, 7, 8]
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_keeps_one_of_similar_texts(spark):
+    rng = np.random.default_rng(4)
+    rows, groups = [], []
+    for g in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append((len(rows), " ".join(words)))
+        groups.append([len(rows) - 1])
+        for _ in range(g % 4):
+            near = list(words)
+            for k in rng.integers(0, 300, 3):
+                near[k] = f"v{rng.integers(1000)}"
+            rows.append((len(rows), " ".join(near)))
+            groups[-1].append(len(rows) - 1)
+        half = words[:150] + [f"u{x}" for x in rng.integers(0, 5000, 150)]
+        rows.append((len(rows), " ".join(half)))
+        groups.append([len(rows) - 1])
+    assert all(jaccard(rows[g[0]][1], rows[i][1]) >= 0.85 for g in groups for i in g)
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [g[0] for g in groups]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).collect() == []
