@@ -120,3 +120,22 @@ def pack_sizes(name: Column | str, category: Column | str, table: dict[str, list
     text = F.lower(F.concat_ws(" ", F.coalesce(col(name), F.lit("")), F.coalesce(col(category), F.lit(""))))
     sizes = lambda v: F.array(*(F.lit(int(x)) for x in v))
     return first_of([(any_in(text, [k]), sizes(v)) for k, v in table.items()], sizes(otherwise))
+
+
+# Groups of foods that users may leave out or let in, with their default.
+TOGGLES = {
+    "liver": (["liver"], True),
+    "yeast_extract": (["yeast extract", "marmite", "vegemite"], True),
+    "fortified_drinks": (["instant breakfast", "drink mix, powder", "meal replacement"], True),
+    "dried_herbs": (["dried", "freeze-dried"], False),
+    "fish_oil": (["fish oil", "cod liver oil"], False),
+}
+
+
+def toggled(c: Column | str, chosen: dict[str, bool] | None = None) -> Column:
+    """True if a food is in a group that is left out, by the user's choice or else the default."""
+    out = F.lit(False)
+    for name, (words, default) in TOGGLES.items():
+        if (chosen or {}).get(name, default):
+            out = out | any_in(F.lower(col(c)), words)
+    return out

@@ -83,3 +83,12 @@ def floor_for(name: str) -> float:
     if "(ug" in low or "(mcg" in low:
         return 5.0
     return 1.5
+
+
+def near_first(first: list[Column | str], other: list[Column | str], floors: list[float], share: float = 0.15) -> Column:
+    """True if all values are within the larger of a floor and a share of the first row's value; missing values count as 0."""
+    tests = []
+    for a, b, floor in zip(map(col, first), map(col, other), floors, strict=True):
+        a, b = F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0))
+        tests.append(F.abs(a - b) <= F.greatest(F.lit(float(floor)), share * a))
+    return reduce(lambda x, y: x & y, tests)

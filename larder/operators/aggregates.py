@@ -85,3 +85,51 @@ def shares(df: DataFrame, by: str) -> DataFrame:
     counts = df.groupBy(q(by).alias("value")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))  # one row
     return counts.join(F.broadcast(total)).select("value", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
+
+
+def name_variations(names: Column, least: int = 4) -> Column:
+    """One text for an array of names: their common prefix, up to its last comma or else space, and the distinct rests in brackets ("base" for none).
+
+    All names in order, joined, if the prefix is shorter than ``least``; a single name stays.
+    """
+    each = F.array_sort(F.array_distinct(F.filter(names, lambda n: n.isNotNull())))
+    first, last = F.get(each, F.lit(0)), F.get(each, F.size(each) - 1)
+    # The common prefix of sorted texts is that of the first and the last.
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.length(first), F.length(last)), F.lit(1)))
+    same = F.aggregate(places, F.lit(0), lambda acc, k: F.when((acc == k - 1) & (F.substr(first, F.lit(1), k) == F.substr(last, F.lit(1), k)), k).otherwise(acc))
+    prefix = F.substr(first, F.lit(1), same)
+    upto = lambda sign: F.nullif(F.length(F.regexp_extract(prefix, f"^(.*{sign})", 1)), F.lit(0))
+    cut = F.coalesce(upto(","), upto(" "), same)
+    bare = lambda x: F.btrim(x, F.lit(" ,"))
+    rests = F.transform(F.array_sort(F.array_distinct(F.transform(each, lambda n: bare(F.substr(n, cut + 1))))), lambda r: F.when(r == "", "base").otherwise(r))
+    listed = F.concat(bare(F.substr(first, F.lit(1), cut)), F.lit(" ["), F.array_join(rests, ", "), F.lit("]"))
+    return F.when(F.size(each) <= 1, F.coalesce(first, F.lit(""))).when(cut < least, F.array_join(each, " | ")).otherwise(listed)
+
+
+def merge_groups(df: DataFrame, cluster: str, id_col: str, members: str, brands: str, kept: Sequence[str]) -> DataFrame:
+    """One row a cluster of product groups: ``kept`` columns of the group with most members, then most brands, then the smallest id; brands united, ids listed, members summed. ``brands`` is an array."""
+    order = F.struct(q(members), F.size(brands), -q(id_col))
+    head = F.max_by(F.struct(q(id_col).alias("canonical_id"), *(q(c).alias(c) for c in kept)), order)
+    out = df.groupBy(q(cluster).alias("group_id")).agg(head.alias("_h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(brands)))).alias("brands"), F.array_sort(F.collect_list(q(id_col))).alias("food_ids"), F.sum(members).alias("members"))
+    return out.select("group_id", "_h.*", "brands", "food_ids", "members")
+
+
+def group_members(groups: DataFrame) -> DataFrame:
+    """(food_id, group_id) from groups with an array of ids."""
+    return groups.select(F.explode("food_ids").alias("food_id"), "group_id")
+
+
+def source_quality(df: DataFrame, keys: Sequence[str], source: str, nutrients: Sequence[str], share: float = 0.10) -> DataFrame:
+    """Means and spreads of each key, the number of its sources, and whether some nutrient's values differ by more than ``share``."""
+    differ = F.lit(False)
+    for n in nutrients:
+        differ = differ | F.coalesce((F.max(q(n)) - F.min(q(n))) / F.nullif(F.max(q(n)), F.lit(0.0)) > share, F.lit(False))
+    return df.groupBy(*map(q, keys)).agg(*spread(nutrients), F.count_distinct(q(source)).alias("source_count"), differ.alias("discrepancy"))
+
+
+def amount_of(nutrients: Column | str, name: Column | str) -> Column:
+    """A map's value for a nutrient: by its exact name, else the first key that is equal but for case, else the first that holds the name; else 0."""
+    nutrients, name = (F.col(c) if isinstance(c, str) else c for c in (nutrients, name))
+    first = lambda test: F.get(F.filter(F.map_entries(nutrients), test), F.lit(0))["value"]
+    low = F.lower(name)
+    return F.coalesce(F.try_element_at(nutrients, name), first(lambda e: F.lower(e["key"]) == low), first(lambda e: F.lower(e["key"]).contains(low)), F.lit(0.0))

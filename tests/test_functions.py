@@ -76,3 +76,10 @@ def test_age_bounds():
     assert targets.age_bounds("51+ years") == (51, None)
     assert targets.age_bounds("19-50") == (19, 50)
     assert targets.age_bounds("athlete_strength") is None
+
+
+@pytest.mark.parametrize(("names", "want"), [(["Beef, ground, raw", "Beef, ground, lean", "Beef, ground,"], "Beef, ground [base, lean, raw]"), (["Milk"], "Milk"), ([], ""), (["ab c", "xy"], "ab c | xy"), (["Oat milk", "Oat bran", None], "Oat [bran, milk]")])
+def test_name_variations(spark, names, want):
+    from larder.operators.aggregates import name_variations
+
+    assert one(spark, name_variations(F.lit(names) if names else F.array().cast("array<string>"))) == want
