@@ -71,7 +71,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def license_sql() -> str:
+    """Diagonal voting as SQL: grams, votes by diagonal, bands of neighbouring diagonals."""
+    listed = [(n, text.split(), label, n < len(license.PHRASES)) for n, (text, label) in enumerate([*license.PHRASES.items(), *license.NOTICES])]
+    rows = ", ".join(f"('{' '.join(w[q : q + 3])}', {n}, '{label}', {base}, {len(w) - 2}, {q})" for n, w, label, base in listed for q in range(len(w) - 2))
+    return f"""
+        with templates(gram, template, label, base, size, q) as (values {rows}),
+        d as (select doc_id, {WORDS} as w from documents),
+        g as (select doc_id, a - 1 as p, w[a] || ' ' || w[a + 1] || ' ' || w[a + 2] as gram from (select doc_id, w, unnest(range(1, len(w) - 1)) as a from d)),
+        v as (select doc_id, template, label, base, size, p - q as diagonal, list(distinct q) as hit from g join templates using (gram) group by all),
+        b as (select *, sum(case when before is null or diagonal - before > 3 then 1 else 0 end) over (partition by doc_id, template order by diagonal) as band
+            from (select *, lag(diagonal) over (partition by doc_id, template order by diagonal) as before from v)),
+        s as (select doc_id, template, label, base, size, band, len(list_distinct(flatten(list(hit)))) as hits, list(diagonal) filter (where len(hit) = size) as places from b group by all),
+        t as (select doc_id, label, base, size, hits, coalesce(places, []) as places, base and len(coalesce(places, [])) > 0 as whole,
+            not base and hits >= case when size < 10 then size else 0.7 * size end as near from s),
+        r as (select doc_id, cast(sum(case when base then len(places) else 0 end) as bigint) as n_base, min(list_min(places)) filter (where whole) as first_word, max(list_max(places)) filter (where whole) as last_word,
+            coalesce(string_agg(distinct label, ',' order by label) filter (where whole), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label) filter (where whole or near), '') as labels, max(hits / cast(size as double)) as score from t group by doc_id)
+        select d.doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0) as score
+        from d left join r on r.doc_id = d.doc_id
+    """
+
+
+def trust_sql(rounds: int = 9, damping: float = 0.85, threshold: float = 0.075) -> str:
+    """Rules, host edges and two PageRanks with one common table a round."""
+    ordered = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in ordered]
+    pick = lambda values: "case " + " ".join(f"when {f} then '{x}'" for f, x in zip(fits, values, strict=True)) + " end"
+    host = lambda c: f"translate(regexp_extract({c}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"u as (select page_id, {host('x')} as host, regexp_extract(x, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, html from (select *, coalesce(url, '') as x from pages))",
+        f"seen as (select *, {pick([h + p for _, h, p in ordered])} as rule, {pick([v for v, _, _ in ordered])} as said from u)",
+        "hosts as (select host, count(*) filter (where said = 'allow') / cast(count(*) as double) as allowed, count(*) filter (where said = 'block') / cast(count(*) as double) as blocked from seen where host <> '' group by host)",
+        f"links as (select host as src, {host('case when starts_with(l, $$//$$) then $$:$$ || l else l end')} as dst from (select host, unnest(regexp_extract_all(html, '{urlfilter.LINK.replace("'", "''")}', 1)) as l from u))",
+        "edges as (select src, dst, count(*) as n from links where src <> '' and dst <> '' and src <> dst group by src, dst)",
+    ]
+    for kind, seed, a, b in (("t", "allowed", "src", "dst"), ("b", "blocked", "dst", "src")):
+        ctes.append(f"{kind}e as (select {a} as src, {b} as dst, n / cast(sum(n) over (partition by {a}) as double) as share from edges)")
+        ctes.append(f"{kind}0 as (select host, {seed} * {1 - damping} as score from hosts where {seed} > 0)")
+        for k in range(rounds):
+            ctes.append(f"{kind}{k + 1} as (select host, sum(score) as score from (select * from {kind}0 union all select dst, score * share * {damping} from {kind}e join {kind}{k} on host = src) group by host)")
+    return f"""with {", ".join(ctes)} select page_id, s.host, path, rule, coalesce(said, case when x >= {threshold} and x > t then 'block' else 'allow' end) as verdict, t as trust, x as distrust
+        from (select seen.*, round(coalesce(a.score, 0), 9) as t, round(coalesce(b.score, 0), 9) as x from seen left join t{rounds} a on a.host = seen.host left join b{rounds} b on b.host = seen.host) s"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_url_filter": trust_sql(),
+    "op5_decontaminate": f"""
+        with d as (select doc_id, {WORDS} as w from documents), i as (select cast(item_id as varchar) as item, {WORDS} as w from benchmark),
+        g as (select distinct item, least(13, len(w)) as n, array_to_string(list_slice(w, a, a + least(13, len(w)) - 1), ' ') as t from (select item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as a from i where len(w) > 0)),
+        x as (select doc_id, n, a, array_to_string(list_slice(w, a, a + n - 1), ' ') as t from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as a from d cross join (select distinct n from g))),
+        h as (select doc_id, a, x.n, item from x join g on g.t = x.t and g.n = x.n),
+        c as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(a, a + n)) as p from h) group by doc_id),
+        s as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by doc_id)
+        select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
+        from d left join c on c.doc_id = d.doc_id left join s on s.doc_id = d.doc_id
+    """,
+    "op7_license_scan": license_sql(),
     "op6_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
             where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

@@ -60,3 +60,11 @@ def test_empty(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert got(decontam.contamination(docs, items)) == brute([(1, "a b")], [])
     assert got(decontam.contamination(docs.limit(0), items)) == []
+
+
+def test_sql(spark):
+    from larder.llm.queries import ORACLES, QUERIES
+
+    from .oracle import same
+
+    assert same(spark, QUERIES["op5_decontaminate"], ORACLES["op5_decontaminate"], "/root/testdata/sf0.01") == 1000

@@ -42,3 +42,11 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert lic.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sql(spark):
+    from larder.llm.queries import ORACLES, QUERIES
+
+    from .oracle import same
+
+    assert same(spark, QUERIES["op7_license_scan"], ORACLES["op7_license_scan"], "/root/testdata/sf0.01") == 1000

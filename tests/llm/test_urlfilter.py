@@ -79,3 +79,11 @@ def test_links_and_odd_rows(spark):
     assert got(urlfilter.judge(df)) == want
     assert {r[1]: r[4] for r in want if r[3] is None}["linker.test"] == "block"
     assert urlfilter.judge(df.limit(0)).collect() == []
+
+
+def test_sql(spark):
+    from larder.llm.queries import ORACLES, QUERIES
+
+    from .oracle import same
+
+    assert same(spark, QUERIES["op4_url_filter"], ORACLES["op4_url_filter"], "/root/testdata/sf0.01") == 250
