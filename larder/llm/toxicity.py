@@ -49,7 +49,7 @@ def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
 class Learner:
     """FTRL-proximal for logistic loss on sets of present features; the last coordinate is the bias and isn't penalised."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.5, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1):
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
@@ -69,7 +69,7 @@ class Learner:
         self.n[at] = n + g * g
 
 
-def fit(rows: DataFrame, shards: int = 1, passes: int = 5, bits: int = BITS, **rates: float) -> dict[int, float]:
+def fit(rows: DataFrame, shards: int = 1, passes: int = 8, bits: int = BITS, **rates: float) -> dict[int, float]:
     """Nonzero weights by feature, the bias at 2 ** bits. ``rows``: (key, text, label 0 or 1), a bounded number of them; ``key`` orders a shard."""
 
     def work(table: pa.Table) -> pa.Table:
