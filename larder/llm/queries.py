@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import covertree, decontam, license, linededup, packing, sadedup, sharding, simhash, toxicity, urlfilter
+from .staging import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

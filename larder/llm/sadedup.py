@@ -243,14 +243,14 @@ def _segments(df: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     lists = marks.join(again, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("at", "anchor")).alias("marks"))
     first = df.groupBy("key").agg(F.min("id").alias("id"))
     lists = lists.join(first, "key").select(F.col("key").alias("_key"), F.col("id").alias("_id"), "marks")
-    own = long.join(lists, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("key", "text", "marks")
+    own = long.join(lists.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).select("key", "text", "marks")
     own = stage(own, "marked-texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
-                rows, anchor, start, data = [], [], [], []
+                rows, anchor, start, data, mark = [], [], [], [], []
                 for k, (text, marks) in enumerate(zip(batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist(), strict=True)):
                     raw = text.as_buffer().to_pybytes()
                     for m in marks:
@@ -259,9 +259,10 @@ def _segments(df: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
                         anchor.append(m["anchor"])
                         start.append(lo)
                         data.append(raw[lo : m["at"] + length])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(anchor, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary())], ["key", "anchor", "start", "data"])
+                        mark.append(int.from_bytes(hashlib.blake2b(data[-1], digest_size=8).digest(), "little", signed=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(anchor, pa.int64()), pa.array(start, pa.int64()), pa.array(data, pa.binary()), pa.array(mark, pa.int64())], ["key", "anchor", "start", "data", "mark"])
 
-    return own.mapInArrow(cut, "key binary, anchor long, start long, data binary"), own.select("key", "text")
+    return own.mapInArrow(cut, "key binary, anchor long, start long, data binary, mark long"), own.select("key", "text")
 
 
 def _found(segments: DataFrame, length: int) -> DataFrame:
@@ -273,21 +274,37 @@ def _found(segments: DataFrame, length: int) -> DataFrame:
         seg, a, b = repeats(groups, np.array([names[r[0]] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], length)
         return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in seg.tolist()], pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
 
+    def whole(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[2] + len(r[3]) for r in rows], pa.int64())], ["key", "a", "b"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Equal segments of a group come one after another: each is covered by the others, and one stands for all.
         rows: list[tuple] = []
-        held, group = 0, None
+        again: list[tuple] = []
+        held, last = 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[1] != group and held > TASK_BYTES:
+                if len(row[3]) < length:
+                    continue
+                if last is not None and row[1] == last[1] and row[3] == last[3]:
+                    if (row[0], row[2]) != (last[0], last[2]):
+                        again += [row, last]
+                    if len(again) > 2000:
+                        yield whole(again)
+                        again = []
+                    continue
+                if held > TASK_BYTES and row[1] != last[1]:
                     yield solve(rows)
                     rows, held = [], 0
-                group = row[1]
+                last = row
                 rows.append(row)
                 held += len(row[3])
+        if again:
+            yield whole(again)
         if rows:
             yield solve(rows)
 
-    return segments.repartition("anchor").sortWithinPartitions("anchor", "key", "start").mapInArrow(work, "key binary, a long, b long")
+    return segments.repartition("anchor").sortWithinPartitions("anchor", "mark", "key", "start").mapInArrow(work, "key binary, a long, b long")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_kept: bool = False) -> DataFrame:
@@ -329,7 +346,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept.append(rest if with_kept else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["key", "gone", "runs", "rest_sha", "rest"])
 
-    part = texts.join(spans, "key").mapInArrow(keep, "key binary, gone long, runs long, rest_sha string, rest binary")
+    part = texts.join(spans.hint("shuffle_hash"), "key").mapInArrow(keep, "key binary, gone long, runs long, rest_sha string, rest binary")
     whole = copies.where((F.col("copies") > 1) & (F.col("n") >= length)).select("key", F.lit(True).alias("all_gone"))
     out = base.join(whole, "key", "left").join(part, "key", "left")
     gone = F.col("all_gone").isNotNull()

@@ -34,3 +34,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Partitions that a shuffle of this session is dealt to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Long texts go to Python in batches of a few megabytes: what a worker and the JVM's Arrow buffers hold follows the batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
