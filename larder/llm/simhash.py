@@ -23,7 +23,7 @@ from .bytehash import mix
 from .components import connected_components
 from .staging import stage
 
-TILE = 512
+TILE = 128
 PARTS = 4
 
 
@@ -97,12 +97,19 @@ def _ordered(x: np.ndarray) -> np.ndarray:
 
 
 def _boxes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest counts of each tile: those of the first word's parts, and each further word's."""
-    counts = np.concatenate([part_counts(x[:, 0]), np.bitwise_count(x[:, 1:]).astype(np.int16).T])
+    """Least and largest counts of each tile: those of the first word's parts, of its last two parts together, and of each further word."""
+    parts = part_counts(x[:, 0])
+    counts = np.concatenate([parts, parts[-2:].sum(axis=0, keepdims=True), np.bitwise_count(x[:, 1:]).astype(np.int16).T])
     at = np.arange(0, len(x), TILE)
     return np.minimum.reduceat(counts, at, axis=1), np.maximum.reduceat(counts, at, axis=1)
 
 
+def _least_distance(gap: np.ndarray) -> np.ndarray:
+    """A lower bound of the distance from the gaps between two tiles' counts. In the order of the fingerprints a tile's last two parts vary together less than each."""
+    apart, joined, more = gap[:PARTS].sum(axis=0), gap[: PARTS - 2].sum(axis=0) + gap[PARTS], gap[PARTS + 1 :].sum(axis=0)
+    return np.maximum(apart, joined) + more
+
+
 def _close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of a tile pair within the radius; further words only for pairs that the first two leave."""
     near = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0])
@@ -126,9 +133,9 @@ def close_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.n
     found: list[tuple[np.ndarray, np.ndarray]] = []
     lab, held = np.arange(len(both)), 0
     for i in range(lo_a.shape[1]):
-        gap = np.maximum(0, np.maximum(lo_b - hi_a[:, i : i + 1], lo_a[:, i : i + 1] - hi_b)).sum(axis=0)
+        gap = np.maximum(0, np.maximum(lo_b - hi_a[:, i : i + 1], lo_a[:, i : i + 1] - hi_b))
         left = a[i * TILE : (i + 1) * TILE]
-        for j in np.nonzero(gap <= radius)[0]:
+        for j in np.nonzero(_least_distance(gap) <= radius)[0]:
             if own and j < i:
                 continue
             x, y = _close(left, b[j * TILE : (j + 1) * TILE], radius)
@@ -178,24 +185,35 @@ def links(distinct: DataFrame, radius: int = 4, block: int | None = None, words:
         for k, at in enumerate(range(0, len(fps), 2 * size)):
             own = fps[at : at + 2 * size]
             pops = np.bitwise_count(own[:, 0])
-            row = [here * 100000 + k, int(pops.min()), int(pops.max()), own.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row[:3]] + [pa.array([row[3]], pa.binary())], ["block", "low", "high", "data"])
-
-    blocks = stage(dealt.mapInArrow(pack, "block long, low long, high long, data binary"), "blocks")
-    # One small row a block: its place in the order and the range of later blocks whose counts can be within the radius.
-    known = sorted(blocks.select("block", "low", "high").collect())
-    reach = [(x.block, k, max(j for j in range(k, len(known)) if known[j].low - x.high <= radius)) for k, x in enumerate(known)]
-    first = [(b, k, min(i for i, r in enumerate(reach) if r[2] >= k), last) for b, k, last in reach]
-    plan = spark.createDataFrame(first, "block long, k int, first int, last int")
-    sent = blocks.join(F.broadcast(plan), "block").select("k", "data", F.explode(F.sequence("first", "last")).alias("other"))
+            row = [here * 100000 + k, int(pops.min()), int(pops.max()), len(own), own.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row[:4]] + [pa.array([row[4]], pa.binary())], ["piece", "low", "high", "n", "data"])
+
+    pieces = stage(dealt.mapInArrow(pack, "piece long, low long, high long, n long, data binary"), "blocks")
+    # One small row a piece. Neighbouring pieces make a block, however small the partitions were; a block meets the later ones whose counts can be within the radius.
+    known = pieces.select("piece", "low", "high", "n").orderBy("piece").collect()
+    member: list[tuple[int, int]] = []
+    blocks: list[list[int]] = []
+    for x in known:
+        if not blocks or blocks[-1][2] + x.n > size * 3 // 2:
+            blocks.append([x.low, x.high, 0])
+        last = blocks[-1]
+        last[0], last[1], last[2] = min(last[0], x.low), max(last[1], x.high), last[2] + x.n
+        member.append((x.piece, len(blocks) - 1))
+    reach = [max(j for j in range(k, len(blocks)) if blocks[j][0] - b[1] <= radius) for k, b in enumerate(blocks)]
+    first = [min(i for i in range(k + 1) if reach[i] >= k) for k in range(len(blocks))]
+    plan = spark.createDataFrame([(p, k, first[k], reach[k]) for p, k in member], "piece long, k int, first int, last int")
+    sent = pieces.join(F.broadcast(plan), "piece").select("k", "piece", "data", F.explode(F.sequence("first", "last")).alias("other"))
     sent = sent.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b"), "k", "data")
 
     def compare(table: pa.Table) -> pa.Table:
-        data = [np.frombuffer(x, np.uint64).reshape(-1, words) for x in table.column("data").to_pylist()]
+        sides: dict[int, list[np.ndarray]] = {}
+        for k, x in zip(table.column("k").to_pylist(), table.column("data").to_pylist(), strict=True):
+            sides.setdefault(k, []).append(np.frombuffer(x, np.uint64).reshape(-1, words))
+        data = [np.concatenate(sides[k]) for k in sorted(sides)]
         u, v = close_forest(data[0], data[1] if len(data) > 1 else None, radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    pairs = sum(r[2] - r[1] + 1 for r in reach)
+    pairs = sum(r - k + 1 for k, r in enumerate(reach))
     sent = sent.repartition(min(max(pairs, 1), 8192), "a", "b")
     return sent.groupBy("a", "b").applyInArrow(compare, "u long, v long")
 
@@ -236,5 +254,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("x"))
     keyed = df.withColumn("_key", key)
     classes = near_duplicates(keyed.select("_key", F.col(text_col).alias("_text")), "_key", "_text", shingle, radius_for(similarity, words), words=words, **how)
-    first = classes.where("_key <=> component_id").select("_key").distinct()
-    return keyed.join(first, keyed["_key"].eqNullSafe(first["_key"]), "left_semi").dropDuplicates(["_key"]).drop("_key")
+    first = stage(classes.where("_key <=> component_id").groupBy("_key").agg(F.count("*").alias("n")), "firsts")
+    kept = keyed.join(first.select(F.col("_key").alias("_first")).hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
+    # Only rows that are equal in id and text need a choice, for which texts would have to be sorted.
+    return (kept.dropDuplicates(["_key"]) if first.where("n > 1").limit(1).count() else kept).drop("_key")
