@@ -89,3 +89,12 @@ def brand_grouping(t):
     rows = t.foods.where("name <> ''").withColumns({"plain": text.plain_name("name"), "size": text.first_size("name")})
     found = cluster.by_spelling(rows, [F.col("p_brand"), F.col("category")], "food_id", "plain", 90)
     return rows.join(found, "food_id").groupBy("cluster").agg(F.to_json(F.array_sort(F.collect_set("name"))).alias("names"), F.to_json(F.array_sort(F.collect_set("size"))).alias("sizes"))
+
+
+NAMES = ["protein", "fat", "Sugar (g)", "Iron (mg)", "Vitamin D (mcg)", "Fiber (g)", "calories", "Monounsaturated Fat (g)"]
+
+
+@query("select food_id, nutrient, case when nutrient in ('protein', 'fat') then 'g' when contains(nutrient, '(mg)') then 'mg' when contains(nutrient, '(mcg)') then 'mcg' when contains(nutrient, '(g)') then 'g' else '' end as unit from (select food_id, [" + ", ".join(f"'{n}'" for n in NAMES) + "][food_id % 8 + 1] as nutrient from foods)")
+def nutrient_units(t):
+    named = t.foods.select("food_id", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("food_id") % 8 + 1).cast("int")).alias("nutrient"))
+    return named.select("food_id", "nutrient", text.unit_of("nutrient").alias("unit"))
