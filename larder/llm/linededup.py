@@ -54,7 +54,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
     lists = repeated_runs(df, id_col, text_col, run).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "starts", "foreign")
     keyed = df.withColumn("_own", F.xxhash64(text_col))
-    out = keyed.join(lists, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    # Hashing the lists, not sorting the texts: these only stream by.
+    out = keyed.join(lists.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     lines = F.split(F.col(text_col), "\n")
     none = F.array().cast("array<int>")
     covered = lambda starts: F.array_distinct(F.flatten(F.transform(F.coalesce(starts, none), lambda a: F.transform(F.sequence(F.lit(0), F.lit(run - 1)), lambda k: a + k))))
