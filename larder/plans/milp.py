@@ -98,7 +98,7 @@ def solve(amounts: np.ndarray, low: np.ndarray, high: np.ndarray, pack: np.ndarr
 
 
 def plan(foods: DataFrame, profiles: DataFrame, targets: Mapping[str, tuple[float, float | None]], days: int = 7, energy_slack: float = 0.05, slack: float = 0.20, most: float = 1000.0, seconds: float = 20.0, candidates: int = 100) -> DataFrame:
-    """(profile_id, food_id, grams, packs, status) of each profile (profile_id, kcal): one task a profile. No plan gives one row without a food.
+    """(profile_id, food_id, grams, packs, status) of each profile (profile_id, kcal). Profiles of equal energy have one problem, solved once; no plan gives one row without a food.
 
     Foods: (food_id, name, calories, nutrients), ``candidates`` at most (choose the best sources first), sent along.
     """
@@ -111,14 +111,15 @@ def plan(foods: DataFrame, profiles: DataFrame, targets: Mapping[str, tuple[floa
     ids = got["food_id"].tolist()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        who, kcal = pdf["profile_id"].iloc[0], float(pdf["kcal"].iloc[0])
+        kcal = float(pdf["kcal"].iloc[0])
         low = np.array([kcal * (1 - energy_slack), *((t[0] or 0) * (1 - slack) for t in targets.values())]) * days
         high = np.array([kcal * (1 + energy_slack), *((t[1] * (1 + slack)) if t[1] else np.inf for t in targets.values())]) * days
         grams, status = solve(amounts, low, high, pack, most, seconds)
         if grams is None:
-            return pd.DataFrame({"profile_id": [who], "food_id": [None], "grams": [None], "packs": [None], "status": [status]})
+            return pd.DataFrame({"kcal": [kcal], "food_id": [None], "grams": [None], "packs": [None], "status": [status]})
         at = np.nonzero(grams)[0]
         packs = [grams[k] / pack[k] if pack[k] else None for k in at]
-        return pd.DataFrame({"profile_id": who, "food_id": [ids[k] for k in at], "grams": grams[at].round(2), "packs": packs, "status": status})
+        return pd.DataFrame({"kcal": kcal, "food_id": [ids[k] for k in at], "grams": grams[at].round(2), "packs": packs, "status": status})
 
-    return profiles.select("profile_id", "kcal").groupBy("profile_id").applyInPandas(run, "profile_id long, food_id long, grams double, packs double, status string")
+    solved = profiles.select("kcal").distinct().groupBy("kcal").applyInPandas(run, "kcal double, food_id long, grams double, packs double, status string")
+    return profiles.select("profile_id", "kcal").join(solved, "kcal").select("profile_id", "food_id", "grams", "packs", "status")

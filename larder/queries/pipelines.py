@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import classify
+from ..functions import classify, text
 from ..plans import medallion
 from .base import query
 from .names import descriptor_sql
@@ -18,12 +18,13 @@ def dump(t):
     return t.foods.select("food_id", "name", "category", "brands", "p_name", F.col("kcal").alias("Energy (KCAL)"), F.col("protein").alias("Protein (g)"), F.col("carbs").alias("Carbohydrate (g)"), F.col("fat").alias("Fat (g)"), (F.col("sodium") / 1000).alias("Sodium (mg)"))
 
 
-@query(f"""select cast(food_id as varchar) as food_id, name as description, {descriptor_sql('n', f"'{classify.UNKNOWN}'")} as semantic_descriptor, 'parts' as data_source,
+@query(f"""select cast(food_id as varchar) as food_id, name as description, {descriptor_sql('core', descriptor_sql('n', f"'{classify.UNKNOWN}'"))} as semantic_descriptor, 'parts' as data_source,
     {SIG.format('kcal')} as "Energy (KCAL)", {SIG.format('protein')} as "Protein (g)", {SIG.format('carbs')} as "Carbohydrate (g)", {SIG.format('fat')} as "Fat (g)", {SIG.format('sodium')} as "Sodium (mg)" from
-    (select food_id, name, lower(name) as n, case when kcal <= 900 then kcal end as kcal, protein, case when carbs <= 100 then carbs end as carbs, fat, sodium from foods where name is null or not regexp_matches(lower(name), '{"|".join(["fried", "roasted", "boiled", "cooked", "steamed", "canned", "raw", "fresh", "dry", "dried", "skin", "flesh", "baked", "poached"])}'))
+    (select food_id, name, lower(name) as n, lower(case when b = '' then name else b end) as core, case when kcal <= 900 then kcal end as kcal, protein, case when carbs <= 100 then carbs end as carbs, fat, sodium from
+     (select *, trim(regexp_extract(name, '(?i)^(.*?),?\\s*[^,]*?(?:{text.COOKING}).*$', 1)) as b from foods))
     where coalesce(({SIG.format('protein')}), 0) + coalesce(({SIG.format('carbs')}), 0) + coalesce(({SIG.format('fat')}), 0) <= 105 or coalesce(protein, carbs, fat) is null""")
 def source_silver(t):
-    raw = t.foods.where("name is null or not lower(name) rlike 'fried|roasted|boiled|cooked|steamed|canned|raw|fresh|dry|dried|skin|flesh|baked|poached'")
+    raw = t.foods
     raw = raw.select("food_id", "name", F.col("kcal").alias("energy"), F.col("protein").alias("prot"), "carbs", "fat", F.col("sodium").alias("sodium_MG_100G"))
     aliases = {"name": "description", "energy": "Energy (KCAL)", "prot": "Protein (g)", "carbs": "Carbohydrate (g)", "fat": "Fat (g)"}
     source = medallion.Source("parts", aliases, classify.keyword_descriptor("name"), ["food_id", "description"], NUTRIENTS)
@@ -38,7 +39,7 @@ def product_silver(t):
 
 @query()
 def product_gold(t):
-    return medallion.products_gold(dump(t).where("food_id % 4 = 0 or name is not null"), "food_id", "p_name", "category", "brands", NUTRIENTS)
+    return medallion.products_gold(dump(t), "food_id", "p_name", "category", "brands", NUTRIENTS)
 
 
 @query()
@@ -52,5 +53,5 @@ def reference_gold(t):
 @query()
 def enriched_products(t):
     base = t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("food "), "vec_id").alias("name"), F.array(F.col("label") + 1.0, F.lit(3.0), F.col("vec_id") % 5 + 0.0).alias("vector"), F.col("label").cast("double").alias("kcal"), (F.col("label") * 2.0).alias("iron"), (F.col("label") % 3 == 0).alias("is_raw"), (F.col("label") % 3 == 1).alias("is_cooked"))
-    enriched, _ = medallion.platinum(base.where("id % 2 = 0").select("id", "vector", "kcal"), base.where("id % 20 = 1"), ["kcal"], ["iron"])
+    enriched, _ = medallion.platinum(base.where("id % 2 = 0").select("id", "vector", "kcal"), base.where("id % 2 = 1"), ["kcal"], ["iron"])
     return enriched.drop("vector")

@@ -297,5 +297,5 @@ def ga_islands(t):
 
 @query()
 def milp_diet(t):
-    people = t.profiles.where("id < 4").select(F.col("id").alias("profile_id"), (F.lit(1800.0) + 100 * F.col("id")).alias("kcal"))
+    people = t.profiles.select(F.col("id").alias("profile_id"), (F.lit(1800.0) + 100 * (F.col("id") % 4)).alias("kcal"))
     return milp.plan(candidates(t), people, {"protein": (50.0, None), "Iron (mg)": (8.0, 45.0)}, seconds=5)

@@ -73,12 +73,12 @@ def completeness_count(t):
     return done.select("food_id", "nutri_count", F.concat(F.lit("off_"), "food_id").alias("uid"), title.alias("title"), F.split("category", ",")[0].alias("main"), (F.col("sodium") * 1000).alias("sodium_mg"))
 
 
-@query("select event_id, k, row_number() over (order by event_id) as ordinal from (select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_id < 500) where k is not null")
+@query("select event_id, user_id, k, row_number() over (partition by user_id order by event_id) as ordinal from (select event_id, user_id, cast(json_extract_string(props, '$.k') as bigint) as k from events) where k is not null")
 def json_scalar_ordinal(t):
     from pyspark.sql import Window
 
-    few = t.events.where("event_id < 500").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k is not null")
-    return few.withColumn("ordinal", F.row_number().over(Window.orderBy("event_id")))
+    read = t.events.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k is not null")
+    return read.withColumn("ordinal", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
 
 
 @query("select user_id, max(case when event_type = 'click' then v end) as nut_click_kcal, max(case when event_type = 'error' then v end) as nut_error_kcal, max(case when event_type = 'view' then v end) as nut_view_kcal from (select user_id, event_type, arg_max(value, event_id) as v from events group by user_id, event_type) group by user_id")
@@ -130,12 +130,12 @@ def plausibility(t):
     return filters.plausible(t.foods.select("food_id", "protein", "carbs", "kcal"), ["protein", "carbs"], "kcal")
 
 
-# Joins
+# Joins: parts of even keys stand for products, those of odd keys for foods.
 
 
-@query("select l_orderkey, l_linenumber, p_name, n_name from lineitem join part on p_partkey = l_partkey left join supplier on s_suppkey = l_suppkey left join nation on n_nationkey = s_nationkey where l_quantity > 49")
+@query("select l_orderkey, l_linenumber, p_name, n_name from lineitem join part on p_partkey = l_partkey left join supplier on s_suppkey = l_suppkey left join nation on n_nationkey = s_nationkey")
 def dimension_joins(t):
-    facts = t.lineitem.where("l_quantity > 49").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    facts = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     names = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name")
     return facts.join(t.part.select("p_partkey", "p_name"), F.expr("l_partkey = p_partkey")).join(names, F.expr("l_suppkey = s_suppkey"), "left").select("l_orderkey", "l_linenumber", "p_name", "n_name")
 
@@ -158,20 +158,20 @@ WORDS = "list_filter(string_split(lower(p_name), ' '), lambda w: length(w) > 2)"
 
 @query(f"""select product_id, food_id, n_keywords from (select *, row_number() over (partition by product_id order by n_keywords desc, food_id) as r from
     (select a.id as product_id, b.id as food_id, cast(count(*) as bigint) as n_keywords from (select p_partkey as id, unnest({WORDS}) as w from part where p_partkey % 2 = 0) a
-     join (select p_partkey as id, unnest(list_distinct({WORDS})) as w from part where p_partkey % 20 = 1) b on a.w = b.w group by 1, 2) where n_keywords >= 2) where r = 1""")
+     join (select p_partkey as id, unnest(list_distinct({WORDS})) as w from part where p_partkey % 2 = 1) b on a.w = b.w group by 1, 2) where n_keywords >= 2) where r = 1""")
 def keyword_overlap_match(t):
     words = F.filter(F.split(F.lower("p_name"), " "), lambda w: F.length(w) > 2)
     keyed = t.part.select(F.col("p_partkey").alias("id"), words.alias("keywords"))
-    return matching.by_keywords(keyed.where("id % 2 = 0"), keyed.where("id % 20 = 1"))
+    return matching.by_keywords(keyed.where("id % 2 = 0"), keyed.where("id % 2 = 1"))
 
 
 GATE = "greatest(case when f.kcal = 0 then case when p.kcal > 5 then cast('inf' as double) end else abs(p.kcal - f.kcal) / f.kcal end, case when f.sodium = 0 then case when p.sodium > 5 then cast('inf' as double) end else abs(p.sodium - f.sodium) / f.sodium end)"
 
 
-@query(f"select p.food_id as product_id, f.food_id, round(coalesce({GATE}, 0), 9) as deviation from foods p join foods f on p.food_id % 2 = 0 and f.food_id % 20 = 1 where coalesce({GATE}, 0) <= 0.1")
+@query(f"select p.food_id as product_id, f.food_id, round(coalesce({GATE}, 0), 9) as deviation from foods p join foods f on p.food_id % 2 = 0 and f.food_id % 2 = 1 where coalesce({GATE}, 0) <= 0.1")
 def macro_gate_match(t):
     named = t.foods.select(F.col("food_id").alias("id"), "name", "kcal", "sodium")
-    pairs = matching.by_macros(named.where("id % 2 = 0"), named.where("id % 20 = 1"), ["kcal", "sodium"])
+    pairs = matching.by_macros(named.where("id % 2 = 0"), named.where("id % 2 = 1"), ["kcal", "sodium"])
     return pairs.select("product_id", "food_id", F.round("deviation", 9).alias("deviation"))
 
 
@@ -185,7 +185,7 @@ def alias_match(t):
 def alias_or_fuzzy_match(t):
     aliases = t.spark.createDataFrame([(0, "skimmed milk", 30), (1, "cheddar", 5)], "ord int, alias string, food_id int")
     named = t.foods.where("name <> ''").select(F.col("food_id").alias("id"), "name")
-    return matching.by_alias_or_name(named.where("id % 10 = 1"), named.where("id < 37"), aliases)
+    return matching.by_alias_or_name(named.where("id % 2 = 1"), named.where("id % 2 = 0"), aliases)
 
 
 @query()
@@ -200,10 +200,10 @@ def dual_gate_match(t):
     (select *, similarity + coalesce(0.3 * greatest(0, 0.3 - deviation), 0) + case when label % 3 = 0 then 0.05 when label % 3 = 1 then -0.05 else 0 end as score from
     (select q.vec_id as query_id, f.vec_id as ref_id, f.label, list_cosine_similarity(q.v, f.v) as similarity, case when greatest(q.label, f.label) < 1 then abs(q.label - f.label) else abs(q.label - f.label) / cast(greatest(q.label, f.label) as double) end as deviation,
         row_number() over (partition by q.vec_id order by list_cosine_similarity(q.v, f.v) desc, f.vec_id) as near
-     from (select *, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings) q join (select *, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings) f on q.vec_id % 10 = 0 and f.vec_id % 10 = 1) where near <= 5)) where r = 1""")
+     from (select *, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings) q join (select *, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings) f on q.vec_id % 2 = 0 and f.vec_id % 2 = 1) where near <= 5)) where r = 1""")
 def cosine_topk_rerank(t):
     base = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("double").alias("m"), (F.col("label") % 3 == 0).alias("is_raw"), (F.col("label") % 3 == 1).alias("is_cooked"))
-    best = matching.rerank(base.where("id % 10 = 0"), base.where("id % 10 = 1"), ["m"])
+    best = matching.rerank(base.where("id % 2 = 0"), base.where("id % 2 = 1"), ["m"])
     return best.select("query_id", "ref_id", *(F.round(c, 9).alias(c) for c in ("similarity", "deviation", "score")), "confidence")
 
 
@@ -220,9 +220,9 @@ def store_lookup_top5(t):
     return matching.store_products(t.foods.where("name is not null").select(F.col("food_id").alias("id")), products)
 
 
-@query("select distinct food_id from items where food_id % 3 = 0")
+@query("select distinct food_id from items")
 def covered_keys(t):
-    return t.foods.where("food_id % 3 = 0").select("food_id").join(t.lineitem.select(F.col("l_partkey").alias("food_id")), "food_id", "left_semi")
+    return t.foods.select("food_id").join(t.lineitem.select(F.col("l_partkey").alias("food_id")), "food_id", "left_semi")
 
 
 # Aggregations
