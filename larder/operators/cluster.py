@@ -11,7 +11,6 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.numbers import floor_for
 from ..functions.similarity import token_sort_ratio
