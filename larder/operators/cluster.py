@@ -1,7 +1,7 @@
 """Order-dependent clustering: rows of a block, in a total order, join the first or best cluster that fits or found a new one.
 
-The result depends on the order, so blocks are solved whole, one group function call each. Rows equal in all that decides always join alike, so
-they are solved once and joined back; a block holds distinct rows only.
+The result depends on the order, so blocks are solved whole, one group function call each. Where rows that are equal in what decides always join alike, the first
+of them is solved and the others follow it, so a block holds distinct rows only and copies don't make it large.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.numbers import floor_for
 from ..functions.similarity import token_sort_ratio
 from .columns import q
+from .ranking import first_by
 
 
 def lead(values: np.ndarray, share: float = 0.10) -> list[int]:
@@ -75,11 +77,11 @@ def lead_taxonomy(names: Sequence[str], values: np.ndarray, floors: np.ndarray,
     return out
 
 
-def _blocks(df: DataFrame, block: Sequence[Column], id_col: str, use: Sequence[str], order: Sequence[tuple[str, bool]], solve: Callable[[pd.DataFrame], pd.DataFrame], scored: bool = False) -> DataFrame:
-    """(id, cluster [, score]) from solving each block's rows in order; the cluster is the id of its first row."""
-    keys = [b.alias(f"_b{k}") for k, b in enumerate(block)]
-    rows = df.select(q(id_col).alias("_id"), *keys, *(q(c) for c in use))
+def _blocks(df: DataFrame, block: Sequence[Column], id_col: str, use: Sequence[str], order: Sequence[tuple[str, bool]], solve: Callable[[pd.DataFrame], pd.DataFrame], scored: bool = False, same: Sequence[str] = ()) -> DataFrame:
+    """(id, cluster [, score]) from solving each block's rows in order; the cluster is the id of its first row. Rows equal in block and ``same`` follow the first of them, with a score of 100."""
     names = [f"_b{k}" for k in range(len(block))]
+    rows = df.select(q(id_col).alias("_id"), *(b.alias(n) for b, n in zip(block, names, strict=True)), *(q(c) for c in use))
+    kind = df.schema[id_col].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([c for c, _ in order] + ["_id"], ascending=[up for _, up in order] + [True], kind="stable").reset_index(drop=True)
@@ -88,9 +90,17 @@ def _blocks(df: DataFrame, block: Sequence[Column], id_col: str, use: Sequence[s
         got = pd.DataFrame({"id": pdf["_id"], "cluster": first})
         return got.assign(score=out["score"]) if scored else got
 
-    kind = df.schema[id_col].dataType.simpleString()
-    found = rows.groupBy(*names).applyInPandas(run, f"id {kind}, cluster {kind}" + ", score double" * scored)
-    return found.withColumnRenamed("id", id_col)
+    schema = f"id {kind}, cluster {kind}" + ", score double" * scored
+    if not same:
+        return rows.groupBy(*names).applyInPandas(run, schema).withColumnRenamed("id", id_col)
+    key = F.struct(*(q(c) for c in [*names, *same]))
+    keyed = rows.withColumn("_key", key)
+    heads = first_by(keyed, ["_key"], [*(F.asc_nulls_last(q(c)) if up else F.desc_nulls_last(q(c)) for c, up in order), "_id"])
+    solved = heads.drop("_key").groupBy(*names).applyInPandas(run, schema)
+    led = heads.select(F.col("_id").alias("id"), F.col("_key").alias("_head")).join(solved, "id").withColumnRenamed("id", "_first")
+    out = keyed.select("_id", "_key").join(led, F.col("_key").eqNullSafe(F.col("_head")))
+    shown = [F.when(F.col("_id").eqNullSafe(F.col("_first")), F.col("score")).otherwise(100.0).alias("score")] if scored else []
+    return out.select(F.col("_id").alias(id_col), "cluster", *shown)
 
 
 def by_tolerance(df: DataFrame, keys: Sequence[str], id_col: str, nutrients: Sequence[str], order: str, share: float = 0.10) -> DataFrame:
@@ -98,7 +108,7 @@ def by_tolerance(df: DataFrame, keys: Sequence[str], id_col: str, nutrients: Seq
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": lead(pdf[list(nutrients)].to_numpy(np.float64), share)})
 
-    return _blocks(df.withColumn("_order", q(order)), [q(k) for k in keys], id_col, [*nutrients, "_order"], [("_order", False)], solve)
+    return _blocks(df.withColumn("_order", q(order)), [q(k) for k in keys], id_col, [*nutrients, "_order"], [("_order", False)], solve, same=list(nutrients))
 
 
 def by_spelling(df: DataFrame, block: Sequence[Column], id_col: str, name: str, least: float = 93, order: Sequence[tuple[str, bool]] = ()) -> DataFrame:
@@ -107,7 +117,7 @@ def by_spelling(df: DataFrame, block: Sequence[Column], id_col: str, name: str,
         k, score = lead_names(pdf[name].fillna("").tolist(), least)
         return pd.DataFrame({"k": k, "score": pd.Series(score, dtype="float64")})
 
-    return _blocks(df, block, id_col, [name, *(c for c, _ in order if c != name)], list(order), solve, scored=True)
+    return _blocks(df, block, id_col, [name, *(c for c, _ in order if c != name)], list(order), solve, scored=True, same=[name])
 
 
 def by_taxonomy(df: DataFrame, block: Sequence[Column], id_col: str, name: str, nutrients: Sequence[str], least: float = 85) -> DataFrame:

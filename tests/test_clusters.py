@@ -36,3 +36,18 @@ def test_blocks_in_spark(spark):
     named = {r.id: r.cluster for r in cluster.by_spelling(df, [F.coalesce("cat", F.lit(""))], "id", "name", 93).collect()}
     assert named == {1: 1, 2: 1, 4: 1, 3: 3, 5: 5}
     assert cluster.by_tolerance(df.limit(0), ["name"], "id", ["kcal"], "kcal").collect() == []
+
+
+def test_copies_follow_the_first(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, ["tea", "milk tea", "milk teas", None][rng.integers(4)], float(rng.integers(1, 4) * 100) if rng.random() < 0.8 else None) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, name string, kcal double")
+    got = {r.id: (r.cluster, r.score) for r in cluster.by_spelling(df, [F.lit(1)], "id", "name", 80).collect()}
+    k, score = cluster.lead_names([n or "" for _, n, _ in rows], 80)
+    first = {c: k.index(c) for c in k}
+    assert got == {i: (first[c], s) for i, (c, s) in enumerate(zip(k, score, strict=True))}
+    near = {r.id: r.cluster for r in cluster.by_tolerance(df, ["name"], "id", ["kcal"], "kcal").collect()}
+    for name in {n for _, n, _ in rows}:
+        own = sorted((r for r in rows if r[1] == name), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        k = cluster.lead(np.array([[np.nan if r[2] is None else r[2]] for r in own]))
+        assert [near[r[0]] for r in own] == [own[k.index(c)][0] for c in k]
