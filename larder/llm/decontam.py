@@ -112,4 +112,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("x")))
     judged = contamination(keyed.select("_key", F.col(text_col).alias("_text")), items, "_key", "_text", **how)
     bad = judged.where("contaminated").select(F.col("_key").alias("_bad")).distinct()
-    return keyed.join(bad, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").drop("_key")
+    return keyed.join(bad.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").drop("_key")

@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .staging import stage
 
-_CACHE: dict = {}
 # Words of these letters, digits and signs fall into the pieces below whatever stands beside them: the vocabulary's own rule never joins letters
 # with digits or signs, but for an apostrophe, and its special tokens hold "<". Others are encoded whole.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
@@ -116,9 +116,10 @@ class _Words:
 
 
 def _tokenizer(path: str) -> _Words:
-    if path not in _CACHE:
-        _CACHE[path] = _Words(path)
-    return _CACHE[path]
+    held = caches.of("packing")
+    if path not in held:
+        held[path] = _Words(path)
+    return held[path]
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .bytehash import Spans, minimizers
 from .staging import stage
 
@@ -228,6 +229,7 @@ def _segments(df: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(routed segments, texts of them) from df (id, key, text, first id of the key)."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.of("sadedup")
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)

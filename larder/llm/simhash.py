@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .bytehash import mix
 from .components import connected_components
 from .staging import stage
@@ -60,6 +61,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = df.schema[id_col].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.of("simhash")
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             fps = [text_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed, words) for t in texts]
@@ -206,6 +208,7 @@ def links(distinct: DataFrame, radius: int = 4, block: int | None = None, words:
     sent = sent.select(F.least("k", "other").alias("a"), F.greatest("k", "other").alias("b"), "k", "data")
 
     def compare(table: pa.Table) -> pa.Table:
+        caches.of("simhash")
         sides: dict[int, list[np.ndarray]] = {}
         for k, x in zip(table.column("k").to_pylist(), table.column("data").to_pylist(), strict=True):
             sides.setdefault(k, []).append(np.frombuffer(x, np.uint64).reshape(-1, words))

@@ -9,13 +9,14 @@ and their weights are averaged, which costs accuracy at this sample size.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .bytehash import Spans, mix
 from .staging import stage
 
@@ -72,28 +73,46 @@ class Learner:
 def fit(rows: DataFrame, shards: int = 1, passes: int = 8, bits: int = BITS, **rates: float) -> dict[int, float]:
     """Nonzero weights by feature, the bias at 2 ** bits. ``rows``: (key, text, label 0 or 1), a bounded number of them; ``key`` orders a shard."""
 
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.of("toxicity")
+        for batch in batches:
+            sets = []
+            for a in range(0, batch.num_rows, 64):
+                part = [t or "" for t in batch.column(1).slice(a, 64).to_pylist()]
+                docs, found = features(part, bits)
+                both = np.unique((docs << bits) | found)
+                cut = np.searchsorted(both >> bits, np.arange(len(part) + 1))
+                sets += [_packed(both[x:y] & ((1 << bits) - 1)) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], ["key", "label", "present"])
+
     def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("text", "ascending")])
-        label = table.column("label").to_pylist()
-        sets: list[np.ndarray] = []
-        for at in range(0, len(label), 64):
-            docs, found = features([t or "" for t in table.column("text").slice(at, 64).to_pylist()], bits)
-            both = np.unique((docs << bits) | found)
-            sets += [(both[a:b] & ((1 << bits) - 1)).astype(np.int32) for a, b in zip(*np.searchsorted(both >> bits, [np.arange(64), np.arange(1, 65)]), strict=True)]
-        learner = Learner(bits, **rates)
+        table = table.sort_by([("key", "ascending"), ("present", "ascending")])
+        learner, sets = Learner(bits, **rates), table.column("present")
         for _ in range(passes):
-            for present, y in zip(sets, label, strict=False):
-                learner.learn(present, y)
+            for row, y in zip(sets, table.column("label").to_pylist(), strict=True):
+                learner.learn(_unpacked(row.as_buffer()), y)
         w = learner.weights(slice(None))
         at = np.nonzero(w)[0]
         return pa.table({"feature": at, "weight": w[at]})
 
-    dealt = rows.select("key", "text", "label", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
-    found = dealt.groupBy("shard").applyInArrow(work, "feature long, weight double")
+    kind = rows.schema["key"].dataType.simpleString()
+    seen = rows.select("key", "text", "label").mapInArrow(present, f"key {kind}, label int, present binary")
+    found = seen.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(work, "feature long, weight double")
     total = found.groupBy("feature").agg(F.sum("weight").alias("w")).collect()  # 2 ** bits + 1 rows at most
     return {r.feature: r.w / shards for r in total}
 
 
+def _packed(features: np.ndarray) -> bytes:
+    """Rising numbers as the gaps between them, in two bytes each where all fit, else in four."""
+    gaps = np.diff(features, prepend=0)
+    wide = len(gaps) > 0 and int(gaps.max()) > 0xFFFF
+    return bytes([wide]) + gaps.astype(np.uint32 if wide else np.uint16).tobytes()
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint32 if data[0] else np.uint16, offset=1), dtype=np.int64)
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
     """(key, text, label) of about ``max_rows`` labelled rows, by hash of the id, or all if there are no more. Null ids, and labels other than 0 and 1, are left out."""
     own = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("key is not null and label in (0, 1)")
@@ -109,25 +128,37 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 def score(df: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, to: str = "score") -> DataFrame:
     """(id, ``to``): the probability of label 1 for each row's whole text. A null text is scored as an empty one."""
     kind = df.schema[id_col].dataType.simpleString()
-    at = np.array(sorted(weights), np.int64)
-    value = np.array([weights[k] for k in at.tolist()])
-    sent = df.sparkSession.sparkContext.broadcast((at, value))
+    of = _scorer(df, weights, bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.of("toxicity")
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of(batch.column(1)))], ["id", "score"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(work, f"id {kind}, score double").toDF(id_col, to)
+
+
+def _scorer(df: DataFrame, weights: dict[int, float], bits: int) -> Callable[[pa.Array], np.ndarray]:
+    """A function from a batch's texts to their scores, for tasks."""
+    at = np.array(sorted(weights), np.int64)
+    sent = df.sparkSession.sparkContext.broadcast((at, np.array([weights[k] for k in at.tolist()])))
+
+    def of(texts: pa.Array) -> np.ndarray:
         at, value = sent.value
         table = np.zeros((1 << bits) + 1)
         table[at] = value
-        for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                batch = whole.slice(a, 256)
-                docs, found = features([t or "" for t in batch.column(1).to_pylist()], bits)
-                hit = table[found] != 0
-                both = np.unique((docs[hit] << bits) | found[hit])
-                total = table[-1] + np.bincount(both >> bits, table[both & ((1 << bits) - 1)], batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["id", "score"])
+        out = [np.zeros(0)]
+        for a in range(0, len(texts), 256):
+            part = texts.slice(a, 256)
+            docs, found = features([t or "" for t in part.to_pylist()], bits)
+            hit = table[found] != 0
+            both = np.unique((docs[hit] << bits) | found[hit])
+            total = table[-1] + np.bincount(both >> bits, table[both & ((1 << bits) - 1)], len(part))
+            out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+        return np.concatenate(out)
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, score double").toDF(id_col, to)
+    return of
 
 
 def held_out(id_col: str = "doc_id"):
@@ -150,10 +181,14 @@ def toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
-    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay. Rows equal in id and text are judged alike."""
-    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("x")))
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay. One pass: rows are judged where they are read, none is shuffled."""
     learnt = sample(docs.where(~held_out(id_col)), labels.where(~held_out(id_col)), id_col, text_col, how.pop("label_col", "toxic"), how.pop("max_rows", 20_000))
-    weights = fit(learnt, **how) or {1 << BITS: 0.0}
-    scored = score(keyed, weights, "_key", text_col, to="_score")
-    bad = scored.where(F.col("_score") >= threshold).select(F.col("_key").alias("_bad")).distinct()
-    return keyed.join(bad, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").drop("_key")
+    of = _scorer(docs, fit(learnt, **how) or {1 << BITS: 0.0}, BITS)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.of("toxicity")
+        for batch in batches:
+            yield batch.filter(pa.array(of(batch.column(at)) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
