@@ -55,9 +55,9 @@ def group_mapping(t):
     return aggregates.group_members(t.foods.groupBy((F.col("food_id") % 50).alias("group_id")).agg(F.collect_list("food_id").alias("food_ids")))
 
 
-@query("select p_type, round(avg(protein), 6) as protein, case when min(protein) < max(protein) then min(protein) end as protein_min, case when min(protein) < max(protein) then max(protein) end as protein_max, count(distinct p_brand) as source_count, coalesce((max(protein) - min(protein)) / nullif(max(protein), 0) > 0.1, false) as discrepancy from foods group by p_type")
+@query("select p_type, round(avg(protein), 10) as protein, case when min(protein) < max(protein) then min(protein) end as protein_min, case when min(protein) < max(protein) then max(protein) end as protein_max, count(distinct p_brand) as source_count, coalesce((max(protein) - min(protein)) / nullif(max(protein), 0) > 0.1, false) as discrepancy from foods group by p_type")
 def source_quality(t):
-    return aggregates.source_quality(t.foods, ["p_type"], "p_brand", ["protein"]).withColumn("protein", F.round("protein", 6))
+    return aggregates.source_quality(t.foods, ["p_type"], "p_brand", ["protein"]).withColumn("protein", F.round("protein", 10))
 
 
 @query()

@@ -113,7 +113,7 @@ def quality_filter(t):
     return filters.good_quality(t.foods.withColumn("done", F.col("kcal") / 1000), ["protein", "fat"], ["carbs", "fiber", "sodium"], "name", "done").select("food_id")
 
 
-@query("select food_id, case when s > 105 then 'MACRO_SUM(P+F+C)=' || format('{:.1f}', s) || 'g>105g; ' end as flag_reason from (select food_id, case when coalesce(protein, fat, carbs) is not null then round(coalesce(protein, 0) + coalesce(fat, 0) + coalesce(carbs, 0), 6) end as s from foods)")
+@query("select food_id, case when s > 105 then 'MACRO_SUM(P+F+C)=' || format('{:.1f}', s) || 'g>105g; ' end as flag_reason from (select food_id, case when coalesce(protein, fat, carbs) is not null then round(coalesce(protein, 0) + coalesce(fat, 0) + coalesce(carbs, 0), 10) end as s from foods)")
 def physics_split(t):
     tenths = t.foods.select("food_id", *(F.col(c) for c in ("protein", "fat", "carbs")))
     clean, flagged = filters.physics(tenths, "protein", "fat", "carbs")
@@ -228,10 +228,10 @@ def covered_keys(t):
 # Aggregations
 
 
-@query("select l_suppkey, round(avg(l_quantity) filter (where l_returnflag = 'A'), 6) as \"A\", round(avg(l_quantity) filter (where l_returnflag = 'N'), 6) as \"N\", round(avg(l_quantity) filter (where l_returnflag = 'R'), 6) as \"R\" from lineitem group by l_suppkey")
+@query("select l_suppkey, round(avg(l_quantity) filter (where l_returnflag = 'A'), 10) as \"A\", round(avg(l_quantity) filter (where l_returnflag = 'N'), 10) as \"N\", round(avg(l_quantity) filter (where l_returnflag = 'R'), 10) as \"R\" from lineitem group by l_suppkey")
 def pivot_mean(t):
     wide = aggregates.pivot_mean(t.lineitem, "l_suppkey", "l_returnflag", "l_quantity", ["A", "N", "R"])
-    return wide.select("l_suppkey", *(F.round(c, 6).alias(c) for c in "ANR"))
+    return wide.select("l_suppkey", *(F.round(c, 10).alias(c) for c in "ANR"))
 
 
 @query("select user_id, arg_min(value, event_id) filter (where event_type = 'click') as click, arg_min(value, event_id) filter (where event_type = 'view') as view from events where event_type in ('click', 'view') group by user_id")
@@ -239,22 +239,22 @@ def pivot_first(t):
     return aggregates.pivot_first(t.events.where("event_type in ('click', 'view')"), "user_id", "event_type", "value", "event_id", ["click", "view"])
 
 
-@query(f"""select kind, maker, {cols("round(avg($), 6) as $, case when min($) < max($) then min($) end as $_min, case when min($) < max($) then max($) end as $_max", ["kcal", "protein"])}, string_agg(distinct trim(p_name), ' | ' order by trim(p_name)) as p_name, arg_min(name, food_id) filter (where name is not null) as name, count(*) as n
+@query(f"""select kind, maker, {cols("round(avg($), 10) as $, case when min($) < max($) then min($) end as $_min, case when min($) < max($) then max($) end as $_max", ["kcal", "protein"])}, string_agg(distinct trim(p_name), ' | ' order by trim(p_name)) as p_name, arg_min(name, food_id) filter (where name is not null) as name, count(*) as n
     from {KEYED} group by kind, maker""")
 def squash_stats(t):
     keyed = t.foods.withColumns({"kind": F.upper(F.trim("p_type")), "maker": F.col("p_brand"), "ord": F.when(F.col("name").isNotNull(), F.col("food_id"))})
     out = aggregates.archetypes(keyed, ["kind", "maker"], ["kcal", "protein"], ["p_name"], {"name": "ord"})
-    return out.withColumns({c: F.round(c, 6) for c in ("kcal", "protein")})
+    return out.withColumns({c: F.round(c, 10) for c in ("kcal", "protein")})
 
 
-@query("""select p_type, base_id, base_name, kcal, round(avg(fiber), 6) as fiber, case when min(fiber) < max(fiber) then min(fiber) end as fiber_min, case when min(fiber) < max(fiber) then max(fiber) end as fiber_max, coalesce((max(fiber) - min(fiber)) / max(fiber) > 0.1, false) as discrepancy, count(*) as n from
+@query("""select p_type, base_id, base_name, kcal, round(avg(fiber), 10) as fiber, case when min(fiber) < max(fiber) then min(fiber) end as fiber_min, case when min(fiber) < max(fiber) then max(fiber) end as fiber_max, coalesce((max(fiber) - min(fiber)) / max(fiber) > 0.1, false) as discrepancy, count(*) as n from
     (select s.p_type, s.cooked, s.fiber, b.food_id as base_id, b.name as base_name, b.kcal as kcal, b.cooked as base_cooked, bool_and(s.cooked) over (partition by s.p_type) as every from scored s join (select *, row_number() over (partition by p_type order by score desc, food_id) as r from scored) b on b.p_type = s.p_type and b.r = 1)
     where not cooked or base_cooked or every group by p_type, base_id, base_name, kcal""",
     """scored as (select p_type, food_id, name, fiber, kcal, regexp_matches(lower(name), 'fried|roasted|boiled|cooked|steamed|poached|microwaved|baked|canned|grilled|stewed|braised|toasted|simmered|barbecued') as cooked,
     case when contains(lower(name), 'raw') then 15 else 0 end + case when contains(lower(name), ' dry') or contains(lower(name), 'dried') then 10 else 0 end - case when regexp_matches(lower(name), 'fried|cooked|boiled|roasted|canned') then 20 else 0 end - 0.05 * length(name) as score from foods where name <> '')""")
 def base_row_stats(t):
     out = aggregates.base_rows(t.foods.where("name <> ''"), "p_type", "name", "food_id", ["kcal"], ["fiber"])
-    return out.withColumn("fiber", F.round("fiber", 6))
+    return out.withColumn("fiber", F.round("fiber", 10))
 
 
 @query('select unnest([\'protein\', \'fat\', \'fiber\']) as "column", unnest([avg(case when protein is null then 0.0 else 1.0 end), avg(case when fat is null then 0.0 else 1.0 end), avg(case when fiber is null then 0.0 else 1.0 end)]) as share from foods')
@@ -262,15 +262,15 @@ def column_coverage(t):
     return aggregates.coverage(t.foods, ["protein", "fat", "fiber"])
 
 
-@query("select count(*) as products, count(distinct category) as canonicals, count(name) / cast(count(distinct category) as double) as per_canonical, round(avg(kcal), 6) as mean_kcal, count(*) filter (where kcal > 500) as above, count(*) filter (where kcal > 500 and protein is not null) as both from foods")
+@query("select count(*) as products, count(distinct category) as canonicals, count(name) / cast(count(distinct category) as double) as per_canonical, round(avg(kcal), 10) as mean_kcal, count(*) filter (where kcal > 500) as above, count(*) filter (where kcal > 500 and protein is not null) as both from foods")
 def store_stats(t):
-    return t.foods.agg(F.count("*").alias("products"), F.count_distinct("category").alias("canonicals"), (F.count("name") / F.count_distinct("category")).alias("per_canonical"), F.round(F.avg("kcal"), 6).alias("mean_kcal"), F.count_if(F.col("kcal") > 500).alias("above"), F.count_if((F.col("kcal") > 500) & F.col("protein").isNotNull()).alias("both"))
+    return t.foods.agg(F.count("*").alias("products"), F.count_distinct("category").alias("canonicals"), (F.count("name") / F.count_distinct("category")).alias("per_canonical"), F.round(F.avg("kcal"), 10).alias("mean_kcal"), F.count_if(F.col("kcal") > 500).alias("above"), F.count_if((F.col("kcal") > 500) & F.col("protein").isNotNull()).alias("both"))
 
 
-@query("select p_type, string_agg(distinct b, ' | ' order by b) as brands, sum(n) as n, round(avg(kcal), 6) as kcal, arg_min(p_name, length(p_name) * 100000 + food_id) as short_name from (select p_type, food_id, p_name, kcal, 1 as n, unnest(string_split(coalesce(brands, ''), '|')) as b, len(string_split(coalesce(brands, ''), '|')) as m from foods) where trim(b) <> '' group by p_type")
+@query("select p_type, string_agg(distinct b, ' | ' order by b) as brands, sum(n) as n, round(avg(kcal), 10) as kcal, arg_min(p_name, length(p_name) * 100000 + food_id) as short_name from (select p_type, food_id, p_name, kcal, 1 as n, unnest(string_split(coalesce(brands, ''), '|')) as b, len(string_split(coalesce(brands, ''), '|')) as m from foods) where trim(b) <> '' group by p_type")
 def cluster_merge(t):
     branded = t.foods.select("p_type", "food_id", "p_name", "kcal", F.explode(F.split(F.coalesce("brands", F.lit("")), r"\|")).alias("b")).where(F.trim("b") != "")
-    return branded.groupBy("p_type").agg(aggregates.squash("b").alias("brands"), F.count("*").cast("decimal(38,0)").alias("n"), F.round(F.avg("kcal"), 6).alias("kcal"), F.min_by("p_name", F.length("p_name") * 100000 + F.col("food_id")).alias("short_name"))
+    return branded.groupBy("p_type").agg(aggregates.squash("b").alias("brands"), F.count("*").cast("decimal(38,0)").alias("n"), F.round(F.avg("kcal"), 10).alias("kcal"), F.min_by("p_name", F.length("p_name") * 100000 + F.col("food_id")).alias("short_name"))
 
 
 # Rankings
