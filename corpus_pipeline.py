@@ -22,11 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of two or more lines go from the texts; ``n_chars`` follows the text.
 
-    A document goes if it loses all its lines, or if less than a fifth of its text is left and most lines that went were another document's before: it was a near copy of others.
+    A document goes only if nothing of its text is left; what is left of any other stays, and near copies are the next stage's.
     """
-    out = linededup.dedup_lines(docs.withColumn("_before", F.length("text")), run=2)
-    copied = (F.length("text") * 5 < F.col("_before")) & (F.col("n_foreign") * 2 > F.col("n_removed"))
-    out = out.where((F.col("n_removed") == 0) | ~((F.col("text") == "") | copied))
+    out = linededup.dedup_lines(docs, run=2)
+    out = out.where((F.col("n_removed") == 0) | (F.col("text") != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(docs.columns)
 

@@ -62,3 +62,12 @@ def test_each_stage(spark):
     rows = steps["best-fit packing"](spark, out, SF).collect()
     assert whole(rows, pairs(out)) <= -(-sum(r.length for r in rows) // 2048) + 1
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(tuple(r)[:5] for r in rows)
+
+
+def test_line_stage_keeps_what_is_left(spark):
+    shared = "\n".join(f"shared line {k} of many words that all have" for k in range(50))
+    rows = [(1, shared), (2, f"{shared}\nthe only line of its own"), (3, shared), (4, f"own start\n{shared}\nown end")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = corpus_pipeline.dedup_lines(spark, docs, SF).collect()
+    left = {1: shared, 2: "the only line of its own", 4: "own start\nown end"}
+    assert {r.doc_id: r.text for r in out} == left and all(r.n_chars == len(r.text) for r in out)
