@@ -4,36 +4,50 @@ A line is a fingerprint where its hash is the least of some window of ``run`` co
 ``run`` lines in a row share the window's least line, so only windows whose fingerprint occurs more than once can repeat; the others are
 left out before anything is compared. A fingerprint's occurrences are extended both ways to the windows that hold it. Each such window is joined
 with its first occurrence, and where it isn't the first itself, its lines are deleted: what goes is the union of all windows that
-occurred before, which is every maximal later run of ``run`` lines or more.
+occurred before, which is every maximal later run of ``run`` lines or more. With ``alone``, a line of so many words is a window by itself too,
+so it goes wherever it occurred before, whatever stands beside it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import fixed, places
 
 
-def _windows(df: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """(id, text_hash, at, mark, mark_at, w1, w2): windows of ``run`` lines, with the least line hash and its place."""
+def _windows(df: DataFrame, id_col: str, text_col: str, run: int, alone: int | None) -> DataFrame:
+    """(id, text_hash, at, size, mark, mark_at, w1, w2): windows of ``run`` lines, and of one line of ``alone`` words or more, with the least line hash and its place."""
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_t"))
     rows = fixed(rows, lines=F.split(F.col("_t"), "\n")).drop("_t")
-    rows = fixed(rows.where(F.size("lines") >= run), codes=F.transform("lines", lambda x: F.xxhash64(x)))
+    rows = fixed(rows if alone else rows.where(F.size("lines") >= run), codes=F.transform("lines", lambda x: F.xxhash64(x)))
 
-    def window(i: Column) -> Column:
-        lines, codes = ([F.get(c, i + k) for k in range(run)] for c in ("lines", "codes"))
-        least = F.least(*(F.struct(c.alias("h"), (i + k).alias("at")) for k, c in enumerate(codes)))
+    def window(i: Column, size: int) -> Column:
+        lines, codes = ([F.get(c, i + k) for k in range(size)] for c in ("lines", "codes"))
+        marks = [F.struct(c.alias("h"), (i + k).alias("at")) for k, c in enumerate(codes)]
+        least = F.least(*marks) if size > 1 else marks[0]
         # 128 bits of two differently built hashes stand for the window's text.
         w1, w2 = F.xxhash64(*lines), F.xxhash64(F.lit(7), *reversed(lines))
-        return F.struct(i.alias("at"), least["h"].alias("mark"), least["at"].alias("mark_at"), w1.alias("w1"), w2.alias("w2"))
+        return F.struct(i.alias("at"), *([F.lit(size).alias("size")] if alone else []), least["h"].alias("mark"), least["at"].alias("mark_at"), w1.alias("w1"), w2.alias("w2"))
+
+    every = F.transform(places(F.size("lines") - (run - 1)), lambda i: window(i, run))
+    if alone:
+        long = F.filter(places(F.size("lines")), lambda i: _is_long(F.get("lines", i), alone))
+        every = F.concat(every, F.transform(long, lambda i: window(i, 1)))
+    return rows.select("id", "text_hash", F.inline(every))
+
 
-    return rows.select("id", "text_hash", F.inline(F.transform(places(F.size("lines") - (run - 1)), window)))
+def _is_long(line: Column, words: int) -> Column:
+    """Whether white space parts a line into ``words`` or more; short lines aren't parted at all."""
+    return F.when(F.length(line) < 2 * words - 1, False).otherwise(F.size(F.regexp_extract_all(line, F.lit(r"\S+"), 0)) >= words)
 
 
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2) -> DataFrame:
-    """(id, text_hash, starts, foreign): for every text with later repeats, the sorted starts of the windows of ``run`` lines that occurred before, and of those that first did in another text."""
-    windows = _windows(df, id_col, text_col, run)
+def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, alone: int | None = None) -> DataFrame:
+    """(id, text_hash, starts, foreign [, ones, foreign_ones]): for every text with later repeats, the sorted starts of the windows of ``run`` lines that occurred before, and of those that first did in another text; with ``alone`` the same for lines of so many words."""
+    windows = _windows(df, id_col, text_col, run, alone)
     place = lambda at: F.struct(F.col("id").isNull().alias("n"), "id", "text_hash", F.col(at).alias("at"))
     ends = lambda at: (F.min(place(at)).alias("first"), F.max(place(at)).alias("last"))
     # Fingerprints that are in more than one place; one row each, whatever the number of places.
@@ -43,23 +57,30 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = held.groupBy("w1", "w2").agg(*ends("at")).where("first <> last").select("w1", "w2", "first")
     later = held.join(again, ["w1", "w2"]).where(place("at") != F.col("first"))
     other = ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_hash") == F.col("text_hash")))
-    return later.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("starts"), F.array_sort(F.collect_set(F.when(other, F.col("at")))).alias("foreign"))
+    found = lambda *where: F.array_sort(F.collect_set(F.when(reduce(and_, where), F.col("at")) if where else F.col("at")))
+    if not alone:
+        return later.groupBy("id", "text_hash").agg(found().alias("starts"), found(other).alias("foreign"))
+    one = F.col("size") == 1
+    lists = {"starts": found(~one), "foreign": found(~one, other), "ones": found(one), "foreign_ones": found(one, other)}
+    return later.groupBy("id", "text_hash").agg(*(c.alias(n) for n, c in lists.items()))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2) -> DataFrame:
-    """``df`` with later repeated runs of ``run`` or more lines deleted from the text, plus n_lines, n_removed, n_runs and n_foreign (removed lines that another text had first).
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, alone: int | None = None) -> DataFrame:
+    """``df`` with later repeated runs of ``run`` or more lines, and later repeats of single lines of ``alone`` or more words (none, if None), deleted from the text, plus n_lines, n_removed, n_runs and n_foreign (removed lines that another text had first).
 
     Lines are split at line feeds. Order is by id (null last), text hash and line. Rows equal in id and text are one text and get the same
     result; a null text stays null with no lines; an empty text is one empty line. A text of which all lines go becomes empty. Other columns stay.
     """
-    lists = repeated_runs(df, id_col, text_col, run).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "starts", "foreign")
+    alone = alone if run > 1 else None  # every line is a run then
+    lists = repeated_runs(df, id_col, text_col, run, alone).withColumnsRenamed({"id": "_id", "text_hash": "_hash", "ones": "_ones", "foreign_ones": "_foreign_ones"})
     keyed = df.withColumn("_own", F.xxhash64(text_col))
     # Hashing the lists, not sorting the texts: these only stream by.
     out = keyed.join(lists.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     lines = F.split(F.col(text_col), "\n")
     none = F.array().cast("array<int>")
     covered = lambda starts: F.array_distinct(F.flatten(F.transform(F.coalesce(starts, none), lambda a: F.transform(F.sequence(F.lit(0), F.lit(run - 1)), lambda k: a + k))))
-    out = fixed(out, _lines=lines, _gone=covered("starts"), _other=covered("foreign"))
+    joined = lambda starts, ones: F.array_distinct(F.concat(covered(starts), F.coalesce(F.col(ones), none))) if alone else covered(starts)
+    out = fixed(out, _lines=lines, _gone=joined("starts", "_ones"), _other=joined("foreign", "_foreign_ones"))
     start = F.struct(F.lit(0).alias("next"), F.lit(None).cast("int").alias("last"), F.lit(0).alias("runs"))
 
     def count(acc: Column, x: Column) -> Column:

@@ -1,3 +1,5 @@
+import re
+
 from larder.llm import linededup
 from larder.llm.queries import ORACLES, QUERIES
 
@@ -36,3 +38,35 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def brute_alone(rows, run, words):
+    """As ``brute``, but a line of ``words`` or more goes by itself too."""
+    seen, out, done = set(), [], {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if t is not None and (i, t) not in done:
+            lines, gone = t.split("\n"), set()
+            for size in (run, 1):
+                for a in range(len(lines) - size + 1):
+                    w = tuple(lines[a : a + size])
+                    if size == run or len(re.findall(r"[^ \t\n\x0b\f\r]+", lines[a])) >= words:
+                        if w in seen:
+                            gone.update(range(a, a + size))
+                        seen.add(w)
+            done[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        out.append((i, done.get((i, t))))
+    return sorted(out, key=str)
+
+
+def test_long_lines_go_alone(spark):
+    long = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, f"{long} more"), (5, f"e\n{long[:-4]}\nf"), (6, f"g\n{long[:-4]}\nh"), (7, f"{long}\n{long}"), (8, "a"), (9, None), (10, ""), (11, f"a\n{long}"), (11, f"a\n{long}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for run in (2, 3):
+        out = linededup.dedup_lines(df, run=run, alone=50).collect()
+        assert sorted(((r.doc_id, r.text) for r in out), key=str) == brute_alone(rows, run, 50)
+        assert {r.doc_id: (r.n_removed, r.n_foreign) for r in out}[3] == (1, 1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    kept = sorted(((r.doc_id, r.text) for r in linededup.dedup_lines(docs, alone=50).collect()), key=str)
+    rows = [tuple(r) for r in docs.collect()]
+    assert kept == brute_alone(rows, 2, 50) != brute(rows)
