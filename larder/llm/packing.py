@@ -29,6 +29,15 @@ _SIMPLE = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
 _PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+|\n")
 _WORD_END = "</w>"
 
+# Python counts U+001C to U+001F as white space; the tokenizer doesn't drop them.
+_SEPARATOR = re.compile("[\x1c-\x1f]")
+_WORD = re.compile("[\\S\x1c-\x1f]+")
+
+
+def _split(text: str) -> list[str]:
+    """The text's words, parted at the white space that the tokenizer drops."""
+    return _WORD.findall(text) if _SEPARATOR.search(text) else text.split()
+
 
 class _Lists:
     """Numbered lists of ids in one growing array."""
@@ -138,7 +147,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = [(t or "").split() for t in batch.column(2).to_pylist()]
+                texts = [_split(t or "") for t in batch.column(2).to_pylist()]
                 rows, start, length, crc, piece, kept = [], [], [], [], [], []
                 for k, ids in enumerate(coder.encode(texts)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")

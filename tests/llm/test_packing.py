@@ -60,3 +60,11 @@ def test_odd_rows(spark):
     assert packing.pack(df.limit(0), PATH).collect() == []
     twice = packing.pack(df.unionAll(df), PATH).collect()
     assert len(twice) == 2 * len(packing.pack(df, PATH).collect())
+
+
+def test_every_white_space(spark):
+    signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
+    texts = [f"ab{x}cd" for x in signs] + [f"{x}ab {x} cd{x}" for x in signs] + ["\x1c", "\x1d\x1e \x1f", "one\x1ctwo\n\x1dthree\u3000four\x1f", "".join(signs)]
+    docs = [*enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole(packing.pack(df, PATH).collect(), docs)
