@@ -67,7 +67,7 @@ def judge(
     """(id, host, path, rule, verdict, trust, distrust): one row a row of ``pages``.
 
     A seed's weight is the share of the host's pages that rules allow (block), so a host of which few pages are blocked is
-    no full source of distrust. Edges: links with a host of their own, to another host, weighted by their number. Where no rule fits, the verdict is block
+    no full source of distrust. A host that is linked to but has no pages is a seed by the share of the links to it that rules allow (block). Edges: links with a host of their own, to another host, weighted by their number. Where no rule fits, the verdict is block
     if the host's distrust is at least ``threshold`` and above its trust, else allow; 0.075 is half of what a wholly blocked host keeps by itself at damping 0.85.
     A null url, or one without ``://``, has empty host and path and is allowed; null html has no links. Repeated rows are
     judged alike, each link counting as often as it stands. Scores are rounded to 9 digits.
@@ -79,13 +79,17 @@ def judge(
     hosts = stage(seen.where("host <> ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
     out = pages.select(host_of(url).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), 1)).alias("link"))
     target = F.when(F.col("link").startswith("//"), F.concat(F.lit(":"), F.col("link"))).otherwise(F.col("link"))
-    out = out.select("src", host_of(target).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
-    edges = stage(out.groupBy("src", "dst").agg(F.count("*").alias("n")), "host-edges")
+    out = out.select("src", host_of(target).alias("dst"), path_of(target).alias("path")).where("src <> '' and dst <> '' and src <> dst")
+    out = out.withColumn("fit", _rule(F.col("dst"), F.col("path"), rules))
+    fits = (F.count_if(F.col("fit.verdict") == v).alias(v) for v in ("allow", "block"))
+    edges = stage(out.groupBy("src", "dst").agg(F.count("*").alias("n"), *fits), "host-edges")
     if edges.isEmpty():  # then scores are what the seeds keep
         trust, distrust = (hosts.select("host", (F.col(c) * (1 - damping)).alias("score")) for c in ("allowed", "blocked"))
     else:
-        trust = _spread(hosts, stage(_shares(edges, "src", "dst"), "shares"), "allowed", damping, rounds)
-        distrust = _spread(hosts, stage(_shares(edges, "dst", "src"), "shares"), "blocked", damping, rounds)
+        linked = edges.groupBy(F.col("dst").alias("host")).agg(*((F.sum(v) / F.sum("n")).alias(c) for v, c in (("allow", "allowed"), ("block", "blocked"))))
+        seeds = stage(hosts.unionByName(linked.where("allowed + blocked > 0").join(hosts.select("host"), "host", "left_anti")), "seeds")
+        trust = _spread(seeds, stage(_shares(edges, "src", "dst"), "shares"), "allowed", damping, rounds)
+        distrust = _spread(seeds, stage(_shares(edges, "dst", "src"), "shares"), "blocked", damping, rounds)
     scored = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
     scored = scored.select("host", *(F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("trust", "distrust")))
     both = seen.join(scored, "host", "left").select("*", *(F.coalesce(c, F.lit(0.0)).alias(f"_{c}") for c in ("trust", "distrust")))

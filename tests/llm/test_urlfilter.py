@@ -87,3 +87,29 @@ def test_sql(spark):
     from .oracle import same
 
     assert same(spark, QUERIES["op4_url_filter"], ORACLES["op4_url_filter"], "/root/testdata/sf0.01") == 250
+
+
+def brute_linked(pages):
+    """As ``brute``, with a page of every link to a host without pages, which goes again in the end."""
+    have, more = {split_url(u)[0] for _, u, _ in pages}, []
+    for _, url, html in pages:
+        h = split_url(url)[0]
+        for link in re.findall(urlfilter.LINK, html or ""):
+            url = ":" + link if link.startswith("//") else link
+            to = split_url(url)[0]
+            if h and to and to != h and to not in have:
+                more.append((-1, url, ""))
+    return [r for r in brute([*pages, *more]) if r[0] != -1]
+
+
+def test_linked_hosts_without_pages(spark):
+    a = lambda *x: "".join(f'<a href="{u}">x</a>' for u in x)
+    pages = [
+        (1, "http://linker.test/", a("http://spam.net/1", "http://spam.net/2")), (2, "http://mixed.test/", a("http://shop.example.com/de/", "http://shop.example.com/", "http://shop.example.com/en/", "http://fine.test/")),
+        (3, "http://far.test/", a("http://linker.test/")), (4, "http://own.net/x", ""), (5, "http://friend.test/", a("http://own.net/y", "//good.org/fr/")), (6, None, a("http://lost.net/")), (7, "http://proud.test/", a("//Good.org/fr/1")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = brute_linked(pages)
+    assert got(urlfilter.judge(df)) == want
+    verdicts = {r[1]: r[4] for r in want}
+    assert verdicts["linker.test"] == "block" and verdicts["mixed.test"] == verdicts["proud.test"] == "allow"
