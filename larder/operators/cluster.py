@@ -130,31 +130,49 @@ def by_taxonomy(df: DataFrame, block: Sequence[Column], id_col: str, name: str,
     return _blocks(df, block, id_col, [name, *nutrients], [], solve)
 
 
-def average_linkage(vectors: np.ndarray, most: float = 0.10) -> list[int]:
-    """Agglomerative clusters by average cosine distance, merged while the least distance is ``most`` or less."""
+def average_linkage(vectors: np.ndarray, most: float = 0.10, copies: np.ndarray | None = None) -> list[int]:
+    """Agglomerative clusters by average cosine distance, merged while the least distance is ``most`` or less; ``copies``: rows that each vector stands for.
+
+    The average distance of two clusters follows from the sums of their unit vectors, and each cluster keeps its nearest one, so no matrix of all pairs is
+    held. A merge never brings two clusters nearer than their parts were, so only those whose nearest was merged look anew.
+    """
     n = len(vectors)
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    dist = 1 - unit @ unit.T
-    np.fill_diagonal(dist, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    while n > 1 and alive.sum() > 1:
-        i, j = divmod(int(np.argmin(dist)), n)
-        if dist[i, j] > most:
+    size = np.ones(n) if copies is None else copies.astype(np.float64)
+    sums = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12) * size[:, None]
+    label, alive = np.arange(n), np.ones(n, bool)
+    near, least = np.zeros(n, np.int64), np.full(n, np.inf)
+
+    def look(rows: np.ndarray) -> None:
+        for k in range(0, len(rows), 256):
+            part = rows[k : k + 256]
+            dist = 1 - (sums[part] @ sums.T) / size[part, None] / size
+            dist[:, ~alive] = np.inf
+            dist[np.arange(len(part)), part] = np.inf
+            near[part] = dist.argmin(axis=1)
+            least[part] = dist[np.arange(len(part)), near[part]]
+
+    look(np.arange(n))
+    for _ in range(n - 1):
+        i = int(np.argmin(least))
+        if least[i] > most:
             break
-        i, j = min(i, j), max(i, j)
-        merged = (dist[i] * size[i] + dist[j] * size[j]) / (size[i] + size[j])
-        dist[i], dist[:, i] = merged, merged
-        dist[i, i] = np.inf
-        dist[j], dist[:, j] = np.inf, np.inf
+        i, j = sorted((i, int(near[i])))
+        sums[i] += sums[j]
         size[i] += size[j]
-        alive[j] = False
+        alive[j], least[j] = False, np.inf
         label[label == j] = i
+        look(np.nonzero(alive & ((near == i) | (near == j) | (np.arange(n) == i)))[0])
     return label.tolist()
 
 
 def by_meaning(df: DataFrame, block: Sequence[Column], id_col: str, vector: str, most: float = 0.10) -> DataFrame:
-    """(id, cluster): average-linkage clusters of cosine distance ``most`` within blocks."""
+    """(id, cluster): average-linkage clusters of cosine distance ``most`` within blocks. Equal vectors of a block are one, with their number as its weight."""
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": average_linkage(np.stack(pdf[vector].to_list()).astype(np.float64), most)})
-
-    return _blocks(df, block, id_col, [vector], [], solve)
+        return pd.DataFrame({"k": average_linkage(np.stack(pdf[vector].to_list()).astype(np.float64), most, pdf["_copies"].to_numpy())})
+
+    rows = df.select(q(id_col).alias("_id"), F.struct(*(b.alias(f"_b{k}") for k, b in enumerate(block)), q(vector).alias("_v")).alias("_key"))
+    heads = rows.groupBy("_key").agg(F.min("_id").alias("_id"), F.count("*").alias("_copies"))
+    distinct = heads.select("_id", "_copies", F.col("_key._v").alias(vector), *(F.col(f"_key._b{k}") for k in range(len(block))))
+    solved = _blocks(distinct, [F.col(f"_b{k}") for k in range(len(block))], "_id", [vector, "_copies"], [], solve)
+    led = heads.select("_id", F.col("_key").alias("_head")).join(solved, "_id").drop("_id")
+    return rows.join(led, F.col("_key").eqNullSafe(F.col("_head"))).select(F.col("_id").alias(id_col), "cluster")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.similarity import token_sort_ratio
 from larder.operators import cluster
+from larder.queries import QUERIES
 
 
 def test_lead_joins_the_first_that_fits_and_fills_gaps():
@@ -51,3 +52,31 @@ def test_copies_follow_the_first(spark):
         own = sorted((r for r in rows if r[1] == name), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
         k = cluster.lead(np.array([[np.nan if r[2] is None else r[2]] for r in own]))
         assert [near[r[0]] for r in own] == [own[k.index(c)][0] for c in k]
+
+
+def brute_linkage(vectors, most):
+    """Clusters of row numbers: the nearest two by mean distance of all pairs merge first."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    dist, groups = 1 - unit @ unit.T, [[k] for k in range(len(vectors))]
+    while len(groups) > 1:
+        d, i, j = min((dist[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i]))
+        if d > most:
+            break
+        groups[j] += groups.pop(i)
+    return {frozenset(g) for g in groups}
+
+
+def test_agglomerative_query_clusters_whole_labels(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(90, 6)).astype(np.float32)
+    vectors[60:70] = vectors[3]
+    vectors[70:80] = vectors[5:15]
+    rows = [(k, v.tolist(), [0, 1, None][k % 2 if k < 80 else 2]) for k, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r.cluster for r in QUERIES["agglomerative_cosine"](spark, str(tmp_path)).collect()}
+    want = {}
+    for label in (0, 1, None):
+        ids = [r[0] for r in rows if r[2] == label]
+        for g in brute_linkage(vectors[ids].astype(np.float64), 0.6):
+            want |= {ids[k]: ids[min(g)] for k in g}
+    assert got == want and len(set(want.values())) < 60
