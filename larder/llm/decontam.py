@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
-from .words import fixed, places, words
+from .words import column, fixed, free, places, words
 
 
 def _marks(hashes: Column, n: Column, k: int, w: int) -> Column:
@@ -108,8 +108,12 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without contaminated rows; all columns stay, and rows of one id with other texts are judged apart."""
-    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("x")))
-    judged = contamination(keyed.select("_key", F.col(text_col).alias("_text")), items, "_key", "_text", **how)
-    bad = judged.where("contaminated").select(F.col("_key").alias("_bad")).distinct()
-    return keyed.join(bad.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").drop("_key")
+    """``docs`` without contaminated rows; all columns stay, whatever their names, and rows of one id with other texts are judged apart.
+
+    Null and wordless texts stay; rows that are equal in id and text stay or go together; an empty table gives no rows, and without items all rows stay.
+    """
+    key, bad = free("key", docs.columns), free("bad", docs.columns)
+    keyed = docs.withColumn(key, F.struct(column(id_col).alias("i"), F.xxhash64(column(text_col)).alias("x")))
+    judged = contamination(keyed.select(column(key).alias("_key"), column(text_col).alias("_text")), items, "_key", "_text", **how)
+    dirty = judged.where("contaminated").select(F.col("_key").alias(bad)).distinct()
+    return keyed.join(dirty.hint("shuffle_hash"), column(key).eqNullSafe(column(bad)), "left_anti").drop(key)

@@ -56,7 +56,7 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(read(spark, sf_dir, "documents"), run=2)
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents"), run=2, alone=50)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -140,13 +140,14 @@ ORACLES: dict[str, str] = {
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5
     """,
-    "op10_line_dedup": """
+    "op10_line_dedup": r"""
         with l as (select doc_id, text, string_split(text, chr(10)) as w from documents where text is not null),
-        x as (select doc_id, unnest(range(1, len(w))) as a, w from l),
-        g as (select doc_id, a, w[a] || chr(10) || w[a + 1] as t from x),
-        f as (select *, row_number() over (partition by t order by doc_id, a) as k from g),
-        later as (select doc_id, a from f where k > 1),
-        gone as (select distinct doc_id, a from (select doc_id, a from later union all select doc_id, a + 1 from later)),
+        x as (select doc_id, unnest(range(1, len(w) + 1)) as a, w from l),
+        g as (select doc_id, a, 2 as size, w[a] || chr(10) || w[a + 1] as t from x where a < len(w)
+            union all select doc_id, a, 1, w[a] from x where len(regexp_extract_all(w[a], '[^ \t\n\x0B\f\r]+')) >= 50),
+        f as (select *, row_number() over (partition by size, t order by doc_id, a) as k from g),
+        later as (select doc_id, a, size from f where k > 1),
+        gone as (select distinct doc_id, a from (select doc_id, a from later union all select doc_id, a + 1 from later where size = 2)),
         runs as (select doc_id, count(*) as n_removed, count(*) filter (where not exists
             (select 1 from gone p where p.doc_id = gone.doc_id and p.a = gone.a - 1)) as n_runs from gone group by doc_id),
         every as (select doc_id, unnest(range(1, len(w) + 1)) as a, w from l),

@@ -23,6 +23,7 @@ from . import caches
 from .bytehash import mix
 from .components import connected_components
 from .staging import stage
+from .words import column, free
 
 TILE = 128
 PARTS = 4
@@ -252,12 +253,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """``df`` without the rows that are not the first of their near-duplicate group; all columns stay.
 
     Texts are linked if fingerprints of 256 bits over shingles of five words put their similarity at 0.8 or more. The first is the row of the smallest id (a null id comes
-    last), then of the smallest text hash; of rows that are equal in both, one stays. All wordless texts are one group.
+    last), then of the smallest text hash; of rows that are equal in both, one stays. All wordless texts, null ones included, are one group. An empty table gives no rows.
+    Columns may have any names.
     """
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("x"))
-    keyed = df.withColumn("_key", key)
-    classes = near_duplicates(keyed.select("_key", F.col(text_col).alias("_text")), "_key", "_text", shingle, radius_for(similarity, words), words=words, **how)
+    key, name = free("key", df.columns), free("first", df.columns)
+    keyed = df.withColumn(key, F.struct(column(id_col).isNull().alias("n"), column(id_col).alias("i"), F.xxhash64(column(text_col)).alias("x")))
+    classes = near_duplicates(keyed.select(column(key).alias("_key"), column(text_col).alias("_text")), "_key", "_text", shingle, radius_for(similarity, words), words=words, **how)
     first = stage(classes.where("_key <=> component_id").groupBy("_key").agg(F.count("*").alias("n")), "firsts")
-    kept = keyed.join(first.select(F.col("_key").alias("_first")).hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
+    kept = keyed.join(first.select(F.col("_key").alias(name)).hint("shuffle_hash"), column(key).eqNullSafe(column(name)), "left_semi")
     # Only rows that are equal in id and text need a choice, for which texts would have to be sorted.
-    return (kept.dropDuplicates(["_key"]) if first.where("n > 1").limit(1).count() else kept).drop("_key")
+    return (kept.dropDuplicates([key]) if first.where("n > 1").limit(1).count() else kept).drop(key)

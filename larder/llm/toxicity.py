@@ -181,9 +181,16 @@ def toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
-    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay. One pass: rows are judged where they are read, none is shuffled."""
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay, whatever their names.
+
+    One pass: rows are judged where they are read, none is shuffled. Null and empty texts get the score of the bias, as in ``toxicity``; repeated rows stay or go together; an empty table gives no rows. Without
+    usable labels all scores are 0.5, and as nothing is known then, all rows stay.
+    """
     learnt = sample(docs.where(~held_out(id_col)), labels.where(~held_out(id_col)), id_col, text_col, how.pop("label_col", "toxic"), how.pop("max_rows", 20_000))
-    of = _scorer(docs, fit(learnt, **how) or {1 << BITS: 0.0}, BITS)
+    weights = fit(learnt, **how)
+    if not weights:
+        return docs
+    of = _scorer(docs, weights, BITS)
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,4 +198,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             yield batch.filter(pa.array(of(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # Arrow functions don't take every name
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)

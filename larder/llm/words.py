@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +30,23 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     """
     made = F.struct(*(c.alias(name) for name, c in columns.items()))
     return df.select("*", F.inline(F.array(made)))
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores after it as make it differ from all that are taken, whatever their case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], salts: int = 16) -> DataFrame:
+    """``many`` joined with ``few``, which has one row a key. A key's rows are dealt to ``salts`` tasks by the columns ``by``; each of those has its row of ``few``."""
+    salted = many.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    each = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(each, [*keys, "salt"]).drop("salt")

@@ -70,3 +70,11 @@ def test_long_lines_go_alone(spark):
     kept = sorted(((r.doc_id, r.text) for r in linededup.dedup_lines(docs, alone=50).collect()), key=str)
     rows = [tuple(r) for r in docs.collect()]
     assert kept == brute_alone(rows, 2, 50) != brute(rows)
+
+
+def test_very_common_lines(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"start {k}\nsame line\nsame end\n{long}\nown {k % 7}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    out = linededup.dedup_lines(df, alone=50).select("doc_id", "text").collect()
+    assert sorted(map(tuple, out), key=str) == brute_alone(rows, 2, 50)
