@@ -7,11 +7,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from larder.llm import decontam, linededup, packing, simhash, toxicity
 from larder.llm.queries import TOKENIZER, read
-from larder.llm.staging import stage
+from larder.llm.staging import remove, scope, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,14 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of two or more lines go from the texts; ``n_chars`` follows the text.
+    """Later repeats of two or more lines, and of single lines of 50 words or more, go from the texts; ``n_chars`` follows the text.
 
     A document goes only if nothing of its text is left; what is left of any other stays, and near copies are the next stage's.
     """
-    out = linededup.dedup_lines(docs, run=2)
-    out = out.where((F.col("n_removed") == 0) | (F.col("text") != ""))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(docs.columns)
+    return linededup.without_repeats(docs, length_col="n_chars", run=2, alone=50)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
+        with scope() as staged:
+            docs = step(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = stage(docs, name.replace(" ", "-"))
         if k < len(STAGES) - 1:
-            docs = stage(docs, name.replace(" ", "-"))
+            # This stage's documents are written: its intermediate tables and the documents it read are no longer needed.
+            remove(spark, before + staged[:-1])
+            before = staged[-1:]
     return docs
