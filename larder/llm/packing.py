@@ -216,7 +216,7 @@ def pack(
     """(id, piece, start, length, ids_crc32, sequence_id, offset [, ids]): every piece with its sequence and its place there.
 
     Capacities of a sequence: ``limit`` tokens, ``max_docs`` pieces and ``max_attention`` summed squares of lengths (both at what
-    ``limit`` implies, if None; below limit squared, longer pieces are cut shorter to fit). Rows of equal id or text are packed as separate documents; null texts are empty. An empty
+    ``limit`` implies, if None; below limit squared, longer pieces are cut shorter to fit; at limit squared only a sequence of one piece reaches it, and the residual counts in the score). Rows of equal id or text are packed as separate documents; null texts are empty. An empty
     table gives no rows. ``group``: pieces that one task packs together.
     """
     cut = limit if max_attention is None else min(limit, int(max_attention**0.5))

@@ -12,6 +12,8 @@ from . import covertree, decontam, license, linededup, packing, sadedup, shardin
 from .staging import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
+#: Capacities beside the 2,048 tokens, and the weights of the three residuals. Pieces aren't cut below 2,048 tokens, so attention capacity can't be less than that of one such piece.
+PACKING = {"max_docs": 64, "max_attention": 2048 * 2048, "weights": (1.0, 1.0, 1.0), "rule": "norm"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,7 +26,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048, end_id=0)
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048, end_id=0, **PACKING)
 
 
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

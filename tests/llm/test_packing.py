@@ -53,6 +53,45 @@ def test_every_capacity(spark, rule):
     assert len(used) < len(rows)
 
 
+def plain_best_fit(sizes, capacity, weights, rule):
+    """Vector best-fit decreasing written plainly: every bin stays open and is tried for every item."""
+    bins, out = [], {}
+    share = [sum(x / c for x, c in zip(s, capacity, strict=True)) for s in sizes]
+    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k][0], -share[k], k)):
+        best = None
+        for b, free in enumerate(bins):
+            if all(x <= f for x, f in zip(sizes[k], free, strict=True)):
+                after = [(f - x) / c for x, f, c in zip(sizes[k], free, capacity, strict=True)]
+                before = [f / c for f, c in zip(free, capacity, strict=True)]
+                if rule == "norm":
+                    score = -sum(w * a * a for w, a in zip(weights, after, strict=True))
+                else:
+                    score = sum(w * f * x / c for w, f, x, c in zip(weights, before, sizes[k], capacity, strict=True))
+                if best is None or score > best[0] + 1e-12:
+                    best = (score, b)
+        if best is None:
+            bins.append(list(capacity))
+            best = (0, len(bins) - 1)
+        bins[best[1]] = [f - x for f, x in zip(bins[best[1]], sizes[k], strict=True)]
+        out[k] = best[1]
+    return out, bins
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("seed", range(4))
+def test_plain_vector_best_fit(rule, seed):
+    rng = np.random.default_rng(seed)
+    size = np.concatenate([rng.integers(1, 40, 150), rng.integers(40, 2049, 150)])
+    dims = np.stack([size, np.ones_like(size), size * size], axis=1)
+    capacity, weights = np.array([2048, 3, 2048 * 2048]), np.array([1.0, 0.7, 0.4])
+    got = packing.best_fit(dims, capacity, weights, rule)
+    want, bins = plain_best_fit(dims.tolist(), capacity.tolist(), weights.tolist(), rule)
+    # Equally good bins may be named differently: what each bin holds in all is compared.
+    held = sorted(tuple(dims[got == b].sum(axis=0)) for b in range(got.max() + 1))
+    assert held == sorted(tuple(c - f for c, f in zip(capacity.tolist(), b, strict=True)) for b in bins)
+    assert max(np.bincount(got)) == 3
+
+
 def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, "ab <|endoftext|> It's don't  é  x　y\n\t'LL 12345 !!!??"), (4, "word " * 50000), (5, "x" * 3000), (6, "İΣ ΣΣ ﬁ")]
     df = spark.createDataFrame([(*d, 1, 2) for d in docs], "doc_id long, text string, row int, piece int")
@@ -65,6 +104,7 @@ def test_odd_rows(spark):
 def test_every_white_space(spark):
     signs = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
     texts = [f"ab{x}cd" for x in signs] + [f"{x}ab {x} cd{x}" for x in signs] + ["\x1c", "\x1d\x1e \x1f", "one\x1ctwo\n\x1dthree\u3000four\x1f", "".join(signs)]
+    texts += [f"ab{chr(c)}cd {chr(c)} e{chr(c)}" for c in range(256)] + [chr(c) for c in range(256)]
     docs = [*enumerate(texts)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     whole(packing.pack(df, PATH).collect(), docs)
