@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm import decontam, linededup, packing, simhash, toxicity
-from larder.llm.queries import TOKENIZER, read
+from larder.llm.queries import PACKING, TOKENIZER, read
 from larder.llm.staging import remove, scope, stage
 
 
@@ -38,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER), limit=2048, end_id=0)
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), limit=2048, end_id=0, **PACKING)
 
 
 STAGES = [
