@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from larder.llm import sadedup
 
@@ -31,13 +32,26 @@ def got(df):
 
 
 def test_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id < 400")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     want = brute([tuple(r) for r in docs.collect()])
     assert sum(0 < r[2] < r[1] for r in want) > 3
     assert got(sadedup.remove_repeats(docs)) == want
 
 
-def test_odd_rows(spark):
+def test_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(sadedup, "HOT", 3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("doc_id < 300")
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    core, tail = word(330), word(800)
+    rows = [(10000 + k, word(60) + core + word(200)) for k in range(30)] + [(20000 + k, word(k) + tail) for k in range(30)] + [(30000 + k, tail[k : 500 + k]) for k in range(0, 90, 7)]
+    rows += [tuple(r) for r in docs.collect()]
+    assert got(sadedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_odd_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(sadedup, "HOT", hot)
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
     a, b, c = word(700), word(399), word(1500)
@@ -90,3 +104,20 @@ def test_anchor_in_every_window():
         for a in range(len(text) - 399):
             window = grams[a : a + 400 - sadedup.GRAM + 1]
             assert any(a + k in kept for k in np.nonzero(window == window.min())[0]), a
+
+
+def test_intervals():
+    rng = np.random.default_rng(12)
+    base = [bytes(rng.integers(97, 101, 900).astype(np.uint8)) for _ in range(4)]
+    segments = [base[k % 4][rng.integers(0, 300) : rng.integers(560, 900)] for k in range(60)] + [b"ab" * 300, b"ab" * 290 + b"c", b"z" * 500, bytes(range(256)) * 2]
+    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in segments])])
+    raw = b"\0".join([*segments, b""])
+    seen = defaultdict(list)
+    for k, x in enumerate(segments):
+        for a in range(len(x) - 399):
+            seen[x[a : a + 400]].append(int(starts[k]) + a)
+    want = sorted(sorted(v) for v in seen.values() if len(v) > 1)
+    found = defaultdict(list)
+    for at, n in zip(*(x.tolist() for x in sadedup.intervals(raw, starts, 400)), strict=True):
+        found[n].append(at)
+    assert sorted(sorted(v) for v in found.values()) == want
