@@ -142,6 +142,19 @@ ORACLES: dict[str, str] = {
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5
     """,
+    "op8_suffix_dedup": """
+        with t as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+        w as (select r, unnest(range(1, octet_length(b) - 398)) as a, b from t),
+        h as (select r, a, md5(b[a:a + 399]) as m from w),
+        again as (select r, a from (select r, a, count(*) over (partition by m) as n from h) where n > 1),
+        s as (select r, a, sum(case when a - before <= 400 then 0 else 1 end) over (partition by r order by a) as run from (select r, a, lag(a) over (partition by r order by a) as before from again)),
+        runs as (select r, run, min(a) as x, max(a) + 400 as y from s group by all),
+        kept as (select r, count(*) as n, sum(y - x) as gone, list(struct_pack(x := x, y := y) order by x) as l from runs group by r),
+        p as (select r, unnest(list_prepend(1, list_transform(l, lambda e: e.y))) as x, unnest(list_append(list_transform(l, lambda e: e.x), null)) as y from kept),
+        rest as (select p.r, sha256(unhex(coalesce(string_agg(hex(b[p.x:coalesce(p.y, octet_length(b) + 1) - 1]), '' order by p.x), ''))) as sha from p join t using (r) group by p.r)
+        select doc_id, octet_length(b) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(n, 0) as n_spans, coalesce(sha, sha256(b)) as kept_sha256
+        from t left join kept using (r) left join rest using (r)
+    """,
     "op10_line_dedup": r"""
         with l as (select doc_id, text, string_split(text, chr(10)) as w from documents where text is not null),
         x as (select doc_id, unnest(range(1, len(w) + 1)) as a, w from l),

@@ -5,6 +5,9 @@ import numpy as np
 import pytest
 
 from larder.llm import sadedup
+from larder.llm.queries import ORACLES, QUERIES
+
+from .oracle import same
 
 
 def brute(rows, length=400):
@@ -121,3 +124,7 @@ def test_intervals():
     for at, n in zip(*(x.tolist() for x in sadedup.intervals(raw, starts, 400)), strict=True):
         found[n].append(at)
     assert sorted(sorted(v) for v in found.values()) == want
+
+
+def test_sql(spark):
+    assert same(spark, QUERIES["op8_suffix_dedup"], ORACLES["op8_suffix_dedup"]) == 200
