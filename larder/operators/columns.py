@@ -107,3 +107,17 @@ def flatten_nutrients(df: DataFrame, id_col: str, nested: str, names: Sequence[s
     last = long.groupBy(id_col, "key").agg(F.max_by("value", "at").alias("value"))
     wide = last.groupBy(id_col).pivot("key", list(names) if names is not None else None).agg(F.first("value", ignorenulls=True))
     return wide.drop("null")
+
+
+# Parts of a column's name that make it a macronutrient's.
+MACRO_KEYWORDS = ("calorie", "energy", "protein", "carbohydrate", "fiber", "sugar", "starch", "fat", "cholesterol", "alcohol", "omega", "ala", "epa", "dha")
+
+
+def is_macro(name: str) -> bool:
+    """Whether a column's name, whatever its case, tells of a macronutrient."""
+    return any(k in name.lower() for k in MACRO_KEYWORDS)
+
+
+def macro_columns(names: Sequence[str]) -> tuple[list[str], list[str]]:
+    """(macros, others) of nutrient columns, in their order."""
+    return [n for n in names if is_macro(n)], [n for n in names if not is_macro(n)]

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, text
 from ..functions.numbers import round_even
 from ..operators import aggregates, cluster, columns, filters, matching, ranking
 from ..operators.columns import q
+from ..sources import files
 
 # Sums that stand in for missing aggregates.
 SUMS = {
@@ -106,3 +107,49 @@ def platinum(products: DataFrame, references: DataFrame, macros: Sequence[str],
     info = references.select(F.col("id").alias("ref_id"), F.col("name").alias("ref_name"), *(q(m) for m in micros))
     enriched = products.join(best.withColumnRenamed("query_id", "id"), "id").join(info, "ref_id")
     return enriched, products.join(best.select(F.col("query_id").alias("id")), "id", "left_anti")
+
+
+def app_foods(dump: DataFrame, nutrients: Mapping[str, str], required: Sequence[str], country: tuple[str, str] | None, code: str = "code", name: str = "product_name", brands: str = "brands", category: str = "categories_en", completeness: str = "completeness", in_mg: Sequence[str] = ("sodium_100g",), least_extra: int = 3) -> DataFrame:
+    """Foods of the app from a product dump: (food_id, description, data_source, food_group, nutrients).
+
+    Products of the country, complete enough, with all ``required`` amounts, none negative, ``least_extra`` others and a name. ``nutrients``: the app's name of each of the dump's columns; amounts
+    of ``in_mg`` come in grams. The description is name and brands, the group the first of the listed categories.
+    """
+    rows = dump.where(filters.holds(*country)) if country and country[0] in dump.columns else dump
+    there = [c for c in nutrients if c in dump.columns]
+    rows = rows.withColumns({c: q(c).try_cast("double") for c in [*there, completeness]})
+    rows = filters.good_quality(rows, required, [c for c in there if c not in required], name, completeness, least_extra=least_extra)
+    blank = lambda c: F.coalesce(q(c), F.lit(""))
+    described = F.regexp_replace(F.concat(blank(name), F.lit(" - "), blank(brands)), "^[ -]+|[ -]+$", "")
+    amounts = [(q(c) * 1000 if c in in_mg else q(c)).alias(nutrients[c]) for c in there]
+    group = F.get(F.split(q(category), ","), 0) if category in dump.columns else F.lit("Unknown")
+    return rows.select(F.concat(F.lit("off_"), q(code).cast("string")).alias("food_id"), described.alias("description"), F.lit("OpenFoodFacts").alias("data_source"), group.alias("food_group"), *amounts)
+
+
+def ingest_app_foods(spark: SparkSession, dump: str, out: str, nutrients: Mapping[str, str], required: Sequence[str], country: tuple[str, str] | None, limit: int | None = None, parts: int | None = None) -> DataFrame:
+    """The run of ``app_foods``: scan of a tab-separated dump, to a Parquet table. ``limit``: most products, after the country filter, as a trial run may set it."""
+    wanted = ["code", "product_name", "brands", "categories_en", "completeness", *([country[0]] if country else []), *nutrients]
+    rows = files.read_tsv(spark, dump, wanted, parts, drop_bad=True)
+    rows = rows.where(filters.holds(*country)).limit(limit) if country and limit else rows.limit(limit) if limit else rows
+    files.write_parquet(app_foods(rows, nutrients, required, country), out)
+    return files.read_parquet(spark, out)
+
+
+def store_mapping(dump: DataFrame, foods: DataFrame, macros: Mapping[str, str], country: tuple[str, str] | None, code: str = "code", name: str = "product_name", brands: str = "brands", least: float = 70, most: float = 0.10) -> DataFrame:
+    """(product_id, product_name, brands, food_id, food_name, name_score, deviation): products of the country and the food that each is sold as, through both gates.
+
+    ``macros``: the foods' column of each of the dump's. Products without a name or with an unreadable macro have no match.
+    """
+    rows = dump.where(filters.holds(*country)) if country else dump
+    products = rows.select(q(code).alias("id"), q(name).alias("name"), q(brands).alias("brands"), *(q(c).try_cast("double").alias(n) for c, n in macros.items()))
+    products = products.where(F.trim("name") != "").dropna(subset=list(macros.values()))
+    best = matching.by_name_and_macros(products, foods, list(macros.values()), least, most)
+    named = products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "brands")
+    return best.join(named, "product_id").join(foods.select(F.col("id").alias("food_id"), F.col("name").alias("food_name")), "food_id").select("product_id", "product_name", "brands", "food_id", "food_name", "name_score", "deviation")
+
+
+def match_store_products(spark: SparkSession, dump: str, foods: DataFrame, out: str, macros: Mapping[str, str], country: tuple[str, str] | None, least: float = 70, most: float = 0.10, parts: int | None = None) -> DataFrame:
+    """The run of ``store_mapping``: scan of a tab-separated dump, bad lines skipped, to a Parquet table."""
+    wanted = ["code", "product_name", "brands", *([country[0]] if country else []), *macros]
+    files.write_parquet(store_mapping(files.read_tsv(spark, dump, wanted, parts, drop_bad=True), foods, macros, country, least=least, most=most), out)
+    return files.read_parquet(spark, out)

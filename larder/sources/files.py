@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import json
+import os
+import re
+import tarfile
 import uuid
-from collections.abc import Mapping, Sequence
+import zipfile
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +35,77 @@ def read_tsv(spark: SparkSession, path: str, wanted: Sequence[str] | None = None
     return df.repartition(parts) if parts else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = True, encoding: str = "UTF-8", recursive: bool = False, pattern: str | None = None) -> DataFrame:
-    """Comma-separated files with a header; with a schema no job is spent on types. ``recursive`` and ``pattern`` find files below a folder."""
-    reader = spark.read.option("header", True).option("encoding", encoding).option("recursiveFileLookup", recursive)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", infer).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = True, encoding: str = "UTF-8", recursive: bool = False, pattern: str | None = None, fallback: str | None = None) -> DataFrame:
+    """Comma-separated files with a header; with a schema no job is spent on types. ``recursive`` and ``pattern`` find files below a folder.
+
+    ``fallback``: the encoding of files that aren't valid UTF-8, such as latin1. One pass over the lines finds them; only file names and a flag of each reach the driver. All files have the same columns then.
+    """
+    def options(reader):
+        reader = reader.option("recursiveFileLookup", recursive)
+        return reader.option("pathGlobFilter", pattern) if pattern else reader
+
+    def load(paths: str | list[str], encoding: str, schema: T.StructType | str | None) -> DataFrame:
+        reader = options(spark.read).option("header", True).option("encoding", encoding)
+        return reader.schema(schema).csv(paths) if schema else reader.option("inferSchema", infer).csv(paths)
+
+    if not fallback:
+        return load(path, encoding, schema)
+    lines = options(spark.read).text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    found = lines.groupBy("file").agg(F.bool_and("valid").alias("valid")).collect()
+    kinds = {code: [r.file for r in found if r.valid == valid] for valid, code in ((True, encoding), (False, fallback))}
+    if not kinds[fallback]:
+        return load(path, encoding, schema)
+    # Types follow from all files, names from those that are read as they should be.
+    known = schema or load(path, fallback, None).schema
+    if not schema and kinds[encoding]:
+        known = T.StructType([T.StructField(n, f.dataType) for n, f in zip(load(kinds[encoding], encoding, None).columns, known, strict=True)])
+    return reduce(DataFrame.unionByName, (load(files, code, known) for code, files in kinds.items() if files))
+
+
+_SHEET = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
+
+
+def _sheet_rows(book: zipfile.ZipFile, target: str, shared: Sequence[str]) -> list[list[str | None]]:
+    """The cells of a sheet as texts, row by row; rows and cells that the file leaves out are empty."""
+    rows: list[list[str | None]] = []
+    for row in ElementTree.fromstring(book.read(target)).iterfind(".//m:sheetData/m:row", _SHEET):
+        at = int(row.get("r", len(rows) + 1)) - 1
+        rows += [[] for _ in range(at + 1 - len(rows))]
+        for cell in row.iterfind("m:c", _SHEET):
+            letters = re.match("[A-Z]*", cell.get("r", ""))[0]
+            col = reduce(lambda n, x: 26 * n + ord(x) - 64, letters, 0) - 1 if letters else len(rows[at])
+            rows[at] += [None] * (col + 1 - len(rows[at]))
+            value = cell.findtext("m:v", None, _SHEET)
+            if cell.get("t") == "s" and value is not None:
+                value = shared[int(value)]
+            elif cell.get("t") == "inlineStr":
+                value = "".join(t.text or "" for t in cell.iterfind(".//m:t", _SHEET))
+            rows[at][col] = value
+    return rows
+
+
+def read_workbook(spark: SparkSession, path: str, sheets: Sequence[str], header: int = 2, keys: Sequence[str] = ("food_code", "description")) -> dict[str, DataFrame]:
+    """Tables, as texts, of the sheets of an xlsx workbook that are there. ``header``: rows before the one with the names; the first columns get the ``keys`` as names, unnamed others are left out.
+
+    A workbook is one small file, so the driver reads it, by whatever file system Spark does.
+    """
+    content = spark.read.format("binaryFile").load(path).first().content
+    out = {}
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        target = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        texts = ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iterfind("m:si", _SHEET) if "xl/sharedStrings.xml" in book.namelist() else []
+        shared = ["".join(t.text or "" for t in si.iterfind(".//m:t", _SHEET)) for si in texts]
+        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iterfind(".//m:sheet", _SHEET):
+            if sheet.get("name") not in sheets:
+                continue
+            file = target[sheet.get(f"{{{_SHEET['r']}}}id")]
+            rows = _sheet_rows(book, file.lstrip("/") if file.startswith("/") else f"xl/{file}", shared)
+            top = rows[header] if len(rows) > header else []
+            names = [*keys, *top[len(keys) :]]
+            used = [k for k, n in enumerate(names) if n]
+            body = [tuple(r[k] if k < len(r) else None for k in used) for r in rows[header + 1 :] if any(x is not None for x in r)]
+            out[sheet.get("name")] = spark.createDataFrame(body, T.StructType([T.StructField(names[k], T.StringType()) for k in used]))
+    return {s: out[s] for s in sheets if s in out}
 
 
 def read_sheets(spark: SparkSession, folder: str, sheets: Sequence[str], keys: Sequence[str] = ("food_code", "description")) -> list[DataFrame]:
@@ -78,6 +150,66 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",")
     df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
 
 
+def append_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """Adds rows to one CSV file that has one header, written when the file is new.
+
+    Parts are written by tasks and joined stream by stream; the file is replaced at the end, so a failed run changes nothing. Other columns than the file's are an error.
+    """
+    context = df.sparkSession.sparkContext
+    java, conf = context._jvm, context._jsc.hadoopConfiguration()
+    at = lambda p: java.org.apache.hadoop.fs.Path(p)
+    target, made = at(path), at(f"{path}.new-{uuid.uuid4().hex}")
+    system = target.getFileSystem(conf)
+    header = ",".join(df.columns) if sep == "," else sep.join(df.columns)
+    if system.exists(target):
+        there = df.sparkSession.read.option("header", True).option("sep", sep).csv(path).columns
+        if there != df.columns:
+            raise ValueError(f"{path} has the columns {there}")
+    parts = at(f"{path}.parts-{uuid.uuid4().hex}")
+    df.write.option("header", False).option("sep", sep).csv(parts.toString())
+    files = sorted(f.getPath().toString() for f in system.listStatus(parts) if f.getPath().getName().startswith("part-"))
+    sink = system.create(made)
+    if not system.exists(target):
+        sink.write(bytearray(f"{header}\n".encode()))
+    for source in [target, *map(at, files)]:
+        if system.exists(source):
+            stream = system.open(source)
+            java.org.apache.hadoop.io.IOUtils.copyBytes(stream, sink, conf, False)
+            stream.close()
+    sink.close()
+    system.delete(parts, True)
+    if system.exists(target):
+        system.delete(target, False)
+    system.rename(made, target)
+
+
+def fetch_file(get: Callable[[str], Iterable[bytes]], url: str, folder: str) -> str:
+    """The path of a file below ``folder``, got in pieces by ``get(url)`` unless it is there; it appears whole or not at all."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, url.rstrip("/").rsplit("/", 1)[-1].split("?")[0])
+    if not os.path.exists(path):
+        part = f"{path}.part-{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            for piece in get(url):
+                f.write(piece)
+        os.replace(part, path)
+    return path
+
+
+def unpack(path: str, folder: str) -> str:
+    """Extracts a zip or tar archive, compressed or not, unless the folder is there. Members that would leave the folder are an error."""
+    if not os.path.isdir(folder):
+        part = f"{folder}.part-{uuid.uuid4().hex}"
+        if zipfile.is_zipfile(path):
+            with zipfile.ZipFile(path) as z:
+                z.extractall(part)
+        else:
+            with tarfile.open(path) as t:
+                t.extractall(part, filter="data")
+        os.replace(part, folder)
+    return folder
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
@@ -110,6 +242,7 @@ def html_report(df: DataFrame, rows: int = 500) -> str:
     return df.limit(rows).toPandas().to_html(index=False)
 
 
+# The six foods of the mock source.
 MOCK_FOODS = [
     ("1", "Chicken Breast", 165.0, {"protein": 31.0, "fat": 3.6, "carbohydrate": 0.0, "Vitamin A (mcg RAE)": 0.0, "Vitamin C (mg)": 0.0}, 150.0),
     ("2", "Brown Rice", 111.0, {"protein": 2.6, "fat": 0.9, "carbohydrate": 23.0, "Vitamin A (mcg RAE)": 0.0, "Vitamin C (mg)": 0.0}, 150.0),

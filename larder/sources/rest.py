@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,19 @@ def details(fetch: Callable[[str, dict], list], url: str, ids: Sequence[int], si
 
 def to_table(spark: SparkSession, foods: Iterable[dict], schema: str = FOOD, **tags: str) -> DataFrame:
     """Records as a typed table; further columns hold ``tags``."""
-    rows = spark.createDataFrame([(json.dumps(f),) for f in foods], "value string")
+    rows = spark.createDataFrame([(json.dumps(f),) for f in foods], "value string")  # one page or one keyword's pages at a time
     df = rows.select(F.from_json("value", schema).alias("f")).select("f.*")
     return df.withColumns({k: F.lit(v) for k, v in tags.items()})
+
+
+def crawl(spark: SparkSession, fetch: Callable[[str, dict], dict], url: str, keywords: Sequence[str], kinds: Sequence[str], path: str, size: int = 50, most: int = 3, schema: str = FOOD) -> DataFrame:
+    """The foods of each keyword's first pages as a table of Parquet at ``path``, tagged with ``search_category``.
+
+    The driver holds one keyword's pages at a time. Keywords that the table has are not asked for again, so a broken crawl goes on where it ended.
+    """
+    for keyword in keywords:
+        part = f"{path}/search_category={quote(keyword, safe=' ')}"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{part}/_SUCCESS")
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            to_table(spark, list(pages(fetch, url, keyword, kinds, size, most)), schema).coalesce(1).write.mode("overwrite").parquet(part)
+    return spark.read.schema(f"{schema}, search_category string").parquet(path)

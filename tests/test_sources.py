@@ -109,3 +109,111 @@ def test_platinum(spark):
     enriched, unmatched = medallion.platinum(products, refs, ["kcal"], ["iron"])
     assert [(r.id, r.ref_name, r.iron, r.confidence) for r in enriched.collect()] == [(1, "Milk, raw", 2.0, "HIGH")]
     assert [r.id for r in unmatched.collect()] == [2]
+
+
+def test_encoding_fallback(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "food.csv").write_bytes("name,kcal\nCrème,5\n".encode())
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "food.csv").write_bytes("name,kcal\nPâté,7\n".encode("latin1"))
+    (tmp_path / "b" / "other.csv").write_bytes(b"x\n1\n")
+    got = files.read_csv(spark, str(tmp_path), recursive=True, pattern="food.csv", fallback="ISO-8859-1")
+    assert sorted(map(tuple, got.collect())) == [("Crème", 5), ("Pâté", 7)]
+    assert files.read_csv(spark, str(tmp_path / "a"), fallback="ISO-8859-1").first().name == "Crème"
+    only = files.read_csv(spark, str(tmp_path / "b"), pattern="food.csv", schema="name string, kcal int", fallback="ISO-8859-1")
+    assert [tuple(r) for r in only.collect()] == [("Pâté", 7)]
+
+
+def test_workbook(spark, tmp_path):
+    import zipfile
+
+    main, rel = files._SHEET["m"], files._SHEET["r"]
+    row = lambda n, *cells: f'<row r="{n}">{"".join(cells)}</row>'
+    sheet = row(1, '<c r="A1" t="inlineStr"><is><t>Title</t></is></c>') + row(3, '<c r="C3" t="s"><v>0</v></c>', '<c r="E3" t="s"><v>1</v></c>') + row(4, '<c r="A4" t="str"><v>11-001</v></c>', '<c r="B4" t="s"><v>2</v></c>', '<c r="C4"><v>3.5</v></c>', '<c r="E4"><v>2</v></c>') + row(6, '<c r="A6" t="str"><v>11-002</v></c>')
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Proximates" sheetId="1" r:id="rId1"/><sheet name="Notes" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Protein (g)</t></si><si><r><t>Fat</t></r><r><t> (g)</t></r></si><si><t>Milk &amp; tea</t></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{main}"><sheetData/></worksheet>')
+    got = files.read_workbook(spark, str(tmp_path / "book.xlsx"), ["Absent", "Proximates", "Notes"])
+    assert list(got) == ["Proximates", "Notes"] and got["Notes"].count() == 0
+    assert got["Proximates"].columns == ["food_code", "description", "Protein (g)", "Fat (g)"]
+    assert [tuple(r) for r in got["Proximates"].collect()] == [("11-001", "Milk & tea", "3.5", "2"), ("11-002", None, None, None)]
+
+
+def test_sinks(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([(1, "a,b"), (2, 'c"d')], "x int, y string")
+    path = str(tmp_path / "one.csv")
+    files.append_csv(df, path)
+    files.append_csv(df.where("x = 2"), path)
+    text = (tmp_path / "one.csv").read_text().splitlines()
+    assert text[0] == "x,y" and len(text) == 4 and sum(line == "x,y" for line in text) == 1
+    assert sorted(map(tuple, spark.read.csv(path, header=True, escape="\\").collect())) == [("1", "a,b"), ("2", 'c"d'), ("2", 'c"d')]
+    with pytest.raises(ValueError):
+        files.append_csv(df.select("x"), path)
+    files.write_csv(df, str(tmp_path / "many"))
+    assert files.read_csv(spark, str(tmp_path / "many")).count() == 2
+    files.write_json(df, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    (tmp_path / "doc.json").write_text('{"a": [1, 2]}')
+    assert files.read_json_table(spark, str(tmp_path / "doc.json")) == {"a": [1, 2]}
+    assert "<td>a,b</td>" in files.html_report(df)
+
+
+def test_downloads(tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("in/food.csv", "x\n1\n")
+    calls = []
+    get = lambda url: calls.append(url) or iter([held.getvalue()[:10], held.getvalue()[10:]])
+    for _ in range(2):
+        path = files.fetch_file(get, "https://example.org/data/foods.zip?x=1", str(tmp_path / "cache"))
+    assert path.endswith("foods.zip") and len(calls) == 1
+    assert (tmp_path / "cache" / "foods.zip").read_bytes() == held.getvalue()
+    for _ in range(2):
+        files.unpack(path, str(tmp_path / "foods"))
+    assert (tmp_path / "foods" / "in" / "food.csv").read_text() == "x\n1\n"
+    with tarfile.open(tmp_path / "t.tgz", "w:gz") as t:
+        t.add(tmp_path / "foods" / "in" / "food.csv", "food.csv")
+    assert (tmp_path / "tar" / "food.csv").exists() or files.unpack(str(tmp_path / "t.tgz"), str(tmp_path / "tar")) and (tmp_path / "tar" / "food.csv").exists()
+
+
+def test_crawl(spark, tmp_path):
+    calls = []
+
+    def fetch(_, payload):
+        calls.append(payload["query"])
+        n = payload["pageNumber"]
+        return {"foods": [{"fdcId": n, "description": payload["query"]}] if n < 3 else []}
+
+    for _ in range(2):
+        got = rest.crawl(spark, fetch, "u", ["milk", "soy sauce"], ["Foundation"], str(tmp_path / "foods"))
+    assert sorted((r.fdcId, r.description, r.search_category) for r in got.collect()) == [(1, "milk", "milk"), (1, "soy sauce", "soy sauce"), (2, "milk", "milk"), (2, "soy sauce", "soy sauce")]
+    assert len(calls) == 6
+
+
+def test_macros():
+    from larder.operators.columns import macro_columns
+
+    assert macro_columns(["Energy (KCAL)", "Iron (mg)", "Total Fat (g)", "Vitamin C (mg)", "DHA (g)"]) == (["Energy (KCAL)", "Total Fat (g)", "DHA (g)"], ["Iron (mg)", "Vitamin C (mg)"])
+
+
+def test_app_runs(spark, tmp_path):
+    head = "code\tproduct_name\tbrands\tcategories_en\tcompleteness\tcountries_en\tenergy-kcal_100g\tproteins_100g\tfat_100g\tsodium_100g\tiron_100g\tfiber_100g\n"
+    rows = ["1\tWhole Milk\tDairy\tMilks,Drinks\t0.8\tUnited Kingdom\t64\t3.3\t3.6\t0.04\t0.1\t0", "2\tTea\t\tTeas\t0.9\tFrance\t1\t0\t0\t0\t0\t0", "3\tVague\t\tX\t0.4\tUnited Kingdom\t1\t1\t1\t0\t0\t0", "4\tOdd\t\tX\t0.9\tunited kingdom\t-1\t1\t1\t0\t0\t0", "5\tFew\t\tX\t0.9\tUnited Kingdom\t5\t1\t1\t\t\t", "6\tSemi Milk\t\tMilks\t0.7\tFrance, United Kingdom\t65\t3.4\t3.5\t0.05\t0\t0", "bad"]
+    dump = tmp_path / "dump.tsv.gz"
+    with gzip.open(dump, "wt") as f:
+        f.write(head + "\n".join(rows) + "\n")
+    names = {"energy-kcal_100g": "Energy", "proteins_100g": "Protein", "fat_100g": "Fat", "sodium_100g": "Sodium (mg)", "iron_100g": "Iron", "fiber_100g": "Fiber"}
+    got = medallion.ingest_app_foods(spark, str(dump), str(tmp_path / "out"), names, ["energy-kcal_100g", "proteins_100g", "fat_100g"], ("countries_en", "united kingdom"))
+    assert sorted((r.food_id, r.description, r.food_group, r["Sodium (mg)"]) for r in got.collect()) == [("off_1", "Whole Milk - Dairy", "Milks", 40.0), ("off_6", "Semi Milk", "Milks", 50.0)]
+    foods = spark.createDataFrame([(10, "Milk, whole", 64.0, 3.3), (11, "Milk, semi", 40.0, 3.4), (12, "Tea", 1.0, 0.0)], "id long, name string, kcal double, protein double")
+    best = medallion.match_store_products(spark, str(dump), foods, str(tmp_path / "map"), {"energy-kcal_100g": "kcal", "proteins_100g": "protein"}, ("countries_en", "united kingdom"), least=50)
+    assert [(r.product_id, r.food_id, r.food_name) for r in best.orderBy("product_id").collect()] == [("1", 10, "Milk, whole"), ("6", 10, "Milk, whole")]
