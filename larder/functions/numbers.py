@@ -47,7 +47,11 @@ def relative_gap(a: Column | str, b: Column | str) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1e-9))
 
 
-def deviation_from(product: list[Column | str], canonical: list[Column | str], slack: float = 5.0) -> Column:
+#: Fixed value: what a product may have of something of which its canonical food has nothing.
+SLACK = 5.0
+
+
+def deviation_from(product: list[Column | str], canonical: list[Column | str], slack: float = SLACK) -> Column:
     """Largest relative deviation from the canonical values. A canonical zero is skipped if the product has no more than ``slack``, else the deviation is infinite."""
     parts = []
     for p, c in zip(map(col, product), map(col, canonical), strict=True):

@@ -21,10 +21,11 @@ def first_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str |
     return ranked if rank else ranked.drop("_rank")
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Stored and new rows, of one key the last: new rows win, and the columns are those of both."""
+def upsert(stored: DataFrame, new: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Stored and new rows, of one key the last: new rows win, among equally new ones the last by ``order``, then by all columns' values as text; the columns are those of both."""
     both = stored.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)), allowMissingColumns=True)
-    return first_by(both, [key], [F.desc("_age")]).drop("_age")
+    rest = [c for c in both.columns if c not in (key, "_age")]
+    return first_by(both, [key], [F.desc("_age"), *(F.desc(f"`{c}`") for c in order), F.desc(F.to_json(F.struct(*(q(c) for c in rest)))) if rest else F.lit(0)]).drop("_age")
 
 
 def union_preferring(frames: Sequence[DataFrame], key: Column, order: str) -> DataFrame:

@@ -101,9 +101,9 @@ def reference_gold(sources: Sequence[DataFrame], labels: DataFrame, id_col: str,
     return gold, log
 
 
-def platinum(products: DataFrame, references: DataFrame, macros: Sequence[str], micros: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def platinum(products: DataFrame, references: DataFrame, macros: Sequence[str], micros: Sequence[str], apart: bool = False) -> tuple[DataFrame, DataFrame]:
     """(enriched, unmatched) products: micronutrients of the best reference by meaning and macros where the confidence is HIGH or MEDIUM. Both: (id, vector, macros); references also name, micros, is_raw, is_cooked."""
-    best = matching.rerank(products, references, macros).where(F.col("confidence") != "LOW")
+    best = matching.rerank(products, references, macros, apart=apart).where(F.col("confidence") != "LOW")
     info = references.select(F.col("id").alias("ref_id"), F.col("name").alias("ref_name"), *(q(m) for m in micros))
     enriched = products.join(best.withColumnRenamed("query_id", "id"), "id").join(info, "ref_id")
     return enriched, products.join(best.select(F.col("query_id").alias("id")), "id", "left_anti")

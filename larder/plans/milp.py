@@ -42,21 +42,22 @@ def simplex(cost: np.ndarray, rows: np.ndarray, right: np.ndarray) -> np.ndarray
     return None
 
 
-def solve(amounts: np.ndarray, low: np.ndarray, high: np.ndarray, pack: np.ndarray, most: float = 1000.0, seconds: float = 20.0) -> tuple[np.ndarray | None, str]:
-    """(grams of each food, status). ``amounts``: bounds x foods, per gram; ``pack``: pack sizes, 0 for foods by the gram."""
+def solve(amounts: np.ndarray, low: np.ndarray, high: np.ndarray, pack: np.ndarray, most: float = 1000.0, nodes: int = 2000, seconds: float | None = None) -> tuple[np.ndarray | None, str]:
+    """(grams of each food, status) after ``nodes`` nodes at most, so the answer doesn't depend on the machine; ``seconds`` is a guard against hopeless cases and off by default. The status says which of them ended the search. ``amounts``: bounds x foods, per gram; ``pack``: pack sizes, 0 for foods by the gram."""
     n = amounts.shape[1]
     use = np.isfinite(high)
     rows = np.concatenate([amounts[use], -amounts[low > 0]])
     right = np.concatenate([high[use], -low[low > 0]])
     scale = np.maximum(np.abs(rows).max(axis=1, initial=1e-12), 1e-12)
     rows, right = rows / scale[:, None], right / scale
-    began, best, best_cost, late = time.monotonic(), None, np.inf, False
+    best, best_cost, late, seen, began = None, np.inf, "", 0, time.monotonic()
     # A node: bounds of grams, and which foods are known to be in use.
     todo = [(np.zeros(n), np.full(n, most), np.zeros(n, bool))]
     while todo:
-        if time.monotonic() - began > seconds:
-            late = True
+        if seen == nodes or (seconds is not None and time.monotonic() - began > seconds):
+            late = "Node Limit" if seen == nodes else "Time Limit"
             break
+        seen += 1
         lo, hi, used = todo.pop()
         cap = np.nonzero(hi < np.inf)[0]
         limit_rows = np.zeros((len(cap), n))
@@ -93,11 +94,11 @@ def solve(amounts: np.ndarray, low: np.ndarray, high: np.ndarray, pack: np.ndarr
                 without[k] = 0
                 todo.append((lo, without, used))
     if best is None:
-        return None, "Time Limit" if late else "Infeasible"
-    return best, "Feasible (Time Limit)" if late else "Optimal"
+        return None, late or "Infeasible"
+    return best, f"Feasible ({late})" if late else "Optimal"
 
 
-def plan(foods: DataFrame, profiles: DataFrame, targets: Mapping[str, tuple[float, float | None]], days: int = 7, energy_slack: float = 0.05, slack: float = 0.20, most: float = 1000.0, seconds: float = 20.0, candidates: int = 100) -> DataFrame:
+def plan(foods: DataFrame, profiles: DataFrame, targets: Mapping[str, tuple[float, float | None]], days: int = 7, energy_slack: float = 0.05, slack: float = 0.20, most: float = 1000.0, nodes: int = 2000, seconds: float | None = None, candidates: int = 100) -> DataFrame:
     """(profile_id, food_id, grams, packs, status) of each profile (profile_id, kcal). Profiles of equal energy have one problem, solved once; no plan gives one row without a food.
 
     Foods: (food_id, name, calories, nutrients), ``candidates`` at most (choose the best sources first), sent along.
@@ -114,7 +115,7 @@ def plan(foods: DataFrame, profiles: DataFrame, targets: Mapping[str, tuple[floa
         kcal = float(pdf["kcal"].iloc[0])
         low = np.array([kcal * (1 - energy_slack), *((t[0] or 0) * (1 - slack) for t in targets.values())]) * days
         high = np.array([kcal * (1 + energy_slack), *((t[1] * (1 + slack)) if t[1] else np.inf for t in targets.values())]) * days
-        grams, status = solve(amounts, low, high, pack, most, seconds)
+        grams, status = solve(amounts, low, high, pack, most, nodes, seconds)
         if grams is None:
             return pd.DataFrame({"kcal": [kcal], "food_id": [None], "grams": [None], "packs": [None], "status": [status]})
         at = np.nonzero(grams)[0]

@@ -53,5 +53,5 @@ def reference_gold(t):
 @query()
 def enriched_products(t):
     base = t.embeddings.select(F.col("vec_id").alias("id"), F.concat(F.lit("food "), "vec_id").alias("name"), F.array(F.col("label") + 1.0, F.lit(3.0), F.col("vec_id") % 5 + 0.0).alias("vector"), F.col("label").cast("double").alias("kcal"), (F.col("label") * 2.0).alias("iron"), (F.col("label") % 3 == 0).alias("is_raw"), (F.col("label") % 3 == 1).alias("is_cooked"))
-    enriched, _ = medallion.platinum(base.where("id % 2 = 0").select("id", "vector", "kcal"), base.where("id % 2 = 1"), ["kcal"], ["iron"])
+    enriched, _ = medallion.platinum(base.select("id", "vector", "kcal"), base, ["kcal"], ["iron"], apart=True)
     return enriched.drop("vector")

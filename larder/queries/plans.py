@@ -281,20 +281,21 @@ def reference_merge_80(t):
 
 @query()
 def agglomerative_cosine(t):
-    return cluster.by_meaning(t.embeddings, [F.col("label")], "vec_id", "embedding", 0.6)
+    rows = t.embeddings.select("vec_id", "embedding").join(t.foods.select(F.col("food_id").alias("vec_id"), "kcal", "protein"), "vec_id", "left")
+    return cluster.by_meaning(rows, [text.nutrition_bucket("kcal", "protein")], "vec_id", "embedding", 0.10)
 
 
-def candidates(t):
-    best = ranking.best_sources(menu(t), "food_id", "calories", {n: low for n, low in MINIMA.items() if low}, 15, 60).select(F.col("id").alias("food_id"))
+def candidates(t, per_nutrient: int = 30, most: int = 500):
+    best = ranking.best_sources(menu(t), "food_id", "calories", {n: low for n, low in MINIMA.items() if low}, per_nutrient, most).select(F.col("id").alias("food_id"))
     return menu(t).where("name <> ''").join(best, "food_id", "left_semi")
 
 
 @query()
 def ga_islands(t):
-    return genetic.search(candidates(t), KCAL, TARGETS, islands=4, population=12, generations=10)
+    return genetic.search(candidates(t), KCAL, TARGETS, islands=4, population=60, generations=100)
 
 
 @query()
 def milp_diet(t):
     people = t.profiles.select(F.col("id").alias("profile_id"), (F.lit(1800.0) + 100 * (F.col("id") % 4)).alias("kcal"))
-    return milp.plan(candidates(t), people, {"protein": (50.0, None), "Iron (mg)": (8.0, 45.0)}, seconds=5)
+    return milp.plan(candidates(t, most=100), people, TARGETS, nodes=300)

@@ -130,7 +130,7 @@ def plausibility(t):
     return filters.plausible(t.foods.select("food_id", "protein", "carbs", "kcal"), ["protein", "carbs"], "kcal")
 
 
-# Joins: parts of even keys stand for products, those of odd keys for foods.
+# Joins: the parts stand for products and for foods; none is its own match.
 
 
 @query("select l_orderkey, l_linenumber, p_name, n_name from lineitem join part on p_partkey = l_partkey left join supplier on s_suppkey = l_suppkey left join nation on n_nationkey = s_nationkey")
@@ -157,21 +157,21 @@ WORDS = "list_filter(string_split(lower(p_name), ' '), lambda w: length(w) > 2)"
 
 
 @query(f"""select product_id, food_id, n_keywords from (select *, row_number() over (partition by product_id order by n_keywords desc, food_id) as r from
-    (select a.id as product_id, b.id as food_id, cast(count(*) as bigint) as n_keywords from (select p_partkey as id, unnest({WORDS}) as w from part where p_partkey % 2 = 0) a
-     join (select p_partkey as id, unnest(list_distinct({WORDS})) as w from part where p_partkey % 2 = 1) b on a.w = b.w group by 1, 2) where n_keywords >= 2) where r = 1""")
+    (select a.id as product_id, b.id as food_id, cast(count(*) as bigint) as n_keywords from (select p_partkey as id, unnest({WORDS}) as w from part) a
+     join (select p_partkey as id, unnest(list_distinct({WORDS})) as w from part) b on a.w = b.w and a.id <> b.id group by 1, 2) where n_keywords >= 2) where r = 1""")
 def keyword_overlap_match(t):
     words = F.filter(F.split(F.lower("p_name"), " "), lambda w: F.length(w) > 2)
     keyed = t.part.select(F.col("p_partkey").alias("id"), words.alias("keywords"))
-    return matching.by_keywords(keyed.where("id % 2 = 0"), keyed.where("id % 2 = 1"))
+    return matching.by_keywords(keyed, keyed, apart=True)
 
 
 GATE = "greatest(case when f.kcal = 0 then case when p.kcal > 5 then cast('inf' as double) end else abs(p.kcal - f.kcal) / f.kcal end, case when f.sodium = 0 then case when p.sodium > 5 then cast('inf' as double) end else abs(p.sodium - f.sodium) / f.sodium end)"
 
 
-@query(f"select p.food_id as product_id, f.food_id, round(coalesce({GATE}, 0), 9) as deviation from foods p join foods f on p.food_id % 2 = 0 and f.food_id % 2 = 1 where coalesce({GATE}, 0) <= 0.1")
+@query(f"select p.food_id as product_id, f.food_id, round(coalesce({GATE}, 0), 9) as deviation from foods p join foods f on p.food_id <> f.food_id where coalesce({GATE}, 0) <= 0.1")
 def macro_gate_match(t):
     named = t.foods.select(F.col("food_id").alias("id"), "name", "kcal", "sodium")
-    pairs = matching.by_macros(named.where("id % 2 = 0"), named.where("id % 2 = 1"), ["kcal", "sodium"])
+    pairs = matching.by_macros(named, named, ["kcal", "sodium"], apart=True)
     return pairs.select("product_id", "food_id", F.round("deviation", 9).alias("deviation"))
 
 
@@ -184,14 +184,14 @@ def alias_match(t):
 @query()
 def alias_or_fuzzy_match(t):
     aliases = t.spark.createDataFrame([(0, "skimmed milk", 30), (1, "cheddar", 5)], "ord int, alias string, food_id int")
-    named = t.foods.where("name <> ''").select(F.col("food_id").alias("id"), "name")
-    return matching.by_alias_or_name(named.where("id % 2 = 1"), named.where("id % 2 = 0"), aliases)
+    named = t.foods.where("name <> ''").select(F.col("food_id").alias("id"), "name", "p_name")
+    return matching.by_alias_or_name(named.select("id", F.concat_ws(" ", "name", "p_name").alias("name")), named.select("id", "name"), aliases)
 
 
 @query()
 def dual_gate_match(t):
     named = t.foods.where("name <> ''").select(F.col("food_id").alias("id"), "name", "kcal", "sodium")
-    return matching.by_name_and_macros(named.where("id % 2 = 0"), named.where("id % 2 = 1"), ["kcal", "sodium"], 40)
+    return matching.by_name_and_macros(named, named, ["kcal", "sodium"], 40, apart=True)
 
 
 @query("""select query_id, ref_id, round(similarity, 9) as similarity, round(deviation, 9) as deviation, round(score, 9) as score,
@@ -200,10 +200,10 @@ def dual_gate_match(t):
     (select *, similarity + coalesce(0.3 * greatest(0, 0.3 - deviation), 0) + case when label % 3 = 0 then 0.05 when label % 3 = 1 then -0.05 else 0 end as score from
     (select q.vec_id as query_id, f.vec_id as ref_id, f.label, list_cosine_similarity(q.v, f.v) as similarity, case when greatest(q.label, f.label) < 1 then abs(q.label - f.label) else abs(q.label - f.label) / cast(greatest(q.label, f.label) as double) end as deviation,
         row_number() over (partition by q.vec_id order by list_cosine_similarity(q.v, f.v) desc, f.vec_id) as near
-     from (select *, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings) q join (select *, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings) f on q.vec_id % 2 = 0 and f.vec_id % 2 = 1) where near <= 5)) where r = 1""")
+     from (select *, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings) q join (select *, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings) f on q.vec_id <> f.vec_id) where near <= 5)) where r = 1""")
 def cosine_topk_rerank(t):
     base = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("double").alias("m"), (F.col("label") % 3 == 0).alias("is_raw"), (F.col("label") % 3 == 1).alias("is_cooked"))
-    best = matching.rerank(base.where("id % 2 = 0"), base.where("id % 2 = 1"), ["m"])
+    best = matching.rerank(base, base, ["m"], apart=True)
     return best.select("query_id", "ref_id", *(F.round(c, 9).alias(c) for c in ("similarity", "deviation", "score")), "confidence")
 
 

@@ -18,9 +18,9 @@ def product_stream(spark: SparkSession, folder: str, schema: str, files_at_once:
 
 
 def upsert_stream(stream: DataFrame, key: str, table: str, checkpoint: str, order: Sequence[str] = ()) -> StreamingQuery:
-    """Each batch's last row of a key replaces the table's. Stops when all files that are there are read."""
+    """Each batch's last row of a key, by ``order`` and then by all columns' values as text, replaces the table's. Stops when all files that are there are read."""
     def merge(batch: DataFrame, _: int) -> None:
-        last = first_by(batch, [key], [F.desc(c) for c in order] or [F.lit(1)])
+        last = first_by(batch, [key], [*(F.desc(c) for c in order), F.desc(F.to_json(F.struct("*")))])
         upsert_parquet(batch.sparkSession, table, last, key)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

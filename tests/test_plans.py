@@ -1,4 +1,5 @@
-from itertools import product
+from collections import Counter
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -74,3 +75,40 @@ def test_plan_or_no_plan(spark, foods):
     got = milp.plan(foods, people, {"protein": (100.0, None)}, seconds=10).collect()
     assert any(r.profile_id == 1 and r.grams > 0 for r in got)
     assert [r.status for r in got if r.profile_id == 2] == ["Infeasible"]
+
+
+def _foods(n=120):
+    rng = np.random.default_rng(4)
+    amounts = np.concatenate([rng.uniform(5, 500, (n, 1)), rng.uniform(0, 30, (n, 3))], axis=1)
+    kinds = np.array([""] * n, object)
+    kinds[:6] = "herb"
+    return genetic.Problem(np.arange(n) + 1, amounts, ["calories", "protein", "Iron (mg)", "fat"], np.array([""] * n, object), kinds, np.arange(n) < 6, 2000.0, {"protein": (60.0, 400.0), "Iron (mg)": (18.0, 45.0), "fat": (50.0, None)}, 7, 6)
+
+
+def test_stratified_seeds():
+    task = _foods()
+    for k in range(20):
+        out = task.stratified(np.random.default_rng(k), 6)
+        assert len(set(out.tolist())) == 6
+        # The first foods are of the nutrients' buckets, the rarest nutrient first.
+        buckets = [n for n in task.rarest if (task.bucket == n).any()]
+        assert [task.bucket[f] for f in out[: len(buckets)]] == buckets
+        assert (task.amounts[out, 0] >= 10).all()
+    assert len(task.stratified(np.random.default_rng(1), 500)) == 500
+
+
+def test_fitness_of_many_is_that_of_each():
+    task, rng = _foods(), np.random.default_rng(3)
+    food, grams = (np.stack(x) for x in zip(*(task.seed(rng) for _ in range(15)), strict=True))
+    food[3] = food[3][:1]
+    assert np.allclose(task.fitnesses(food, grams), [task.fitness(f, g) for f, g in zip(food, grams, strict=True)])
+    trios = Counter(t for row in food[3].tolist() for t in combinations(sorted(row), 3))
+    assert sum(max(0, n - 2) for n in trios.values()) == 20 * 5
+
+
+def test_node_limit_is_reproducible():
+    rng = np.random.default_rng(8)
+    amounts = rng.uniform(0, 2, (3, 30))
+    low, high = np.array([900.0, 500.0, 700.0]), np.array([1000.0, np.inf, np.inf])
+    runs = [milp.solve(amounts, low, high, np.where(np.arange(30) % 2, 45.0, 0.0), nodes=40) for _ in range(2)]
+    assert runs[0][1] == runs[1][1] == "Feasible (Node Limit)" and (runs[0][0] == runs[1][0]).all()
