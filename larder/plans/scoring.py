@@ -61,8 +61,8 @@ def deviation_score(deviation: Column, nutrient: str) -> Column:
     return F.when(deviation <= 0, 1.0).otherwise(F.greatest(F.lit(0.01), 1.0 - 0.9 * penalty))
 
 
-def nutrient_score(week: DataFrame, kcal: float, targets: Targets, days: int) -> DataFrame:
-    """(plan_id, nutrients) from a plan's totals; nutrients without a minimum don't count."""
+def _nutrient_share(kcal: float, targets: Targets, days: int) -> Column:
+    """The mean score of a plan's totals; nutrients without a minimum don't count."""
     parts = [F.greatest(F.lit(0.0), 1 - 2 * F.abs(1 - F.col("calories") / (kcal * days)))] if kcal > 0 else []
     for n, (low, high) in targets.items():
         if not low:
@@ -71,35 +71,73 @@ def nutrient_score(week: DataFrame, kcal: float, targets: Targets, days: int) ->
         over = F.greatest(F.lit(0.0), 1 - 10 * (q(n) / ((high or 1) * days) - 1))
         score = F.when(ratio >= 1, 1.0).when(ratio >= 0.95, 0.95).when(ratio >= 0.90, 0.85).when(ratio >= 0.80, 0.70).otherwise(0.6 * ratio)
         parts += [F.when(q(n) > high * days, over).otherwise(score) if high else score] * (2 if n in PRIORITY else 1)
-    return week.select("plan_id", (_sum(parts) / max(1, len(parts))).alias("nutrients"))
+    return _sum(parts) / max(1, len(parts))
 
 
-def balance_scores(daily: DataFrame, kcal: float, targets: Targets) -> DataFrame:
-    """(plan_id, macros, micros): means over days of the daily scores; both 1 for plans of one day."""
+def nutrient_score(week: DataFrame, kcal: float, targets: Targets, days: int) -> DataFrame:
+    """(plan_id, nutrients) from a plan's totals."""
+    return week.select("plan_id", _nutrient_share(kcal, targets, days).alias("nutrients"))
+
+
+def _day_scores(kcal: float, targets: Targets) -> tuple[Column, Column]:
+    """Aggregates over a plan's days: the means of the daily scores of macros and of micros."""
     goal = {"calories": kcal} | {m: targets[m][0] for m in ("protein", "fat", "carbohydrate") if m in targets}
     macros = [deviation_score(F.abs(q(n) - t) / t, n) for n, t in goal.items() if t]
     steps = lambda d: F.when(d <= 0.30, 1.0).when(d <= 0.50, 0.8).when(d <= 0.70, 0.5).otherwise(0.2)
     micros = [steps(F.abs(q(n) - targets[n][0]) / targets[n][0]) for n in DAILY_MICROS if n in targets and targets[n][0]]
     mean = lambda parts, none: F.avg(_sum(parts) / len(parts)) if parts else F.lit(none)
+    return mean(macros, 0.0), mean(micros, 1.0)
+
+
+def balance_scores(daily: DataFrame, kcal: float, targets: Targets) -> DataFrame:
+    """(plan_id, macros, micros): means over days of the daily scores; both 1 for plans of one day."""
+    macros, micros = _day_scores(kcal, targets)
     many = F.count("*") > 1
-    return daily.groupBy("plan_id").agg(F.when(many, mean(macros, 0.0)).otherwise(1.0).alias("macros"), F.when(many, mean(micros, 1.0)).otherwise(1.0).alias("micros"))
+    return daily.groupBy("plan_id").agg(F.when(many, macros).otherwise(1.0).alias("macros"), F.when(many, micros).otherwise(1.0).alias("micros"))
+
+
+def _rows_fixed(df: DataFrame, **made: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often later expressions read them: the optimizer doesn't copy through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
+
+
+def _violations(df: DataFrame, days: str, most: int, to: str) -> DataFrame:
+    """Adds ``to``, of a plan's days (arrays of food ids): for every three foods that share days more than ``most`` times, the times beyond, summed.
+
+    Foods are numbered within the plan, so three of them are one long; all threes are made and counted inside the plan's row. Their number grows with the cube of a day's foods. Every
+    step is a column of its own, as what a lambda reads would be worked out again for each element.
+    """
+    kept = df.columns
+    df = _rows_fixed(df, _known=F.array_distinct(F.flatten(days)))
+    df = _rows_fixed(df, _numbered=F.transform(days, lambda d: F.sort_array(F.transform(d, lambda f: F.array_position("_known", f)))), _n=F.size("_known").cast("long"))
+    places = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    n = F.col("_n")
+
+    def threes(d: Column) -> Column:
+        last = F.size(d) - 1
+        third = lambda pair, j: F.transform(places(j + 1, last), lambda k: pair * n + F.get(d, k))
+        return F.flatten(F.transform(places(F.lit(0), last - 2), lambda i: F.flatten(F.transform(places(i + 1, last - 1), lambda j: third(F.get(d, i) * n + F.get(d, j), j)))))
+
+    df = _rows_fixed(df, _keys=F.sort_array(F.flatten(F.transform("_numbered", threes))))
+    # Of sorted keys, n equal ones give n - most that equal the one ``most`` places before.
+    later = F.slice("_keys", F.lit(most + 1), F.greatest(F.lit(0), F.size("_keys") - most))
+    return _rows_fixed(df, **{to: F.size(F.filter(later, lambda x, i: x == F.get("_keys", i))).cast("long")}).select(*kept, to)
 
 
 def trios(items: DataFrame, most: int) -> DataFrame:
     """(plan_id, violations): for every three foods that share days more than ``most`` times, the times beyond. Repeated foods of a day count as often as they stand.
 
-    All threes of a day are made inside one row from the day's list, so nothing is joined with itself.
+    All threes are made inside one row a plan, so nothing is joined with itself and no threes are shuffled.
     """
-    day = items.groupBy("plan_id", "day").agg(F.array_sort(F.collect_list("food_id")).alias("f"))
-    from_ = lambda i: F.sequence(i + 1, F.size("f") - 1)
-    none = F.array().cast("array<int>")
-    later = lambda i: F.when(i + 1 <= F.size("f") - 1, from_(i)).otherwise(none)
-    get = lambda i: F.get("f", i).cast("string")
-    indices = F.when(F.size("f") > 0, F.sequence(F.lit(0), F.size("f") - 1)).otherwise(none)
-    keys = F.flatten(F.transform(indices, lambda i: F.flatten(F.transform(later(i), lambda j: F.transform(later(j), lambda k: F.concat_ws(",", get(i), get(j), get(k)))))))
-    counts = day.select("plan_id", F.explode(keys).alias("trio")).groupBy("plan_id", "trio").agg(F.count("*").alias("n"))
-    over = counts.groupBy("plan_id").agg(F.sum(F.greatest(F.lit(0), F.col("n") - most)).alias("violations"))
-    return items.select("plan_id").distinct().join(over, "plan_id", "left").select("plan_id", F.coalesce("violations", F.lit(0)).alias("violations"))
+    day = items.groupBy("plan_id", "day").agg(F.collect_list("food_id").alias("_f"))
+    plan = day.groupBy("plan_id").agg(F.collect_list("_f").alias("_days"))
+    return _violations(plan, "_days", most, "violations").select("plan_id", "violations")
+
+
+def _kind_losses() -> tuple[Column, Column]:
+    """What is left of 1 after the excess of weekly grams of meat, and of spices and herbs."""
+    loss = lambda c, kind: F.least(F.lit(0.5), WEEKLY[kind][1] * F.greatest(F.lit(0.0), (F.col(c) - WEEKLY[kind][0]) / WEEKLY[kind][0]))
+    return F.greatest(F.lit(0.0), 1 - loss("red", "red") - loss("processed", "processed")), F.greatest(F.lit(0.0), 1 - loss("spices", "spice") - loss("herb", "herb"))
 
 
 def kind_scores(items: DataFrame, foods: DataFrame) -> DataFrame:
@@ -107,8 +145,8 @@ def kind_scores(items: DataFrame, foods: DataFrame) -> DataFrame:
     named = items.join(foods.select("food_id", meat_kind("name").alias("meat"), spice_kind("name").alias("spice")), "food_id")
     grams = lambda c, kind: F.coalesce(F.sum(F.when(F.col(c) == kind, F.col("grams"))), F.lit(0.0)).alias(kind)
     out = named.groupBy("plan_id").agg(grams("meat", "red"), grams("meat", "processed"), grams("spice", "spice").alias("spices"), grams("spice", "herb"))
-    loss = lambda c, kind: F.least(F.lit(0.5), WEEKLY[kind][1] * F.greatest(F.lit(0.0), (F.col(c) - WEEKLY[kind][0]) / WEEKLY[kind][0]))
-    return out.withColumns({"meat_score": F.greatest(F.lit(0.0), 1 - loss("red", "red") - loss("processed", "processed")), "spice_score": F.greatest(F.lit(0.0), 1 - loss("spices", "spice") - loss("herb", "herb"))})
+    meat, spice = _kind_losses()
+    return out.withColumns({"meat_score": meat, "spice_score": spice})
 
 
 def seasoning_score(items: DataFrame, foods: DataFrame, least: int = 3) -> DataFrame:
@@ -119,15 +157,34 @@ def seasoning_score(items: DataFrame, foods: DataFrame, least: int = 3) -> DataF
 
 
 def fitness(items: DataFrame, foods: DataFrame, kcal: float, targets: Targets, days: int, foods_a_day: int) -> DataFrame:
-    """(plan_id, parts from 0 to 1, fitness from 0 to 100) of every plan."""
+    """(plan_id, parts from 0 to 1, fitness from 0 to 100) of every plan.
+
+    The items are read and joined once: a row a plan and day holds all that the parts need, then a row a plan. Foods that aren't known add no amounts.
+    """
     nutrients = ["calories", *targets]
-    daily = totals(items, foods, nutrients)
-    week = daily.groupBy("plan_id").agg(*(F.sum(q(n)).alias(n) for n in nutrients))
-    trio = trios(items, max(1, round(days / 3))).select("plan_id", F.greatest(F.lit(0.0), 1 - 0.1 * F.col("violations")).alias("variety"))
-    unique = items.groupBy("plan_id").agg(F.least(F.lit(1.0), F.count_distinct("food_id") / (2.0 * foods_a_day)).alias("unique"))
-    kinds = kind_scores(items, foods).select("plan_id", F.col("meat_score").alias("meat"), F.col("spice_score").alias("spice"))
-    parts = [nutrient_score(week, kcal, targets, days), balance_scores(daily, kcal, targets), trio, unique, kinds, seasoning_score(items, foods)]
-    out = reduce(lambda a, b: a.join(b, "plan_id"), parts)
+    facts = foods.select("food_id", *map(q, nutrients), meat_kind("name").alias("_meat"), spice_kind("name").alias("_spice"), is_seasoning("name").cast("int").alias("_seasoning"))
+    kinds = {"red": "_meat", "processed": "_meat", "spice": "_spice", "herb": "_spice"}
+    grams = F.col("grams")
+    daily = items.join(facts, "food_id", "left").groupBy("plan_id", "day").agg(
+        *(F.sum(F.coalesce(q(n), F.lit(0.0)) * grams / 100.0).alias(n) for n in nutrients),
+        *(F.coalesce(F.sum(F.when(F.col(c) == kind, grams)), F.lit(0.0)).alias(f"_{kind}") for kind, c in kinds.items()),
+        F.sum(F.coalesce("_seasoning", F.lit(0))).alias("_seasonings"), F.collect_list("food_id").alias("_foods"),
+    )
+    macros, micros = _day_scores(kcal, targets)
+    many = F.count("*") > 1
+    week = daily.groupBy("plan_id").agg(
+        *(F.sum(q(n)).alias(n) for n in nutrients), *(F.sum(f"_{k}").alias("spices" if k == "spice" else k) for k in kinds),
+        F.when(many, macros).otherwise(1.0).alias("macros"), F.when(many, micros).otherwise(1.0).alias("micros"),
+        F.avg((F.col("_seasonings") >= 3).cast("double")).alias("seasoning"), F.collect_list("_foods").alias("_days"),
+    )
+    week = _violations(week, "_days", max(1, round(days / 3)), "_over")
+    meat, spice = _kind_losses()
+    parts = {
+        "nutrients": _nutrient_share(kcal, targets, days), "variety": F.greatest(F.lit(0.0), 1 - 0.1 * F.col("_over")),
+        "unique": F.least(F.lit(1.0), F.size(F.array_distinct(F.flatten("_days"))) / (2.0 * foods_a_day)), "meat": meat, "spice": spice,
+    }
+    out = _rows_fixed(week, **{f"_{n}_part": c for n, c in parts.items()})
+    out = out.select("plan_id", *(F.col(f"_{n}_part" if n in parts else n).alias(n) for n in POINTS))
     return out.select("plan_id", *POINTS, _sum([points * F.col(p) for p, points in POINTS.items()]).alias("fitness"))
 
 
