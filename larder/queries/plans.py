@@ -281,6 +281,11 @@ def reference_merge_80(t):
 
 @query()
 def agglomerative_cosine(t):
+    return cluster.by_meaning(t.embeddings, [F.col("label")], "vec_id", "embedding", 0.6)
+
+
+@query()
+def agglomerative_buckets(t):
     rows = t.embeddings.select("vec_id", "embedding").join(t.foods.select(F.col("food_id").alias("vec_id"), "kcal", "protein"), "vec_id", "left")
     return cluster.by_meaning(rows, [text.nutrition_bucket("kcal", "protein")], "vec_id", "embedding", 0.10)
 

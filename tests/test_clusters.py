@@ -80,3 +80,28 @@ def test_agglomerative_query_clusters_whole_labels(spark, tmp_path):
         for g in brute_linkage(vectors[ids].astype(np.float64), 0.6):
             want |= {ids[k]: ids[min(g)] for k in g}
     assert got == want and len(set(want.values())) < 60
+
+
+def test_agglomerative_buckets(spark):
+    from larder.queries import QUERIES
+    from larder.queries.base import Tables
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.vec_id: r.cluster for r in QUERIES["agglomerative_buckets"](spark, sf).collect()}
+    t = Tables(spark, sf)
+    foods = {r.food_id: (int((r.kcal or 0) / 20) * 20, int((r.protein or 0) / 2) * 2) for r in t.foods.select("food_id", "kcal", "protein").collect()}
+    rows = sorted((r.vec_id, np.array(r.embedding, np.float64)) for r in t.embeddings.select("vec_id", "embedding").collect())
+    held = {}
+    for i, v in rows:
+        held.setdefault(foods.get(i, (0, 0)), []).append((i, v / np.linalg.norm(v)))
+    want = {}
+    for block in held.values():
+        parts = [[k] for k in range(len(block))]
+        far = 1 - np.array([[a @ b for _, b in block] for _, a in block])
+        while len(parts) > 1:
+            least, x, y = min((far[np.ix_(parts[x], parts[y])].mean(), x, y) for x in range(len(parts)) for y in range(x))
+            if least > 0.10:
+                break
+            parts[y] += parts.pop(x)
+        want |= {block[k][0]: min(block[m][0] for m in p) for p in parts for k in p}
+    assert got == want
