@@ -16,6 +16,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import stage
 from .words import column, fixed, free, places, spread_join
 
 
@@ -47,7 +48,9 @@ def _is_long(line: Column, words: int) -> Column:
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, alone: int | None = None) -> DataFrame:
     """(id, text_hash, starts, foreign [, ones, foreign_ones]): for every text with later repeats, the sorted starts of the windows of ``run`` lines that occurred before, and of those that first did in another text; with ``alone`` the same for lines of so many words."""
-    windows = _windows(df, id_col, text_col, run, alone)
+    # Texts are parted once; all that follows reads the staged windows.
+    windows = stage(_windows(df, id_col, text_col, run, alone), "windows")
+    same = ["w1", "w2"] + ["size"] * bool(alone)
     place = lambda at: F.struct(F.col("id").isNull().alias("n"), "id", "text_hash", F.col(at).alias("at"))
     ends = lambda at: (F.min(place(at)).alias("first"), F.max(place(at)).alias("last"))
     # Fingerprints that are in more than one place; one row each, whatever the number of places.
@@ -55,8 +58,8 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # One very common line, or window, is the key of many rows; both joins deal them to several tasks.
     held = spread_join(windows, marks, ["mark"], ["id", "text_hash", "at"])
     # The windows about a fingerprint are its extensions both ways; a first place for each text of a window.
-    again = held.groupBy("w1", "w2").agg(*ends("at")).where("first <> last").select("w1", "w2", "first")
-    later = spread_join(held, again, ["w1", "w2"], ["id", "text_hash", "at"]).where(place("at") != F.col("first"))
+    again = held.groupBy(*same).agg(*ends("at")).where("first <> last").select(*same, "first")
+    later = spread_join(held, again, same, ["id", "text_hash", "at"]).where(place("at") != F.col("first"))
     other = ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.text_hash") == F.col("text_hash")))
     found = lambda *where: F.array_sort(F.collect_set(F.when(reduce(and_, where), F.col("at")) if where else F.col("at")))
     if not alone:
