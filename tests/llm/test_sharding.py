@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,3 +44,24 @@ def test_differencing():
     assert sorted(sums) == [14, 16]
     law = sharding.differencing([5] * 32, 16)
     assert Counter(law) == {k: 2 for k in range(16)}
+
+
+def plain_differencing(sizes, parts):
+    """Sums of the parts: the two partial partitions of largest spread are combined, oppositely ordered, until one is left."""
+    todo = [[s] + [0] * (parts - 1) for s in sizes]
+    while len(todo) > 1:
+        todo.sort(key=lambda p: p[0] - p[-1])
+        a, b = todo.pop(), todo.pop()
+        todo.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+    return todo[0]
+
+
+def test_plain_differencing(spark):
+    rng = random.Random(3)
+    texts = ["x" * n for n in rng.sample(range(1, 20000), 200)]
+    docs = [(k, texts[k % 200]) for k in range(260)]  # 60 texts twice, each pair one group
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), shards=16).collect()
+    groups = Counter()
+    for _, t in docs:
+        groups[t] += len(t) + 1
+    assert sorted(whole(rows, docs), reverse=True) == plain_differencing(list(groups.values()), 16)

@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import pytest
+
 from larder.llm import toxicity
 
 
@@ -32,3 +35,36 @@ def test_features_ignore_neighbours_in_batch():
         docs, found = toxicity.features(texts)
         for k, t in enumerate(texts):
             assert sorted(found[docs == k]) == sorted(toxicity.features([t])[1])
+
+
+def plain_ftrl(rows, passes, bits, alpha, beta, l1, l2):
+    """The update of one coordinate at a time, as the method's paper has it; (z, n) by feature, the bias beside them."""
+    bias, z, n = 1 << bits, {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= (0 if i == bias else l1):
+            return 0.0
+        pull = z[i] - math.copysign(0 if i == bias else l1, z[i])
+        return -pull / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(passes):
+        for _, text, label in sorted(rows):
+            seen = [*sorted(set(toxicity.features([text], bits)[1].tolist())), bias]
+            w = {i: weight(i) for i in seen}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - label  # beyond 35 a double holds 0 or 1
+            for i in seen:
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / alpha * w[i]
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_plain_ftrl(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()
+    rows = [(r.doc_id, docs[r.doc_id] or "", int(r.toxic)) for r in labels if r.doc_id in docs]
+    rows += [(10**6 + k, f"{'vile wretch' if k % 3 == 0 else 'kind friend'} number {k % 11}", int(k % 3 == 0)) for k in range(60)]
+    how = {"alpha": 1.0, "beta": 1.0, "l1": 0.5, "l2": 0.1}
+    got = toxicity.fit(spark.createDataFrame(rows, "key long, text string, label int"), passes=3, bits=14, **how)
+    want = plain_ftrl(rows, 3, 14, **how)
+    assert len(want) > 20 and got == pytest.approx(want, abs=1e-9)
