@@ -40,10 +40,10 @@ def _split(text: str) -> list[str]:
 
 
 class _Lists:
-    """Numbered lists of ids in one growing array."""
+    """Numbered lists of ids, or of other numbers, in one growing array."""
 
-    def __init__(self):
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    def __init__(self, kind: type = np.uint32):
+        self.flat, self.start, self.size = np.zeros(1 << 16, kind), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.n = self.used = 0
 
     def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:

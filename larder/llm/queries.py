@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, license, linededup, packing, sadedup, sharding, simhash, toxicity, urlfilter
+from . import covertree, decontam, license, linededup, packing, sadedup, sentencepieces, sharding, simhash, toxicity, urlfilter
 from .staging import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 #: Capacities beside the 2,048 tokens, and the weights of the three residuals. Pieces aren't cut below 2,048 tokens, so attention capacity can't be less than that of one such piece.
 PACKING = {"max_docs": 64, "max_attention": 2048 * 2048, "weights": (1.0, 1.0, 1.0), "rule": "norm"}
 
@@ -62,6 +63,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pack": op2_pack,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_components": op9_simhash_components,
     "op10_line_dedup": op10_line_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
