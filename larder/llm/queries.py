@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, license, linededup, packing, sadedup, sentencepieces, sharding, simhash, toxicity, urlfilter
+from . import covertree, decontam, lexical, license, linededup, packing, sadedup, sentencepieces, sharding, simhash, toxicity, urlfilter
 from .staging import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +68,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pack": op2_pack,
@@ -80,10 +84,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_components": op9_simhash_components,
     "op10_line_dedup": op10_line_dedup,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 
 def license_sql() -> str:
     """Diagonal voting as SQL: grams, votes by diagonal, bands of neighbouring diagonals."""
@@ -179,4 +186,16 @@ ORACLES: dict[str, str] = {
             coalesce(n_runs, 0) as n_runs, case when d.text is not null then sha256(coalesce(kept.t, '')) end as kept_sha256
         from documents d left join runs on runs.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id
     """,
+    "op12_lexical_search": f"""
+        with d as (select row_number() over () as r, doc_id, {TERMS} as w from documents),
+        size as (select r, doc_id, cast(len(w) as bigint) as n from d where len(w) > 0),
+        total as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as terms from size),
+        i as (select distinct item_id, unnest({TERMS}) as t from benchmark),
+        p as (select r, t, cast(count(*) as bigint) as tf from (select r, unnest(w) as t from d) where t in (select t from i) group by all),
+        f as (select t, cast(floor(1000 * ln((2 * docs + 2) / cast(2 * df + 1 as double))) as bigint) as w from (select t, count(*) as df from p group by t), total),
+        s as (select item_id, r, cast(sum(f.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) as bigint) as score
+            from i join p using (t) join f using (t) join size using (r), total group by item_id, r),
+        o as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from s join size using (r) where score > 0)
+        select item_id, rank, doc_id, score from o where rank <= 10
+    """,
 }
