@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontam, lexical, license, linededup, packing, sadedup, sentencepieces, sharding, simhash, toxicity, urlfilter
+from . import covertree, decontam, lexical, license, linededup, packing, productcode, sadedup, sentencepieces, sharding, simhash, toxicity, urlfilter
 from .staging import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_product_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = productcode.encode(read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return out.select("vec_id", "code", "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pack": op2_pack,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_lexical_search": op12_lexical_search,
+    "op13_product_code": op13_product_code,
 }
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -92,6 +98,27 @@ WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 
+def code_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Codebooks as one common table a round, every entry compared."""
+    ctes = [
+        f"""v as (select row_number() over (order by vec_id) as r, vec_id, label, list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as v from embeddings
+            where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"p as materialized (select r, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] as x from v, range({parts}) t(part))",
+        f"b0 as (select part, r - 1 as entry, x as c from p where r <= {entries})",
+    ]
+    near = "select p.r, p.part, {best} from p join b{k} b using (part) group by p.r, p.part"
+    distance = "list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for k in range(rounds):
+        ctes.append(f"a{k} as materialized ({near.format(k=k, best=f'arg_min(b.entry, ({distance}, b.entry)) as entry')})")
+        ctes.append(f"s{k} as (select part, entry, i, sum(x[i]) as total, count(*) as n from (select part, entry, x, unnest(range(1, len(x) + 1)) as i from a{k} join p using (r, part)) group by all)")
+        ctes.append(f"m{k} as (select part, entry, list(cast((total - ((total % n) + n) % n) // n as bigint) order by i) as c from s{k} group by all)")
+        ctes.append(f"b{k + 1} as materialized (select part, entry, coalesce(m{k}.c, b{k}.c) as c from b{k} left join m{k} using (part, entry))")
+    ctes.append(f"z as ({near.format(k=rounds, best=f'min(({distance}, b.entry)) as got')})")
+    ctes.append("e as (select r, string_agg(printf('%02x', got[2]), '' order by part) as code, cast(sum(got[1]) as bigint) as error from z group by r)")
+    ctes.append(f"h as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as sha from b{rounds})")
+    return f"with {', '.join(ctes)} select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, sha as codebooks_sha256 from v join e using (r), h"
+
+
 def license_sql() -> str:
     """Diagonal voting as SQL: grams, votes by diagonal, bands of neighbouring diagonals."""
     listed = [(n, text.split(), label, n < len(license.PHRASES)) for n, (text, label) in enumerate([*license.PHRASES.items(), *license.NOTICES])]
@@ -198,4 +225,5 @@ ORACLES: dict[str, str] = {
         o as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from s join size using (r) where score > 0)
         select item_id, rank, doc_id, score from o where rank <= 10
     """,
+    "op13_product_code": code_sql(),
 }
