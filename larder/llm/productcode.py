@@ -108,7 +108,7 @@ def encode(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     elif any(len(h.v) != size for h in heads):
         heads = vectors.where(F.size("v") == size).orderBy("id", "v").select("v").limit(entries).collect()
     vectors = vectors.where(F.size("v") == size)
-    first = np.array([h.v for h in heads], np.int64).reshape(len(heads), parts, -1).transpose(1, 0, 2)
+    first = np.array([h.v for h in heads], np.int64).reshape(len(heads), parts, size // parts).transpose(1, 0, 2)
     books = train(vectors, first, rounds) if heads else first
     top = (1 << 63) - 1
 
