@@ -13,8 +13,8 @@ from .staging import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
-#: Capacities beside the 2,048 tokens, and the weights of the three residuals. Pieces aren't cut below 2,048 tokens, so attention capacity can't be less than that of one such piece.
-PACKING = {"max_docs": 64, "max_attention": 2048 * 2048, "weights": (1.0, 1.0, 1.0), "rule": "norm"}
+#: Documents and attention cost have the capacities that 2,048 tokens imply, so they never take a sequence more than tokens need; the residuals of all three choose the sequence.
+PACKING = {"max_docs": None, "max_attention": None, "weights": (1.0, 1.0, 1.0), "rule": "norm"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from larder.llm import packing
+from larder.llm.queries import PACKING
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -108,3 +109,19 @@ def test_every_white_space(spark):
     docs = [*enumerate(texts)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     whole(packing.pack(df, PATH).collect(), docs)
+
+
+@pytest.mark.parametrize("words", [1, 3, 10, 30])
+def test_short_texts_take_no_more_than_their_tokens(spark, words):
+    """One group leaves one sequence partly filled, whatever the number of documents in it."""
+    docs = [(k, " ".join(["the"] * words)) for k in range(9000)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), PATH, **PACKING).collect()
+    groups = len({r.sequence_id >> 32 for r in rows})
+    assert groups == 2 and whole(rows, docs) <= -(-9000 * (words + 1) // 2048) + groups
+
+
+def test_tiny_and_large_texts_together(spark):
+    """Most documents are tiny and fill what large ones leave; a bound on documents would cost sequences here."""
+    docs = [(k, " ".join(["the"] * (2040 if k % 20 == 0 else 1))) for k in range(6000)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), PATH, **PACKING).collect()
+    assert whole(rows, docs) <= -(-sum(r.length for r in rows) // 2048) + 1
