@@ -69,6 +69,8 @@ def _pairwise(f):
     return of
 
 
+#: Of texts whose tokens are sorted.
+sorted_ratio = _pairwise(ratio)
 token_sort = _pairwise(token_sort_ratio)
 token_set = _pairwise(token_set_ratio)
 sequence = _pairwise(sequence_ratio)

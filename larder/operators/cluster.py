@@ -1,133 +1,199 @@
 """Order-dependent clustering: rows of a block, in a total order, join the first or best cluster that fits or found a new one.
 
-The result depends on the order, so blocks are solved whole, one group function call each. Where rows that are equal in what decides always join alike, the first
-of them is solved and the others follow it, so a block holds distinct rows only and copies don't make it large.
+What can join at all is found first, by joins: similar names by their grams, so no block is compared pair by pair. Where only the best name before counts, chains of them
+end at the founders and nothing is gathered. Where founders decide, a block's rows stream through a task in order, many blocks one after another, and
+only founders that may still be met are kept. Rows that are equal in what decides follow the first of them where they always join alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import heapq
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import floor_for
-from ..functions.similarity import token_sort_ratio
+from . import similar
 from .columns import q
 from .ranking import first_by
+from .settle import roots, settled
+
+
+class Leaders:
+    """Clusters of rows (None: missing) where a row joins the first cluster all of whose shared values are within ``share`` of the larger; a cluster takes over values it lacks.
+
+    A value within ``share`` of another is in the same or a neighbouring step of its logarithm. Clusters are listed by step for each column, those that lack the column beside them; a row is compared with the lists of the column that gives the fewest.
+    """
+
+    def __init__(self, columns: int, share: float = 0.10):
+        self.share, self.step = share, -math.log(1 - share)
+        self.heads: list[list[float | None]] = []
+        self.steps: list[dict[int, list[int]]] = [{} for _ in range(columns)]
+        self.lacking: list[dict[int, None]] = [{} for _ in range(columns)]
+
+    def _at(self, value: float) -> int:
+        return math.floor(math.log(max(abs(value), 1e-9)) / self.step)
+
+    def _listed(self, row: Sequence[float | None]) -> Iterator[int]:
+        fewest = None
+        for c, x in enumerate(row):
+            if x is not None:
+                at = self._at(x)
+                lists = [near for k in (at - 1, at, at + 1) if (near := self.steps[c].get(k))]
+                n = len(self.lacking[c]) + sum(map(len, lists))
+                if fewest is None or n < fewest[0]:
+                    fewest = n, lists, self.lacking[c]
+        return iter(range(len(self.heads))) if fewest is None else iter(sorted([*fewest[2], *(k for near in fewest[1] for k in near)]))
+
+    def join(self, row: Sequence[float | None]) -> int:
+        """The row's cluster, numbered in order of founding."""
+        for k in self._listed(row):
+            head = self.heads[k]
+            if all(x is None or y is None or abs(x - y) <= self.share * max(abs(x), abs(y), 1e-9) for x, y in zip(row, head, strict=True)):
+                for c, x in enumerate(row):
+                    if head[c] is None and x is not None:
+                        head[c] = x
+                        del self.lacking[c][k]
+                        self.steps[c].setdefault(self._at(x), []).append(k)
+                return k
+        k = len(self.heads)
+        self.heads.append(list(row))
+        for c, x in enumerate(row):
+            if x is None:
+                self.lacking[c][k] = None
+            else:
+                self.steps[c].setdefault(self._at(x), []).append(k)
+        return k
 
 
 def lead(values: np.ndarray, share: float = 0.10) -> list[int]:
-    """Clusters of rows (nan: missing) where a row joins the first cluster all of whose shared values are within ``share`` of the larger; a cluster takes over values it lacks."""
-    heads: list[np.ndarray] = []
-    out = []
-    for row in values:
-        for k, head in enumerate(heads):
-            both = ~np.isnan(row) & ~np.isnan(head)
-            if (np.abs(row - head) <= share * np.maximum(np.maximum(np.abs(row), np.abs(head)), 1e-9))[both].all():
-                heads[k] = np.where(np.isnan(head), row, head)
-                out.append(k)
-                break
-        else:
-            heads.append(row.copy())
-            out.append(len(heads) - 1)
-    return out
-
-
-def lead_names(names: Sequence[str], least: float) -> tuple[list[int], list[float | None]]:
-    """Clusters of names where a name joins the cluster of the most similar name before it, members included, if that is ``least`` or more; with that score."""
-    seen: dict[str, int] = {}
-    out: list[int] = []
-    scores: list[float | None] = []
-    n = 0
-    for name in names:
-        if name in seen:
-            out.append(seen[name])
-            scores.append(100.0)
-            continue
-        best, at = max(((token_sort_ratio(name, s), -k) for k, s in enumerate(seen)), default=(0.0, 0))
-        if seen and best >= least:
-            cluster = seen[list(seen)[-at]]
-            scores.append(best)
-        else:
-            cluster, n = n, n + 1
-            scores.append(None)
-        seen[name] = cluster
-        out.append(cluster)
-    return out, scores
-
-
-def lead_taxonomy(names: Sequence[str], values: np.ndarray, floors: np.ndarray, least: float = 85, share: float = 0.15, candidates: int = 5) -> list[int]:
-    """Clusters where a row joins the first of the ``candidates`` most similar founders of ``least`` or more whose values fit."""
-    founders: list[int] = []
-    out = []
-    for i, name in enumerate(names):
-        ranked = sorted(((-token_sort_ratio(name, names[f]), k) for k, f in enumerate(founders)))[:candidates]
-        for score, k in ranked:
-            a, b = values[i], values[founders[k]]
-            both = ~np.isnan(a) & ~np.isnan(b)
-            if -score >= least and (np.abs(a - b) <= np.maximum(floors, share * np.maximum(a, b)))[both].all():
-                out.append(k)
-                break
-        else:
-            founders.append(i)
-            out.append(len(founders) - 1)
-    return out
-
-
-def _blocks(df: DataFrame, block: Sequence[Column], id_col: str, use: Sequence[str], order: Sequence[tuple[str, bool]], solve: Callable[[pd.DataFrame], pd.DataFrame], scored: bool = False, same: Sequence[str] = ()) -> DataFrame:
-    """(id, cluster [, score]) from solving each block's rows in order; the cluster is the id of its first row. Rows equal in block and ``same`` follow the first of them, with a score of 100."""
-    names = [f"_b{k}" for k in range(len(block))]
-    rows = df.select(q(id_col).alias("_id"), *(b.alias(n) for b, n in zip(block, names, strict=True)), *(q(c) for c in use))
-    kind = df.schema[id_col].dataType.simpleString()
+    """Clusters of rows (nan: missing) in order, by ``Leaders``."""
+    leaders = Leaders(values.shape[1], share)
+    return [leaders.join([None if math.isnan(x) else x for x in row]) for row in values.tolist()]
+
+
+class Taxonomy:
+    """Clusters where a row joins the first of the ``candidates`` most similar founders whose values fit. Of a name's founders only the first ``candidates`` can be among them."""
+
+    def __init__(self, floors: Sequence[float], share: float = 0.15, candidates: int = 5):
+        self.floors, self.share, self.candidates = floors, share, candidates
+        self.founders: dict[int, list[tuple[int, Sequence[float | None]]]] = {}
+        self.n = 0
+
+    def join(self, name: int, near: Sequence[tuple[float, int]], row: Sequence[float | None]) -> int:
+        """The row's cluster, numbered in order of founding. ``near``: (score, name) of the names alike, the row's own among them."""
+        listed = heapq.nsmallest(self.candidates, ((-score, k, values) for score, other in near for k, values in self.founders.get(other, ())), key=lambda x: x[:2])
+        for _, k, values in listed:
+            if all(x is None or y is None or abs(x - y) <= max(f, self.share * max(x, y)) for x, y, f in zip(row, values, self.floors, strict=True)):
+                return k
+        held = self.founders.setdefault(name, [])
+        if len(held) < self.candidates:
+            held.append((self.n, row))
+        self.n += 1
+        return self.n - 1
+
+
+def _rows(df: DataFrame, block: Sequence[Column], id_col: str, use: Sequence[str]) -> DataFrame:
+    """(_id, _g, used columns); ``_g`` names the block, null parts included."""
+    return df.select(q(id_col).alias("_id"), F.to_json(F.struct(*(b.alias(f"b{k}") for k, b in enumerate(block)))).alias("_g"), *(q(c) for c in use))
+
+
+def _order(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [*(F.asc_nulls_last(q(c)) if up else F.desc_nulls_last(q(c)) for c, up in order), F.asc("_id")]
+
+
+def _followed(rows: DataFrame, same: Sequence[str], order: Sequence[tuple[str, bool]], solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_id, _first, cluster, ...): the rows with what ``solve`` says of the first row of those that are equal in block and ``same``."""
+    keyed = rows.withColumn("_key", F.struct("_g", *map(q, same)))
+    heads = first_by(keyed, ["_key"], _order(order))
+    led = heads.select(F.col("_id").alias("_first"), F.col("_key").alias("_head")).join(solve(heads.drop("_key")).withColumnRenamed("_id", "_first"), "_first")
+    return keyed.select("_id", "_key").join(led, F.col("_key").eqNullSafe(F.col("_head"))).drop("_key", "_head")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([c for c, _ in order] + ["_id"], ascending=[up for _, up in order] + [True], kind="stable").reset_index(drop=True)
-        out = solve(pdf)
-        first = pdf["_id"].groupby(out["k"].to_numpy()).transform("first")
-        got = pd.DataFrame({"id": pdf["_id"], "cluster": first})
-        return got.assign(score=out["score"]) if scored else got
-
-    schema = f"id {kind}, cluster {kind}" + ", score double" * scored
-    if not same:
-        return rows.groupBy(*names).applyInPandas(run, schema).withColumnRenamed("id", id_col)
-    key = F.struct(*(q(c) for c in [*names, *same]))
-    keyed = rows.withColumn("_key", key)
-    heads = first_by(keyed, ["_key"], [*(F.asc_nulls_last(q(c)) if up else F.desc_nulls_last(q(c)) for c, up in order), "_id"])
-    solved = heads.drop("_key").groupBy(*names).applyInPandas(run, schema)
-    led = heads.select(F.col("_id").alias("id"), F.col("_key").alias("_head")).join(solved, "id").withColumnRenamed("id", "_first")
-    out = keyed.select("_id", "_key").join(led, F.col("_key").eqNullSafe(F.col("_head")))
-    shown = [F.when(F.col("_id").eqNullSafe(F.col("_first")), F.col("score")).otherwise(100.0).alias("score")] if scored else []
-    return out.select(F.col("_id").alias(id_col), "cluster", *shown)
+def _streamed(rows: DataFrame, order: Sequence[tuple[str, bool]], use: Sequence[str], start: Callable[[], Callable[[list], int]], kind: str) -> DataFrame:
+    """(_id, cluster): each block's rows in order through ``start()``'s function of the used columns, which numbers clusters in order of founding; the cluster is the id of its first row.
+
+    A task has many blocks, one after another, and holds what the function of one block keeps.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, join, first = None, None, []
+        for batch in batches:
+            out = []
+            ids = batch.column(0)
+            for g, i, row in zip(batch.column(1).to_pylist(), ids.to_pylist(), zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True), strict=True):
+                if join is None or g != group:
+                    group, join, first = g, start(), []
+                k = join(row)
+                if k == len(first):
+                    first.append(i)
+                out.append(first[k])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, ids.type)], ["_id", "cluster"])
+
+    dealt = rows.repartition("_g").sortWithinPartitions("_g", *_order(order))
+    return dealt.select("_id", "_g", *map(q, use)).mapInArrow(work, f"_id {kind}, cluster {kind}")
 
 
 def by_tolerance(df: DataFrame, keys: Sequence[str], id_col: str, nutrients: Sequence[str], order: str, share: float = 0.10) -> DataFrame:
-    """(id, cluster): within equal keys (null ones included), rows in falling ``order`` and falling id join the first cluster within ``share``."""
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": lead(pdf[list(nutrients)].to_numpy(np.float64), share)})
+    """(id, cluster): within equal keys (null ones included), rows in falling ``order``, then rising id, join the first cluster within ``share``. Rows equal in all nutrients follow the first of them."""
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = _rows(df.withColumn("_order", q(order)).withColumns({n: F.when(~F.isnan(q(n).cast("double")), q(n).cast("double")) for n in nutrients}), [q(k) for k in keys], id_col, [*nutrients, "_order"])
 
-    return _blocks(df.withColumn("_order", q(order)), [q(k) for k in keys], id_col, [*nutrients, "_order"], [("_order", False)], solve, same=list(nutrients))
+    def start() -> Callable[[list], int]:
+        return Leaders(len(nutrients), share).join
+
+    found = _followed(rows, nutrients, [("_order", False)], lambda heads: _streamed(heads, [("_order", False)], nutrients, start, kind))
+    return found.select(F.col("_id").alias(id_col), "cluster")
 
 
 def by_spelling(df: DataFrame, block: Sequence[Column], id_col: str, name: str, least: float = 93, order: Sequence[tuple[str, bool]] = ()) -> DataFrame:
-    """(id, cluster, score): within a block a name joins the cluster of the most similar name before it; the score is that similarity, null for founders."""
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, score = lead_names(pdf[name].fillna("").tolist(), least)
-        return pd.DataFrame({"k": k, "score": pd.Series(score, dtype="float64")})
+    """(id, cluster, score): within a block, in ``order`` and by id, a name joins the cluster of the most similar name before it, the first of equals, if that is ``least`` or more; the score is that similarity, null for founders. Null names are empty ones; rows of a name follow its first with a score of 100.
+
+    All pairs of names that are similar enough come from ``similar.pairs``. Each name points to the best before it; the ends of these chains are the founders.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = _rows(df, block, id_col, [name, *(c for c, _ in order if c != name)])
 
-    return _blocks(df, block, id_col, [name, *(c for c, _ in order if c != name)], list(order), solve, scored=True, same=[name])
+    def solve(heads: DataFrame) -> DataFrame:
+        heads = settled(heads.withColumn("_at", F.row_number().over(Window.partitionBy("_g").orderBy(*_order(order)))))
+        alike = similar.pairs(heads.select(F.col("_id").alias("id"), q(name).alias("text"), "_g"), ["_g"], least)
+        places = [heads.select(F.col("_id").alias(i), F.col("_at").alias(f"_{i}_at")) for i in "ab"]
+        placed = alike.join(places[0], "a").join(places[1], "b")
+        later = F.col("_a_at") > F.col("_b_at")
+        pointed = placed.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("parent"), F.least("_a_at", "_b_at").alias("_before"), "score")
+        best = settled(first_by(pointed, ["id"], [F.desc("score"), "_before"]).select("id", "parent", "score"))
+        ends = roots(best.select("id", "parent")).join(best.select("id", "score"), "id")
+        return heads.select("_id").join(ends.withColumnRenamed("id", "_id"), "_id", "left").select("_id", F.coalesce("root", "_id").cast(kind).alias("cluster"), "score")
+
+    found = _followed(rows, [name], order, solve)
+    return found.select(F.col("_id").alias(id_col), "cluster", F.when(F.col("_id").eqNullSafe(F.col("_first")), F.col("score")).otherwise(100.0).alias("score"))
 
 
 def by_taxonomy(df: DataFrame, block: Sequence[Column], id_col: str, name: str, nutrients: Sequence[str], least: float = 85) -> DataFrame:
-    """(id, cluster): within a block a row joins the most similar founder whose nutrients are compatible."""
-    floors = np.array([floor_for(n) for n in nutrients])
+    """(id, cluster): within a block, by id, a row joins the first of the five most similar founders of ``least`` or more, the first of equals, whose nutrients are compatible. Null names are empty ones.
+
+    Rows have their names' similar names with them; a task compares values only.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    floors = [floor_for(n) for n in nutrients]
+    rows = _rows(df.withColumns({n: F.when(~F.isnan(q(n).cast("double")), q(n).cast("double")) for n in nutrients}), block, id_col, [name, *nutrients]).withColumn("_name", F.coalesce(q(name), F.lit("")))
+    names = settled(rows.select("_g", "_name").distinct().withColumn("id", F.monotonically_increasing_id()))
+    alike = similar.pairs(names.select("id", F.col("_name").alias("text"), "_g"), ["_g"], least)
+    both = alike.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(alike.select(F.col("b").alias("id"), F.col("a").alias("other"), "score"))
+    listed = both.groupBy("id").agg(F.collect_list(F.struct("score", "other")).alias("_others"))
+    known = names.join(listed, "id", "left").select("_g", "_name", F.col("id").alias("_number"), F.array_append(F.coalesce("_others", F.array().cast("array<struct<score:double,other:bigint>>")), F.struct(F.lit(100.0).alias("score"), F.col("id").alias("other"))).alias("_near"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": lead_taxonomy(pdf[name].fillna("").tolist(), pdf[list(nutrients)].to_numpy(np.float64), floors, least)})
+    def start() -> Callable[[list], int]:
+        solver = Taxonomy(floors)
+        return lambda row: solver.join(row[0], [(x["score"], x["other"]) for x in row[1]], row[2:])
 
-    return _blocks(df, block, id_col, [name, *nutrients], [], solve)
+    found = _streamed(rows.join(known, ["_g", "_name"]), [], ["_number", "_near", *nutrients], start, kind)
+    return found.withColumnRenamed("_id", id_col)
 
 
 def average_linkage(vectors: np.ndarray, most: float = 0.10, copies: np.ndarray | None = None) -> list[int]:
@@ -165,14 +231,91 @@ def average_linkage(vectors: np.ndarray, most: float = 0.10, copies: np.ndarray
     return label.tolist()
 
 
-def by_meaning(df: DataFrame, block: Sequence[Column], id_col: str, vector: str, most: float = 0.10) -> DataFrame:
-    """(id, cluster): average-linkage clusters of cosine distance ``most`` within blocks. Equal vectors of a block are one, with their number as its weight."""
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": average_linkage(np.stack(pdf[vector].to_list()).astype(np.float64), most, pdf["_copies"].to_numpy())})
+def _nearest_clusters(state: DataFrame, tile: int) -> DataFrame:
+    """(id, near, far): for each cluster that is to ``look``, the other of its block at the least mean distance, ties by the two ids. ``state``: (id, _g, sums, size, look).
 
-    rows = df.select(q(id_col).alias("_id"), F.struct(*(b.alias(f"_b{k}") for k, b in enumerate(block)), q(vector).alias("_v")).alias("_key"))
-    heads = rows.groupBy("_key").agg(F.min("_id").alias("_id"), F.count("*").alias("_copies"))
-    distinct = heads.select("_id", "_copies", F.col("_key._v").alias(vector), *(F.col(f"_key._b{k}") for k in range(len(block))))
-    solved = _blocks(distinct, [F.col(f"_b{k}") for k in range(len(block))], "_id", [vector, "_copies"], [], solve)
-    led = heads.select("_id", F.col("_key").alias("_head")).join(solved, "_id").drop("_id")
-    return rows.join(led, F.col("_key").eqNullSafe(F.col("_head"))).select(F.col("_id").alias(id_col), "cluster")
+    A block's clusters are dealt to tiles; tiles that look meet all tiles of their block, a pair a task.
+    """
+    sizes = state.groupBy("_g").agg(F.ceil(F.count("*") / tile).cast("int").alias("_tiles"))
+    dealt = state.join(sizes, "_g").withColumn("_tile", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
+    asked = dealt.where("look").select("id", "_g", "sums", "size", F.col("_tile").alias("a"), every.alias("b"), F.lit(True).alias("asks"))
+    known = dealt.select("id", "_g", "sums", "size", every.alias("a"), F.col("_tile").alias("b"), F.lit(False).alias("asks"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        ids, size = table.column("id").to_numpy(), table.column("size").to_numpy()
+        sums = table.column("sums").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        mean = sums / size[:, None]
+        own, other = np.nonzero(asks)[0], np.nonzero(~asks)[0]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(own), 512):
+            part = own[at : at + 512]
+            like = mean[part] @ mean[other].T
+            like[ids[part][:, None] == ids[other][None, :]] = -np.inf
+            i, j = np.nonzero((like >= like.max(axis=1, keepdims=True, initial=-np.inf) - 1e-9) & (like > -np.inf))
+            x, y = part[i], other[j]
+            far = 1 - np.cumsum(sums[x] * sums[y], axis=1)[:, -1] / (size[x] * size[y])  # the same for both, to the last bit
+            order = np.lexsort((np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), far, x))
+            first = order[np.unique(x[order], return_index=True)[1]]
+            out.append((ids[x[first]], ids[y[first]], far[first]))
+        i, near, far = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"id": pa.array(i, pa.int64()), "near": pa.array(near, pa.int64()), "far": pa.array(far, pa.float64())})
+
+    found = asked.unionByName(known).groupBy("_g", "a", "b").applyInArrow(meet, "id long, near long, far double")
+    return first_by(found, ["id"], ["far", F.least("id", "near"), F.greatest("id", "near")])
+
+
+def linked(rows: DataFrame, most: float, tile: int = 2048) -> DataFrame:
+    """(id, root) of all rows that are merged into others by average linkage up to the distance ``most``, in rounds. ``rows``: (id, _g, sums, size), the sum of a cluster's unit vectors and their number.
+
+    A merge never brings two clusters nearer than their parts were, so all pairs of clusters that are each other's nearest merge at once, and a cluster whose nearest isn't merged keeps it. Clusters
+    whose nearest is farther than ``most`` are final and leave.
+    """
+    state = settled(rows.select("id", "_g", "sums", "size", F.lit(True).alias("look"), F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("far")))
+    merged: DataFrame | None = None
+    while True:
+        fresh = _nearest_clusters(state, tile)
+        renewed = state.where("look").drop("near", "far").join(fresh, "id").select(*state.columns).unionByName(state.where("not look"))
+        state = settled(renewed.where(F.col("far") <= most))
+        back = state.select(F.col("id").alias("near"), F.col("near").alias("_back"))
+        pairs = settled(state.join(back, "near").where("_back = id and id < near").select("id", F.col("near").alias("gone")))
+        if not pairs.limit(1).count():
+            return rows.sparkSession.createDataFrame([], "id long, root long") if merged is None else roots(merged)
+        step = pairs.select(F.col("gone").alias("id"), F.col("id").alias("parent"))
+        merged = settled(step if merged is None else merged.unionByName(step))
+        into = pairs.select("id", "id").toDF("id", "_into").unionByName(pairs.select("gone", "id").toDF("id", "_into"))
+        placed = state.join(into, "id", "left")
+        kept = placed.where("_into is null").join(into.select(F.col("id").alias("near"), F.lit(True).alias("_moved")), "near", "left")
+        kept = kept.select("id", "_g", "sums", "size", F.coalesce("_moved", F.lit(False)).alias("look"), "near", "far")
+        other = placed.where("_into <> id").select("_into", F.col("sums").alias("_sums"), F.col("size").alias("_size"))
+        joined = placed.where("_into = id").join(other, "_into").select("id", "_g", F.zip_with("sums", "_sums", lambda x, y: x + y).alias("sums"), (F.col("size") + F.col("_size")).alias("size"), F.lit(True).alias("look"), "near", "far")
+        state = settled(kept.unionByName(joined))
+
+
+def by_meaning(df: DataFrame, block: Sequence[Column], id_col: str, vector: str, most: float = 0.10, whole: int = 4096) -> DataFrame:
+    """(id, cluster): average-linkage clusters of cosine distance ``most`` within blocks. Equal vectors of a block are one, with their number as its weight. Ids are long numbers.
+
+    A block of up to ``whole`` distinct vectors is solved in one task; larger ones in rounds in which no task has more than two tiles of vectors (``linked``). Both give the same clusters, but for ties of distance.
+    """
+    def solve(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("id", kind="stable").reset_index(drop=True)
+        k = average_linkage(np.stack(table["_v"].to_list()).astype(np.float64), most, table["_copies"].to_numpy())
+        return pd.DataFrame({"id": table["id"], "cluster": table["id"].groupby(np.array(k)).transform("first")})
+
+    rows = _rows(df, block, id_col, [vector]).withColumn("_key", F.struct("_g", q(vector).alias("_v")))
+    heads = rows.groupBy("_key").agg(F.min("_id").cast("long").alias("id"), F.count("*").alias("_copies"))
+    heads = settled(heads.select("id", "_copies", F.col("_key._g").alias("_g"), F.col("_key._v").cast("array<double>").alias("_v"), "_key"))
+    count = heads.groupBy("_g").agg((F.count("*") > whole).alias("_large"))
+    sized = heads.join(count, "_g")
+    solved = sized.where("not _large").select("id", "_g", "_v", "_copies").groupBy("_g").applyInPandas(solve, "id long, cluster long")
+    if count.where("_large").limit(1).count():
+        length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+        share = F.col("_copies") / F.greatest(length, F.lit(1e-12))
+        large = sized.where("_large").select("id", "_g", share.alias("_share"), "_v", F.col("_copies").cast("double").alias("size"))
+        large = large.select("id", "_g", F.transform("_v", lambda x: x * F.col("_share")).alias("sums"), "size")
+        found = large.select("id").join(linked(large, most), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
+        solved = solved.unionByName(found)
+    led = heads.select("id", F.col("_key").alias("_head")).join(solved, "id").drop("id")
+    kind = df.schema[id_col].dataType.simpleString()
+    return rows.join(led, F.col("_key").eqNullSafe(F.col("_head"))).select(F.col("_id").alias(id_col), F.col("cluster").cast(kind).alias("cluster"))
