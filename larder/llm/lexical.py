@@ -195,7 +195,7 @@ def search(
     """
     spark = docs.sparkSession
     made = index(docs, id_col, text_col, **blocks)
-    n_docs, n_terms = (x or 0 for x in made.where("term = ''").agg(F.sum("n_docs"), F.sum("n_terms")).first())
+    n_docs, n_terms, n_blocks = (x or 0 for x in made.where("term = ''").agg(F.sum("n_docs"), F.sum("n_terms"), F.count("*")).first())
     kind = items.schema[item_col].dataType.simpleString()
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,9 @@ def search(
         out = [(item, ids[at], score) for item, lists in of_item.items() for score, at in merge(lists, k)]
         return pa.table({"item": pa.array([x[0] for x in out], pa.int64()), "id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.int64())})
 
-    found = used.groupBy("block", "part").applyInArrow(answer, "item long, id long, score long")
+    # Work follows postings and items, not bytes, so tasks aren't put together by bytes.
+    dealt = used.repartition(min(max(1, n_blocks * groups), 4096), "block", "part")
+    found = dealt.groupBy("block", "part").applyInArrow(answer, "item long, id long, score long")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.join(listed.select("item", "name"), "item").select(F.col("name").cast(kind).alias(item_col), "rank", F.col("id").alias(id_col), "score")
