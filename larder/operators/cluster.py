@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -196,15 +197,13 @@ def by_taxonomy(df: DataFrame, block: Sequence[Column], id_col: str, name: str,
     return found.withColumnRenamed("_id", id_col)
 
 
-def average_linkage(vectors: np.ndarray, most: float = 0.10, copies: np.ndarray | None = None) -> list[int]:
-    """Agglomerative clusters by average cosine distance, merged while the least distance is ``most`` or less; ``copies``: rows that each vector stands for.
+def average_linkage(sums: np.ndarray, size: np.ndarray, most: float = 0.10) -> list[int]:
+    """Agglomerative clusters by average cosine distance, merged while the least distance is ``most`` or less. ``sums``, ``size``: the sum of each one's unit vectors and their number.
 
     The average distance of two clusters follows from the sums of their unit vectors, and each cluster keeps its nearest one, so no matrix of all pairs is
     held. A merge never brings two clusters nearer than their parts were, so only those whose nearest was merged look anew.
     """
-    n = len(vectors)
-    size = np.ones(n) if copies is None else copies.astype(np.float64)
-    sums = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12) * size[:, None]
+    n, sums, size = len(sums), sums.copy(), size.astype(np.float64)
     label, alive = np.arange(n), np.ones(n, bool)
     near, least = np.zeros(n, np.int64), np.full(n, np.inf)
 
@@ -266,24 +265,39 @@ def _nearest_clusters(state: DataFrame, tile: int) -> DataFrame:
     return first_by(found, ["id"], ["far", F.least("id", "near"), F.greatest("id", "near")])
 
 
-def linked(rows: DataFrame, most: float, tile: int = 2048) -> DataFrame:
-    """(id, root) of all rows that are merged into others by average linkage up to the distance ``most``, in rounds. ``rows``: (id, _g, sums, size), the sum of a cluster's unit vectors and their number.
+def _linked_whole(rows: DataFrame, most: float) -> DataFrame:
+    """(id, parent) of the merged: each block in one task."""
 
-    A merge never brings two clusters nearer than their parts were, so all pairs of clusters that are each other's nearest merge at once, and a cluster whose nearest isn't merged keeps it. Clusters
-    whose nearest is farther than ``most`` are final and leave.
+    def solve(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("id", kind="stable").reset_index(drop=True)
+        k = np.array(average_linkage(np.stack(table["sums"].to_list()), table["size"].to_numpy(), most))
+        ids = table["id"].to_numpy()
+        first = pd.Series(ids).groupby(k).transform("first").to_numpy()
+        return pd.DataFrame({"id": ids, "parent": first})[ids != first]
+
+    return rows.select("id", "_g", "sums", "size").groupBy("_g").applyInPandas(solve, "id long, parent long")
+
+
+def linked(rows: DataFrame, most: float, whole: int = 4096, tile: int = 2048) -> DataFrame:
+    """(id, root) of all rows that are merged into others by average linkage up to the distance ``most``. ``rows``: (id, _g, sums, size), the sum of a cluster's unit vectors and their number.
+
+    Blocks of up to ``whole`` clusters are solved in one task. Others go in rounds until they are as small: a merge never brings two clusters nearer than their parts were, so all pairs of clusters
+    that are each other's nearest merge at once, and a cluster whose nearest isn't merged keeps it. Clusters whose nearest is farther than ``most`` are final and leave.
     """
-    state = settled(rows.select("id", "_g", "sums", "size", F.lit(True).alias("look"), F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("far")))
-    merged: DataFrame | None = None
+    count = rows.groupBy("_g").agg((F.count("*") > whole).alias("_large"))
+    sized = settled(rows.select("id", "_g", "sums", "size").join(count, "_g"))
+    small = _linked_whole(sized.where("not _large"), most)
+    if not sized.where("_large").limit(1).count():
+        return small.withColumnRenamed("parent", "root")
+    steps = [small]
+    state = sized.where("_large").select("id", "_g", "sums", "size", F.lit(True).alias("look"), F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("far"))
     while True:
         fresh = _nearest_clusters(state, tile)
         renewed = state.where("look").drop("near", "far").join(fresh, "id").select(*state.columns).unionByName(state.where("not look"))
         state = settled(renewed.where(F.col("far") <= most))
         back = state.select(F.col("id").alias("near"), F.col("near").alias("_back"))
         pairs = settled(state.join(back, "near").where("_back = id and id < near").select("id", F.col("near").alias("gone")))
-        if not pairs.limit(1).count():
-            return rows.sparkSession.createDataFrame([], "id long, root long") if merged is None else roots(merged)
-        step = pairs.select(F.col("gone").alias("id"), F.col("id").alias("parent"))
-        merged = settled(step if merged is None else merged.unionByName(step))
+        steps.append(pairs.select(F.col("gone").alias("id"), F.col("id").alias("parent")))
         into = pairs.select("id", "id").toDF("id", "_into").unionByName(pairs.select("gone", "id").toDF("id", "_into"))
         placed = state.join(into, "id", "left")
         kept = placed.where("_into is null").join(into.select(F.col("id").alias("near"), F.lit(True).alias("_moved")), "near", "left")
@@ -291,31 +305,22 @@ def linked(rows: DataFrame, most: float, tile: int = 2048) -> DataFrame:
         other = placed.where("_into <> id").select("_into", F.col("sums").alias("_sums"), F.col("size").alias("_size"))
         joined = placed.where("_into = id").join(other, "_into").select("id", "_g", F.zip_with("sums", "_sums", lambda x, y: x + y).alias("sums"), (F.col("size") + F.col("_size")).alias("size"), F.lit(True).alias("look"), "near", "far")
         state = settled(kept.unionByName(joined))
+        most_left = state.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
+        if most_left <= whole:
+            steps.append(_linked_whole(state, most))
+            return roots(reduce(DataFrame.unionByName, steps))
 
 
 def by_meaning(df: DataFrame, block: Sequence[Column], id_col: str, vector: str, most: float = 0.10, whole: int = 4096) -> DataFrame:
-    """(id, cluster): average-linkage clusters of cosine distance ``most`` within blocks. Equal vectors of a block are one, with their number as its weight. Ids are long numbers.
+    """(id, cluster): average-linkage clusters of cosine distance ``most`` within blocks. Equal vectors of a block are one, with their number as its weight. Ids are whole numbers.
 
-    A block of up to ``whole`` distinct vectors is solved in one task; larger ones in rounds in which no task has more than two tiles of vectors (``linked``). Both give the same clusters, but for ties of distance.
+    A block of up to ``whole`` distinct vectors is solved in one task, larger ones in rounds in which no task has more than two tiles of vectors (``linked``). Both give the same clusters, but for ties of distance.
     """
-    def solve(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("id", kind="stable").reset_index(drop=True)
-        k = average_linkage(np.stack(table["_v"].to_list()).astype(np.float64), most, table["_copies"].to_numpy())
-        return pd.DataFrame({"id": table["id"], "cluster": table["id"].groupby(np.array(k)).transform("first")})
-
-    rows = _rows(df, block, id_col, [vector]).withColumn("_key", F.struct("_g", q(vector).alias("_v")))
-    heads = rows.groupBy("_key").agg(F.min("_id").cast("long").alias("id"), F.count("*").alias("_copies"))
-    heads = settled(heads.select("id", "_copies", F.col("_key._g").alias("_g"), F.col("_key._v").cast("array<double>").alias("_v"), "_key"))
-    count = heads.groupBy("_g").agg((F.count("*") > whole).alias("_large"))
-    sized = heads.join(count, "_g")
-    solved = sized.where("not _large").select("id", "_g", "_v", "_copies").groupBy("_g").applyInPandas(solve, "id long, cluster long")
-    if count.where("_large").limit(1).count():
-        length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-        share = F.col("_copies") / F.greatest(length, F.lit(1e-12))
-        large = sized.where("_large").select("id", "_g", share.alias("_share"), "_v", F.col("_copies").cast("double").alias("size"))
-        large = large.select("id", "_g", F.transform("_v", lambda x: x * F.col("_share")).alias("sums"), "size")
-        found = large.select("id").join(linked(large, most), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
-        solved = solved.unionByName(found)
-    led = heads.select("id", F.col("_key").alias("_head")).join(solved, "id").drop("id")
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.join(led, F.col("_key").eqNullSafe(F.col("_head"))).select(F.col("_id").alias(id_col), F.col("cluster").cast(kind).alias("cluster"))
+    rows = _rows(df, block, id_col, [vector]).withColumn("_key", F.struct("_g", q(vector).alias("_v")))
+    heads = rows.groupBy("_key").agg(F.min("_id").cast("long").alias("id"), F.count("*").cast("double").alias("size"))
+    heads = settled(heads.select("id", "size", F.col("_key._g").alias("_g"), F.col("_key._v").cast("array<double>").alias("_v"), "_key"))
+    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    summed = heads.withColumn("_share", F.col("size") / F.greatest(length, F.lit(1e-12))).select("id", "_g", F.transform("_v", lambda x: x * F.col("_share")).alias("sums"), "size")
+    found = heads.select("id", F.col("_key").alias("_head")).join(linked(summed, most, whole), "id", "left").select("_head", F.coalesce("root", "id").cast(kind).alias("cluster"))
+    return rows.join(found, F.col("_key").eqNullSafe(F.col("_head"))).select(F.col("_id").alias(id_col), "cluster")
