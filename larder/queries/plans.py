@@ -291,8 +291,13 @@ def agglomerative_buckets(t):
 
 
 def candidates(t, per_nutrient: int = 30, most: int = 500):
-    best = ranking.best_sources(menu(t), "food_id", "calories", {n: low for n, low in MINIMA.items() if low}, per_nutrient, most).select(F.col("id").alias("food_id"))
-    return menu(t).where("name <> ''").join(best, "food_id", "left_semi")
+    """Named foods of energy: half of them the best sources a kcal, which alone may have too little energy for a plan, half those of most energy, richest in nutrients first."""
+    rich = {n: low for n, low in MINIMA.items() if low}
+    named = menu(t).where("name <> '' and calories > 0")
+    dense = ranking.best_sources(named, "food_id", "calories", rich, per_nutrient, most // 2).select(F.col("id").alias("food_id"))
+    share = sum((F.least(F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) / low, F.lit(1.0)) for n, low in rich.items()), F.lit(0.0))
+    filling = named.join(dense, "food_id", "left_anti").orderBy(F.desc(F.floor(F.col("calories") / 100)), F.desc(share), "food_id").limit(most - most // 2).select("food_id")
+    return named.join(dense.unionByName(filling), "food_id", "left_semi")
 
 
 @query()

@@ -112,3 +112,14 @@ def test_node_limit_is_reproducible():
     low, high = np.array([900.0, 500.0, 700.0]), np.array([1000.0, np.inf, np.inf])
     runs = [milp.solve(amounts, low, high, np.where(np.arange(30) % 2, 45.0, 0.0), nodes=40) for _ in range(2)]
     assert runs[0][1] == runs[1][1] == "Feasible (Node Limit)" and (runs[0][0] == runs[1][0]).all()
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_registered_searches_find_plans(spark, sf):
+    """At every size: no energy without a plan, and a week of ten foods a day at most from the genetic search."""
+    from larder.queries import QUERIES
+
+    rows = QUERIES["milp_diet"](spark, f"/root/testdata/sf{sf}").groupBy("status").agg(F.count("food_id").alias("n")).collect()
+    assert rows and all(r.n > 0 and r.status.split()[0] in ("Optimal", "Feasible") for r in rows)
+    found = QUERIES["ga_islands"](spark, f"/root/testdata/sf{sf}").collect()
+    assert found and {r.status.split()[0] for r in found} <= {"Optimal", "Feasible"} and found[0].fitness > 60
