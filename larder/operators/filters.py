@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..functions.classify import excluded
 from ..functions.numbers import count_present, sum_present
 from .columns import q
 
@@ -29,8 +31,21 @@ def good_quality(df: DataFrame, required: Sequence[str], extra: Sequence[str], n
     return df.where(ok & (count_present(*map(q, extra)) >= least_extra) & (F.trim(q(name)) != ""))
 
 
-def physics(df: DataFrame, protein: str, fat: str, carbs: str, limit: float = 105, atwater: tuple[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clean, flagged with ``flag_reason``): flagged where the macros weigh more than ``limit`` grams in 100.
+def counted(df: DataFrame, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """``df`` and what its next action will have counted: the rows for which each condition holds, without a pass of their own. ``seen.get`` waits for that action; filters above aren't pushed below the count."""
+    seen = Observation()
+    return df.observe(seen, *(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items())), seen
+
+
+def wanted(df: DataFrame, name: str, patterns: Sequence[str] = fixed.EXCLUDED_NAMES, also: Sequence[str] = (), whole_words: bool = False) -> tuple[DataFrame, Observation]:
+    """The rows whose names aren't excluded, and how many were ``kept`` and ``excluded``, known after an action on the rows."""
+    marked = df.withColumn("_out", excluded(q(name), patterns, also, whole_words))
+    watched, seen = counted(marked, kept=~F.col("_out"), excluded=F.col("_out"))
+    return watched.where("not _out").drop("_out"), seen
+
+
+def mark_physics(df: DataFrame, protein: str, fat: str, carbs: str, limit: float = 105, atwater: tuple[str, float] | None = None) -> DataFrame:
+    """``df`` with ``flag_reason``, empty for clean rows: flagged where the macros weigh more than ``limit`` grams in 100.
 
     ``atwater``: an energy column and a tolerance, to flag energies that don't follow from the macros as well.
     """
@@ -40,10 +55,23 @@ def physics(df: DataFrame, protein: str, fat: str, carbs: str, limit: float = 10
         energy, slack = atwater
         want = q(protein) * 4 + q(carbs) * 4 + q(fat) * 9
         reasons.append(F.when(F.abs(q(energy) - want) > slack * want, "ATWATER; "))
-    marked = df.withColumn("flag_reason", F.concat(*(F.coalesce(r, F.lit("")) for r in reasons)))
+    return df.withColumn("flag_reason", F.concat(*(F.coalesce(r, F.lit("")) for r in reasons)))
+
+
+def physics(df: DataFrame, protein: str, fat: str, carbs: str, limit: float = 105, atwater: tuple[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clean, flagged with ``flag_reason``) of ``mark_physics``; each reads the source. ``write_physics`` writes both in one pass."""
+    marked = mark_physics(df, protein, fat, carbs, limit, atwater)
     return marked.where("flag_reason = ''").drop("flag_reason"), marked.where("flag_reason <> ''")
 
 
+def write_physics(df: DataFrame, path: str, protein: str, fat: str, carbs: str, limit: float = 105, atwater: tuple[str, float] | None = None) -> dict[str, int]:
+    """Writes ``path/flagged=false`` and ``path/flagged=true`` in one pass over the source and returns the numbers of rows ``clean`` and ``flagged``, counted in it."""
+    flagged = F.col("flag_reason") != ""
+    marked, seen = counted(mark_physics(df, protein, fat, carbs, limit, atwater), clean=~flagged, flagged=flagged)
+    marked.withColumn("flagged", flagged).write.partitionBy("flagged").parquet(path)
+    return dict(seen.get)
+
+
 def any_value(df: DataFrame, nutrients: Sequence[str]) -> DataFrame:
     return df.where(F.coalesce(*(q(c).cast("string") for c in nutrients)).isNotNull())
 

@@ -6,21 +6,27 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as written to the checkpoint folder: a lost executor costs a re-read, and plans of rounds don't grow. Where no folder is set, a local master gets a temporary one; any other needs ``spark.checkpoint.dir``."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. Where none is set, a local master gets a temporary one; any other needs ``spark.checkpoint.dir``."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
             if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="larder-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
+            named = tempfile.mkdtemp(prefix="larder-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as written to the checkpoint folder: a lost executor costs a re-read, and plans of rounds don't grow."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 

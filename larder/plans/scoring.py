@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import is_seasoning, meat_kind, spice_kind
@@ -101,37 +101,44 @@ def _rows_fixed(df: DataFrame, **made: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
 
 
-def _violations(df: DataFrame, days: str, most: int, to: str) -> DataFrame:
-    """Adds ``to``, of a plan's days (arrays of food ids): for every three foods that share days more than ``most`` times, the times beyond, summed.
-
-    Foods are numbered within the plan, so three of them are one long; all threes are made and counted inside the plan's row. Their number grows with the cube of a day's foods. Every
-    step is a column of its own, as what a lambda reads would be worked out again for each element.
-    """
-    kept = df.columns
-    df = _rows_fixed(df, _known=F.array_distinct(F.flatten(days)))
-    df = _rows_fixed(df, _numbered=F.transform(days, lambda d: F.sort_array(F.transform(d, lambda f: F.array_position("_known", f)))), _n=F.size("_known").cast("long"))
-    places = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-    n = F.col("_n")
-
-    def threes(d: Column) -> Column:
-        last = F.size(d) - 1
-        third = lambda pair, j: F.transform(places(j + 1, last), lambda k: pair * n + F.get(d, k))
-        return F.flatten(F.transform(places(F.lit(0), last - 2), lambda i: F.flatten(F.transform(places(i + 1, last - 1), lambda j: third(F.get(d, i) * n + F.get(d, j), j)))))
-
-    df = _rows_fixed(df, _keys=F.sort_array(F.flatten(F.transform("_numbered", threes))))
-    # Of sorted keys, n equal ones give n - most that equal the one ``most`` places before.
-    later = F.slice("_keys", F.lit(most + 1), F.greatest(F.lit(0), F.size("_keys") - most))
-    return _rows_fixed(df, **{to: F.size(F.filter(later, lambda x, i: x == F.get("_keys", i))).cast("long")}).select(*kept, to)
-
-
 def trios(items: DataFrame, most: int) -> DataFrame:
-    """(plan_id, violations): for every three foods that share days more than ``most`` times, the times beyond. Repeated foods of a day count as often as they stand.
+    """(plan_id, violations): for every three foods that share days more than ``most`` times, the times beyond, summed. Repeated foods of a day count as often as they stand.
 
-    All threes are made inside one row a plan, so nothing is joined with itself and no threes are shuffled.
+    How often three foods meet follows from the days on which each stands. Foods of a plan that stand on the same days, equally often, are one kind with a number, and kinds, not foods, are combined: first
+    alone, then in twos, then in threes, and only while their days can still give more than ``most``. A week has few kinds however many foods its days have.
     """
-    day = items.groupBy("plan_id", "day").agg(F.collect_list("food_id").alias("_f"))
-    plan = day.groupBy("plan_id").agg(F.collect_list("_f").alias("_days"))
-    return _violations(plan, "_days", most, "violations").select("plan_id", "violations")
+    day = F.coalesce(F.col("day").cast("string"), F.lit("\0"))
+    held = items.where(F.col("food_id").isNotNull()).groupBy("plan_id", "food_id", day.alias("_day")).agg(F.count("*").alias("_c"))
+    foods = held.groupBy("plan_id", "food_id").agg(F.sort_array(F.collect_list(F.struct("_day", "_c"))).alias("_days"), F.max("_c").alias("_top"), F.sum("_c").alias("_all"))
+    kinds = foods.groupBy("plan_id", "_days").agg(F.count("*").alias("_n"), F.first("_top").alias("_top"), F.first("_all").alias("_all"))
+    plan = Window.partitionBy("plan_id")
+    # No food stands more than ``_most`` times on a day, so what meets w times gives at most w times that with one food more.
+    kinds = kinds.withColumn("_most", F.max("_top").over(plan)).where(F.col("_all") * F.col("_most") * F.col("_most") > most)
+    kinds = kinds.withColumn("_k", F.row_number().over(plan.orderBy("_days")))
+
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    weights = lambda days, w: F.filter(F.transform(days, lambda e: F.struct(e["_day"].alias("_day"), w(e).alias("w"))), lambda e: e["w"] > 0)
+    of_days = lambda name: F.map_from_entries(name)
+    over = lambda met, times: F.greatest(F.lit(0).cast("long"), met - most) * times
+    two = lambda n: n * (n - 1) / 2
+    named = lambda tag: kinds.select(F.col("plan_id").alias(f"_p{tag}"), F.col("_k").alias(f"_k{tag}"), F.col("_n").alias(f"_n{tag}"), of_days("_days").alias(f"_m{tag}"))
+
+    # One food three times; one twice and another.
+    alone = kinds.select("plan_id", over(total(weights("_days", lambda e: (e["_c"] * (e["_c"] - 1) * (e["_c"] - 2) / 6).cast("long"))), F.col("_n")).alias("v"))
+    y = named("y")
+    pairs = kinds.join(y, F.col("plan_id").eqNullSafe(F.col("_py")))
+    twice = pairs.where("_most > 1").select("plan_id", over(total(weights("_days", lambda e: (e["_c"] * (e["_c"] - 1) / 2).cast("long") * F.coalesce(F.col("_my")[e["_day"]], F.lit(0)))), F.when(F.col("_k") == F.col("_ky"), F.col("_n") * (F.col("_n") - 1)).otherwise(F.col("_n") * F.col("_ny"))).alias("v"))
+    met = weights("_days", lambda e: e["_c"] * F.coalesce(F.col("_my")[e["_day"]], F.lit(0)))
+    pairs = pairs.where("_k <= _ky").select("plan_id", "_most", "_k", "_ky", "_n", "_ny", met.alias("_met")).where(total("_met") * F.col("_most") > most)
+    z = named("z")
+    threes = pairs.join(z, F.col("plan_id").eqNullSafe(F.col("_pz")) & (F.col("_ky") <= F.col("_kz")))
+    times = (
+        F.when((F.col("_k") == F.col("_ky")) & (F.col("_ky") == F.col("_kz")), F.col("_n") * (F.col("_n") - 1) * (F.col("_n") - 2) / 6).when(F.col("_k") == F.col("_ky"), two(F.col("_n")) * F.col("_nz"))
+        .when(F.col("_ky") == F.col("_kz"), two(F.col("_ny")) * F.col("_n")).otherwise(F.col("_n") * F.col("_ny") * F.col("_nz"))
+    )
+    apart = threes.select("plan_id", over(total(weights("_met", lambda e: e["w"] * F.coalesce(F.col("_mz")[e["_day"]], F.lit(0)))), times.cast("long")).alias("v"))
+    zero = items.select("plan_id", F.lit(0).cast("long").alias("v"))
+    return zero.unionByName(alone).unionByName(twice).unionByName(apart).groupBy("plan_id").agg(F.sum("v").alias("violations"))
 
 
 def _kind_losses() -> tuple[Column, Column]:
@@ -159,7 +166,7 @@ def seasoning_score(items: DataFrame, foods: DataFrame, least: int = 3) -> DataF
 def fitness(items: DataFrame, foods: DataFrame, kcal: float, targets: Targets, days: int, foods_a_day: int) -> DataFrame:
     """(plan_id, parts from 0 to 1, fitness from 0 to 100) of every plan.
 
-    The items are read and joined once: a row a plan and day holds all that the parts need, then a row a plan. Foods that aren't known add no amounts.
+    The items are joined once: a row a plan and day holds all that the parts need, then a row a plan; ``trios`` counts threes of foods beside it. Foods that aren't known add no amounts.
     """
     nutrients = ["calories", *targets]
     facts = foods.select("food_id", *map(q, nutrients), meat_kind("name").alias("_meat"), spice_kind("name").alias("_spice"), is_seasoning("name").cast("int").alias("_seasoning"))
@@ -168,7 +175,7 @@ def fitness(items: DataFrame, foods: DataFrame, kcal: float, targets: Targets, d
     daily = items.join(facts, "food_id", "left").groupBy("plan_id", "day").agg(
         *(F.sum(F.coalesce(q(n), F.lit(0.0)) * grams / 100.0).alias(n) for n in nutrients),
         *(F.coalesce(F.sum(F.when(F.col(c) == kind, grams)), F.lit(0.0)).alias(f"_{kind}") for kind, c in kinds.items()),
-        F.sum(F.coalesce("_seasoning", F.lit(0))).alias("_seasonings"), F.collect_list("food_id").alias("_foods"),
+        F.sum(F.coalesce("_seasoning", F.lit(0))).alias("_seasonings"), F.collect_set("food_id").alias("_foods"),
     )
     macros, micros = _day_scores(kcal, targets)
     many = F.count("*") > 1
@@ -177,7 +184,8 @@ def fitness(items: DataFrame, foods: DataFrame, kcal: float, targets: Targets, d
         F.when(many, macros).otherwise(1.0).alias("macros"), F.when(many, micros).otherwise(1.0).alias("micros"),
         F.avg((F.col("_seasonings") >= 3).cast("double")).alias("seasoning"), F.collect_list("_foods").alias("_days"),
     )
-    week = _violations(week, "_days", max(1, round(days / 3)), "_over")
+    repeated = trios(items, max(1, round(days / 3))).select(F.col("plan_id").alias("_plan"), F.col("violations").alias("_over"))
+    week = week.join(repeated, F.col("plan_id").eqNullSafe(F.col("_plan")))
     meat, spice = _kind_losses()
     parts = {
         "nutrients": _nutrient_share(kcal, targets, days), "variety": F.greatest(F.lit(0.0), 1 - 0.1 * F.col("_over")),
@@ -232,6 +240,4 @@ def infeasibility(foods: DataFrame, kcal_col: str, minima: Mapping[str, float],
     each = best.select(F.inline(F.array(*(F.struct(F.lit(n).alias("nutrient"), (-F.col(f"`{n}`.id")).alias("best_food"), F.col(f"`{n}`.d").alias("density"), F.lit(float(low)).alias("low")) for n, low in minima.items()))))
     need = F.when(F.col("density") > 0, F.col("low") * (1 - slack) / F.col("density"))
     out = each.select("nutrient", "best_food", "density", need.alias("kcal_needed"), (100.0 * need / budget).alias("percent"))
-    from pyspark.sql import Window
-
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_first("percent"), "nutrient")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, fixed, text
 from ..functions.portions import RULES, portion
 from ..operators import aggregates, filters
+from ..operators.settle import settled
 from .base import query
 
 SIZE_RE = r"\b(\d+(?:\.\d+)?\s*(?:g|kg|ml|l|oz|lb|pc|pack|kcal|kj))\b"
@@ -169,6 +170,14 @@ def exclusion_filter(t):
     return t.foods.where(~classify.excluded("name", also=["Bacon"])).select("food_id", "name")
 
 
+@query(f"select count(*) filter (where not out) as kept, count(*) filter (where out) as excluded from (select {EXCLUDED_SQL} or coalesce(contains(lower(name), 'bacon'), false) as out from foods)")
+def exclusion_counts(t):
+    """How many foods the exclusion leaves and drops, from the pass that filters."""
+    kept, seen = filters.wanted(t.foods.select("food_id", "name"), "name", also=["Bacon"])
+    settled(kept)
+    return t.spark.createDataFrame([(seen.get["kept"], seen.get["excluded"])], "kept long, excluded long")
+
+
 @query("""select pattern, count(*) as n, string_agg(name, ' | ' order by food_id) filter (where r <= 3) as examples from (select *, row_number() over (partition by pattern order by food_id) as r from
     (select food_id, name, coalesce(""" + ", ".join(f"case when regexp_matches(lower(name), '{p}') then '{p}' end" for p in fixed.EXCLUDED_NAMES) + ") as pattern from foods)) where pattern is not null group by pattern")
 def pattern_attribution(t):

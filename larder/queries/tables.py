@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import aggregates, columns, filters, matching, ranking
+from ..operators.settle import folder, settled
+from ..sources import keyed
 from .base import query
 
 NUTRIENTS = ["kcal", "protein", "fat", "carbs", "fiber", "sodium"]
@@ -120,6 +124,14 @@ def physics_split(t):
     return clean.select("food_id", F.lit(None).cast("string").alias("flag_reason")).unionByName(flagged.select("food_id", "flag_reason"))
 
 
+@query("select count(*) filter (where s is null or s <= 105) as clean, count(*) filter (where s > 105) as flagged from (select case when coalesce(protein, fat, carbs) is not null then round(coalesce(protein, 0) + coalesce(fat, 0) + coalesce(carbs, 0), 10) end as s from foods)")
+def physics_counts(t):
+    """How many foods the check of macros leaves and flags, from the pass that writes both."""
+    marked, seen = filters.counted(filters.mark_physics(t.foods.select("food_id", "protein", "fat", "carbs"), "protein", "fat", "carbs"), clean=F.col("flag_reason") == "", flagged=F.col("flag_reason") != "")
+    settled(marked)
+    return t.spark.createDataFrame([(seen.get["clean"], seen.get["flagged"])], "clean long, flagged long")
+
+
 @query("select food_id, name from foods where coalesce(protein, fat, fiber) is not null and not coalesce(list_contains(['herbs', 'spices'], lower(category)), false) and kcal >= 10")
 def category_blacklist(t):
     return filters.without_categories(filters.any_value(t.foods, ["protein", "fat", "fiber"]), "category", ["Herbs", "SPICES"]).where("kcal >= 10").select("food_id", "name")
@@ -295,6 +307,15 @@ def upsert_keep_last(t):
     return ranking.upsert(stored, new.unionByName(extra), "id")
 
 
+@query("""select coalesce(s.s_suppkey, p.p_partkey) as id, case when s.s_suppkey is not null then s.s_name else p.p_name end as name, case when s.s_suppkey is null then p.p_size end as size, s.s_nationkey as nation from part p full join supplier s on s.s_suppkey = p.p_partkey""")
+def keyed_upsert(t):
+    """The parts as a table of files, then a batch of suppliers under the same keys: only the files that hold some of these are rewritten."""
+    path = f"{folder(t.spark)}/keyed-{uuid.uuid4().hex}"
+    keyed.upsert(t.spark, path, t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size")), "id", rows_per_file=1000)
+    keyed.upsert(t.spark, path, t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")), "id", rows_per_file=1000)
+    return keyed.read(t.spark, path)
+
+
 @query("select key, id, origin from (select *, row_number() over (partition by key order by origin, id) as r from (select lower(trim(p_name)) as key, p_partkey as id, 0 as origin from part where p_partkey % 2 = 0 union all select lower(trim(p_name)), p_partkey, 1 from part where p_partkey % 2 = 1)) where r = 1")
 def union_by_name_prefer(t):
     part = lambda k: t.part.where(f"p_partkey % 2 = {k}").select(F.lower(F.trim("p_name")).alias("key"), F.col("p_partkey").alias("id"), F.lit(k).alias("origin"))

@@ -151,7 +151,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",")
 
 
 def append_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """Adds rows to one CSV file that has one header, written when the file is new.
+    """Adds rows to one CSV file that has one header, written when the file is new. For small files: all of it passes the driver at each append; ``write_csv`` appends parts.
 
     Parts are written by tasks and joined stream by stream; the file is replaced at the end, so a failed run changes nothing. Other columns than the file's are an error.
     """
@@ -160,7 +160,8 @@ def append_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     at = lambda p: java.org.apache.hadoop.fs.Path(p)
     target, made = at(path), at(f"{path}.new-{uuid.uuid4().hex}")
     system = target.getFileSystem(conf)
-    header = ",".join(df.columns) if sep == "," else sep.join(df.columns)
+    quoted = lambda c: '"' + c.replace("\\", "\\\\").replace('"', '\\"') + '"' if any(x in c for x in (sep, '"', "\n", "\r")) else c
+    header = sep.join(map(quoted, df.columns))
     if system.exists(target):
         there = df.sparkSession.read.option("header", True).option("sep", sep).csv(path).columns
         if there != df.columns:
@@ -173,8 +174,12 @@ def append_csv(df: DataFrame, path: str, sep: str = ",") -> None:
         sink.write(bytearray(f"{header}\n".encode()))
     for source in [target, *map(at, files)]:
         if system.exists(source):
-            stream = system.open(source)
+            stream, size = system.open(source), system.getFileStatus(source).getLen()
             java.org.apache.hadoop.io.IOUtils.copyBytes(stream, sink, conf, False)
+            if size:  # a last line without an end isn't joined with the next row
+                stream.seek(size - 1)
+                if stream.read() != 10:
+                    sink.write(bytearray(b"\n"))
             stream.close()
     sink.close()
     system.delete(parts, True)
@@ -220,7 +225,7 @@ def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, key: str) ->
     A version is written beside the old one and named in ``<path>/current`` last, so readers never see half a table and a failed run changes nothing.
     """
     old = current_version(spark, path)
-    merged = upsert(spark.read.parquet(old), new, key) if old else new.dropDuplicates([key])
+    merged = upsert(spark.read.parquet(old), new, key) if old else upsert(new.where("false"), new, key)
     version = f"{path}/v-{uuid.uuid4().hex}"
     merged.write.parquet(version)
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ranking import first_by
-from ..sources.files import upsert_parquet
+from ..sources import keyed
 
 
 def product_stream(spark: SparkSession, folder: str, schema: str, files_at_once: int = 16) -> DataFrame:
@@ -18,10 +17,9 @@ def product_stream(spark: SparkSession, folder: str, schema: str, files_at_once:
 
 
 def upsert_stream(stream: DataFrame, key: str, table: str, checkpoint: str, order: Sequence[str] = ()) -> StreamingQuery:
-    """Each batch's last row of a key, by ``order`` and then by all columns' values as text, replaces the table's. Stops when all files that are there are read."""
+    """Each batch's last row of a key, by ``order`` and then by all columns' values as text, replaces the table's (``sources.keyed``): only files that may hold the batch's keys are rewritten. Stops when all files that are there are read."""
     def merge(batch: DataFrame, _: int) -> None:
-        last = first_by(batch, [key], [*(F.desc(c) for c in order), F.desc(F.to_json(F.struct("*")))])
-        upsert_parquet(batch.sparkSession, table, last, key)
+        keyed.upsert(batch.sparkSession, table, batch, key, order)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -123,3 +123,33 @@ def test_registered_searches_find_plans(spark, sf):
     assert rows and all(r.n > 0 and r.status.split()[0] in ("Optimal", "Feasible") for r in rows)
     found = QUERIES["ga_islands"](spark, f"/root/testdata/sf{sf}").collect()
     assert found and {r.status.split()[0] for r in found} <= {"Optimal", "Feasible"} and found[0].fitness > 60
+
+
+def brute_trios(rows, most):
+    """Threes of each day's list by place, counted over a plan's days."""
+    days, counts = {}, {}
+    for plan, day, food in rows:
+        counts.setdefault(plan, Counter())
+        if food is not None:
+            days.setdefault((plan, day), []).append(food)
+    for (plan, _), held in days.items():
+        counts[plan].update(combinations(sorted(held), 3))
+    return {plan: sum(max(0, n - most) for n in c.values()) for plan, c in counts.items()}
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 5])
+def test_trios_are_those_of_all_threes(spark, most):
+    rng = np.random.default_rng(most)
+    rows = [(int(rng.integers(0, 12)) if rng.random() < 0.9 else None, int(rng.integers(0, 5)) if rng.random() < 0.9 else None, int(rng.integers(0, 9)) if rng.random() < 0.95 else None) for _ in range(700)]
+    rows.append((77, 1, None))
+    df = spark.createDataFrame(rows, "plan_id int, day int, food_id int")
+    got = {r.plan_id: r.violations for r in scoring.trios(df, most).collect()}
+    assert got == brute_trios(rows, most) and (most > 2 or sum(got.values()) > 100)
+
+
+def test_trios_of_large_days(spark):
+    """2,000 foods on each of three days: 1.3 billion threes, three kinds of foods."""
+    day = spark.range(2000).select(F.lit(1).alias("plan_id"), F.col("id").alias("food_id"))
+    items = day.withColumn("day", F.lit(0)).unionByName(day.withColumn("day", F.lit(1))).unionByName(day.where("food_id < 1500").withColumn("day", F.lit(2)))
+    assert scoring.trios(items, 2).collect()[0].violations == 1500 * 1499 * 1498 // 6
+    assert scoring.trios(items.limit(0), 2).collect() == []

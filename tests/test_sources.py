@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import classify
 from larder.plans import medallion
-from larder.sources import files, rest
+from larder.sources import files, keyed, rest
 from larder.streaming import bronze
 
 
@@ -34,6 +34,24 @@ def test_upsert(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(last).collect())) == [(1, "a", None), (2, "c", 1), (3, "d", 2)]
 
 
+def test_first_load_settles_ties(spark, tmp_path):
+    rows = [(1, "b"), (1, "c"), (1, "a"), (2, "x"), (2, "x")]
+    first = files.upsert_parquet(spark, str(tmp_path / "t"), spark.createDataFrame(rows, "id long, x string"), "id")
+    assert sorted(map(tuple, spark.read.parquet(first).collect())) == [(1, "c"), (2, "x")]
+
+
+def test_append_quotes_names_and_ends_lines(spark, tmp_path):
+    path = str(tmp_path / "one.csv")
+    rows = lambda *x: spark.createDataFrame([*x], ["Thiamin, B1 (mg)", "y"])
+    files.append_csv(rows(("1", "2")), path)
+    (tmp_path / ".one.csv.crc").unlink()  # edited by another program
+    with open(path, "rb+") as f:
+        f.truncate(len(f.read()) - 1)
+    files.append_csv(rows(("3", "4")), path)
+    got = spark.read.option("header", True).csv(path)
+    assert got.columns == ["Thiamin, B1 (mg)", "y"] and sorted(map(tuple, got.collect())) == [("1", "2"), ("3", "4")]
+
+
 def test_foods(spark):
     df = spark.createDataFrame([("u1", "Milk", "64", "3.2", None), (None, "Tea", "x", "nan", "1"), ("u3", " ", "1", "1", "1")], "source_id string, ref_name string, kcal string, protein string, iron string")
     got = files.read_foods(df, ["source_id"], "ref_name", {"calories": "kcal", "protein": "protein", "iron": "iron"}).collect()
@@ -61,7 +79,7 @@ def test_stream(spark, tmp_path):
     bronze.upsert_stream(bronze.product_stream(spark, str(folder), "code string, name string"), *args).awaitTermination()
     (folder / "b.tsv").write_text("code\tname\n2\tTWO\n3\tthree\n")
     bronze.upsert_stream(bronze.product_stream(spark, str(folder), "code string, name string"), *args).awaitTermination()
-    got = spark.read.parquet(files.current_version(spark, str(tmp_path / "table")))
+    got = keyed.read(spark, str(tmp_path / "table"))
     assert sorted(map(tuple, got.collect())) == [("1", "one"), ("2", "TWO"), ("3", "three")]
 
 
