@@ -150,12 +150,15 @@ def trust_sql(rounds: int = 9, damping: float = 0.85, threshold: float = 0.075)
         f"u as (select page_id, {host('x')} as host, regexp_extract(x, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, html from (select *, coalesce(url, '') as x from pages))",
         f"seen as (select *, {pick([h + p for _, h, p in ordered])} as rule, {pick([v for v, _, _ in ordered])} as said from u)",
         "hosts as (select host, count(*) filter (where said = 'allow') / cast(count(*) as double) as allowed, count(*) filter (where said = 'block') / cast(count(*) as double) as blocked from seen where host <> '' group by host)",
-        f"links as (select host as src, {host('case when starts_with(l, $$//$$) then $$:$$ || l else l end')} as dst from (select host, unnest(regexp_extract_all(html, '{urlfilter.LINK.replace("'", "''")}', 1)) as l from u))",
-        "edges as (select src, dst, count(*) as n from links where src <> '' and dst <> '' and src <> dst group by src, dst)",
+        f"targets as (select host as src, case when starts_with(l, $$//$$) then $$:$$ || l else l end as l from (select host, unnest(regexp_extract_all(html, '{urlfilter.LINK.replace("'", "''")}', 1)) as l from u))",
+        f"links as (select src, {host('l')} as host, regexp_extract(l, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from targets)",
+        f"told as (select *, {pick([v for v, _, _ in ordered])} as said from links where src <> '' and host <> '' and src <> host)",
+        "edges as (select src, host as dst, count(*) as n from told group by src, host)",
+        "seeds as (select * from hosts union all select host, count(*) filter (where said = 'allow') / cast(count(*) as double), count(*) filter (where said = 'block') / cast(count(*) as double) from told where host not in (select host from hosts) group by host)",
     ]
     for kind, seed, a, b in (("t", "allowed", "src", "dst"), ("b", "blocked", "dst", "src")):
         ctes.append(f"{kind}e as (select {a} as src, {b} as dst, n / cast(sum(n) over (partition by {a}) as double) as share from edges)")
-        ctes.append(f"{kind}0 as (select host, {seed} * {1 - damping} as score from hosts where {seed} > 0)")
+        ctes.append(f"{kind}0 as (select host, {seed} * {1 - damping} as score from seeds where {seed} > 0)")
         for k in range(rounds):
             ctes.append(f"{kind}{k + 1} as (select host, sum(score) as score from (select * from {kind}0 union all select dst, score * share * {damping} from {kind}e join {kind}{k} on host = src) group by host)")
     return f"""with {", ".join(ctes)} select page_id, s.host, path, rule, coalesce(said, case when x >= {threshold} and x > t then 'block' else 'allow' end) as verdict, t as trust, x as distrust

@@ -113,3 +113,21 @@ def test_linked_hosts_without_pages(spark):
     assert got(urlfilter.judge(df)) == want
     verdicts = {r[1]: r[4] for r in want}
     assert verdicts["linker.test"] == "block" and verdicts["mixed.test"] == verdicts["proud.test"] == "allow"
+
+
+def test_sql_on_linked_hosts(spark, tmp_path):
+    """The registered query and its SQL on pages whose links reach hosts with and without pages."""
+    from larder.llm.queries import ORACLES, QUERIES
+
+    from .oracle import same
+
+    a = lambda *x: "".join(f'<a HREF = "{u}">x</a>' for u in x)
+    pages = [
+        (1, "http://linker.test/", a("http://spam.net/1", "http://spam.net/2", "/local")), (2, "http://mixed.test/", a("http://shop.example.com/de/", "http://shop.example.com/", "http://shop.example.com/en/", "http://fine.test/")),
+        (3, "http://far.test/", a("http://linker.test/?q#f")), (4, "http://own.net/x", ""), (5, "http://friend.test/", a("http://own.net/y", "//good.org/fr/")), (6, None, a("http://lost.net/")), (7, "http://proud.test/", a("//Good.org/fr/1")),
+        (8, "http://Bad.Example.com/de/1", a("//good.example.org/fr/")), (9, "http://good.example.org/fr/a?b", a("http://friend.test", "http://linker.test/")), (9, "no scheme", None),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    assert same(spark, QUERIES["op4_url_filter"], ORACLES["op4_url_filter"], str(tmp_path)) == len(pages)
+    assert {r.host: r.verdict for r in QUERIES["op4_url_filter"](spark, str(tmp_path)).collect()}["linker.test"] == "block"
