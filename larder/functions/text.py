@@ -14,6 +14,7 @@ SIZES = r"\b(\d+(?:\.\d+)?\s*(?:g|kg|ml|l|oz|lb|pc|pack|kcal|kj))\b"
 SIZE_FORMS = [r"\d+\s*x\s*\d+\s*g\b", r"\d+(?:\.\d+)?\s*kg\b", r"\d+(?:\.\d+)?\s*g\b", r"\d+(?:\.\d+)?\s*ml\b", r"\d+(?:\.\d+)?\s*litre", r"\d+(?:\.\d+)?\s*l\b", r"\d+\s*pack\b", r"\d+\s*pint"]
 #: Words that tell how a food is prepared.
 COOKING = "fried|roasted|boiled|cooked|steamed|poached|microwaved|baked|canned|flesh|skin|raw|fresh|dry|dried"
+#: Words that tell that a food is raw, and that it is cooked.
 RAW_STATE = r"raw|dried|dry|uncooked|fresh$"
 COOKED_STATE = "boiled|cooked|baked|fried|roasted|grilled|steamed|stewed"
 #: Phrases that say nothing about a product.
@@ -140,6 +141,7 @@ def with_size_mark(c: Column | str) -> Column:
 def unit_of(c: Column | str) -> Column:
     """A nutrient's unit, from its name."""
     c = col(c)
+    # Nutrients in grams.
     grams = ["protein", "fat", "carbohydrate", "Sugar (g)", "Saturated Fat (g)", "Monounsaturated Fat (g)", "Polyunsaturated Fat (g)"]
     return F.when(c.isin(grams), "g").when(c.contains("(mg)"), "mg").when(c.contains("(mcg)"), "mcg").when(c.contains("(g)"), "g").otherwise("")
 
