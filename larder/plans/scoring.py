@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import is_seasoning, meat_kind, spice_kind
 from ..functions.fixed import DAILY_MICROS
 from ..operators.columns import q
+from ..operators.settle import settled
 
 # Tolerance and steepness of the daily score by tier, and the tiers' nutrients (others are of tier 2).
 TIERS = {1: (0.10, 5.0), 2: (0.25, 4.0), 3: (0.50, 3.0)}
@@ -114,7 +115,8 @@ def trios(items: DataFrame, most: int) -> DataFrame:
     plan = Window.partitionBy("plan_id")
     # No food stands more than ``_most`` times on a day, so what meets w times gives at most w times that with one food more.
     kinds = kinds.withColumn("_most", F.max("_top").over(plan)).where(F.col("_all") * F.col("_most") * F.col("_most") > most)
-    kinds = kinds.withColumn("_k", F.row_number().over(plan.orderBy("_days")))
+    # What can't give more is gone, so the kinds are few; they are read several times.
+    kinds = settled(kinds.withColumn("_k", F.row_number().over(plan.orderBy("_days"))))
 
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["w"])
     weights = lambda days, w: F.filter(F.transform(days, lambda e: F.struct(e["_day"].alias("_day"), w(e).alias("w"))), lambda e: e["w"] > 0)
