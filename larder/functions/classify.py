@@ -12,10 +12,27 @@ from .numbers import col
 from .text import without_cooking
 
 
+def any_of(words: Iterable[str]) -> str:
+    """A pattern of the words, by their first characters, so that a place of a text is compared with few of them. Of those that stand at a place it finds the one listed first."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[:1], []).append(w[1:])
+    return "|".join(rf"\Q{first}\E(?:" + "|".join(rf"\Q{rest}\E" for rest in rests) + ")" for first, rests in by_first.items())
+
+
 def any_in(text: Column, words: Iterable[str]) -> Column:
     """True if the text holds any of the words; one regular expression, so one pass over the text."""
-    quoted = "|".join(rf"\Q{w}\E" for w in words)
-    return F.coalesce(text.rlike(quoted), F.lit(False))
+    return F.coalesce(text.rlike(any_of(words)), F.lit(False))
+
+
+def first_rule(text: Column, rules: Sequence[tuple[Sequence[str], str]]) -> Column:
+    """The value of the first rule of which a word is in the text, in one pass over it; null if there is none."""
+    words = [w for ws, _ in rules for w in ws]
+    values = [value for ws, value in rules for _ in ws]
+    # At each place the listed words' first, so the least of them is that of the whole text.
+    found = F.regexp_extract_all(text, F.lit(f"(?=({any_of(words)}))"), 1)
+    at = F.array_min(F.transform(found, lambda w: F.array_position(F.array(*map(F.lit, words)), w)))
+    return F.try_element_at(F.array(*map(F.lit, values)), at.cast("int"))
 
 
 def first_of(rules: Sequence[tuple[Column, object]], otherwise: object = None) -> Column:
@@ -53,9 +70,8 @@ UNKNOWN = "unknown | unknown | unknown"
 
 def keyword_descriptor(c: Column | str) -> Column:
     """The descriptor of the first rule of which a word is in the name without its preparation, else in the whole name."""
-    rules = lambda text: [(any_in(text, words), d) for words, d in fixed.KEYWORD_DESCRIPTORS]
-    whole = first_of(rules(F.lower(col(c))), UNKNOWN)
-    return first_of(rules(F.lower(without_cooking(c))), whole)
+    found = [first_rule(F.lower(text), fixed.KEYWORD_DESCRIPTORS) for text in (without_cooking(c), col(c))]
+    return F.coalesce(*found, F.lit(UNKNOWN))
 
 
 def mapped(c: Column | str, table: dict[str, str], otherwise: str = UNKNOWN) -> Column:

@@ -99,7 +99,8 @@ def without_brands(name: Column | str, brands: Column | str, phrases: list[str]
 def without_cooking(c: Column | str) -> Column:
     """A name up to its first part about preparation; whole if that leaves nothing."""
     base = F.trim(F.regexp_extract(col(c), rf"(?i)^(.*?),?\s*[^,]*?(?:{COOKING}).*$", 1))
-    return F.when(base == "", col(c)).otherwise(base)
+    # A name without such a word is whole; the long pattern would try all its places.
+    return F.when(~col(c).rlike(f"(?i){COOKING}"), col(c)).when(base == "", col(c)).otherwise(base)
 
 
 def spelling_block(category: Column | str, name: Column | str) -> Column:
