@@ -104,7 +104,7 @@ def micronutrients(profiles: DataFrame, ranges: DataFrame) -> DataFrame:
     keys = first_of([(F.col("goal") == g, k) for g, k in GOAL_KEYS.items()], F.lit(None).cast("string"))
     people = profiles.select("id", "age", F.lower("gender").alias("_g"), keys.alias("_key"))
     fits = (F.col("gender") == F.col("_g")) | (F.col("gender") == "all")
-    aged = in_range(people, "age", ranges.where("key is null"), ["nutrient"], fits).select("id", "nutrient", "min", "max")
+    aged = in_range(people, "age", ranges.where("key is null"), ["nutrient"], lambda r: (r("gender") == F.col("_g")) | (r("gender") == "all")).select("id", "nutrient", "min", "max")
     goal = people.join(small(ranges.where("key is not null")), (F.col("key") == F.col("_key")) & fits)
     goal = goal.groupBy("id", "nutrient").agg(F.min_by(F.struct("min", "max"), "ord").alias("own"))
     every = people.select("id").join(small(ranges.select("nutrient").distinct()))
@@ -120,8 +120,7 @@ def limits(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     strategies absolute, bodyweight (per kg; for protein the building or active optimum where the goal or level asks for it; the safe maximum where there is none) and percent_calories (9 kcal a g of fat,
     else 4; not below ``least_grams``). The first rule of a nutrient that fits gender and age counts.
     """
-    fits = F.array_contains(F.split(F.lower("genders"), r"\|"), F.lower("gender"))
-    hit = in_range(profiles, "age", rules, ["nutrient"], fits)
+    hit = in_range(profiles, "age", rules, ["nutrient"], lambda r: F.array_contains(F.split(F.lower(r("genders")), r"\|"), F.lower("gender")))
     protein = F.lower("nutrient").contains("protein")
     build = protein & F.col("goal").isin("muscle_gain", "build")
     active = protein & F.col("level").isin("active", "very_active")
