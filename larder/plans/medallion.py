@@ -12,6 +12,7 @@ from ..functions import classify, text
 from ..functions.numbers import round_even
 from ..operators import aggregates, cluster, columns, filters, matching, ranking
 from ..operators.columns import q
+from ..operators.settle import settled
 from ..sources import files
 
 # Sums that stand in for missing aggregates.
@@ -92,7 +93,7 @@ def reference_gold(sources: Sequence[DataFrame], labels: DataFrame, id_col: str,
     rows = ranking.union_preferring(sources, F.lower(F.trim(q(name))), id_col)
     cache = labels.groupBy("source_id").agg(F.max_by("food_type_label", "ord").alias("food_type_label"))
     rows = rows.join(cache.withColumnRenamed("source_id", id_col), id_col, "left").withColumn("_short", text.without_cooking(name))
-    rows = columns.completeness(rows, [*macros, *micros])
+    rows = settled(columns.completeness(rows, [*macros, *micros]))  # read three times below
     found = cluster.by_spelling(rows, [F.col("food_type_label"), F.col("semantic_descriptor")], id_col, "_short", least, [("nutri_count", False)])
     joined = rows.join(found, id_col)
     gold = aggregates.base_rows(joined, "cluster", name, id_col, macros, micros)

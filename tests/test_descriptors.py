@@ -33,3 +33,8 @@ def test_a_name_is_cut_once_and_not_once_a_rule(spark):
     for name in ("semantic_descriptor", "source_silver"):
         text = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert 0 < text.count("regexp_extract(") <= 2
+
+
+def test_reference_rows_are_made_once(spark):
+    plan = QUERIES["reference_gold"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan
