@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Collection, Iterator
+from itertools import chain, compress, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +30,20 @@ _SIMPLE = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
 _PIECE = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+|\n")
 _WORD_END = "</w>"
 
+#: Bytes of texts that are encoded together, and at most one text more.
+AT_ONCE = 2 << 20
+
 # Python counts U+001C to U+001F as white space; the tokenizer doesn't drop them.
-_SEPARATOR = re.compile("[\x1c-\x1f]")
+_SEPARATOR = "[\x1c-\x1f]"
 _WORD = re.compile("[\\S\x1c-\x1f]+")
 
 
-def _split(text: str) -> list[str]:
-    """The text's words, parted at the white space that the tokenizer drops."""
-    return _WORD.findall(text) if _SEPARATOR.search(text) else text.split()
+def _split(texts: pa.Array) -> pa.ListArray:
+    """Each text's words, parted at the white space that the tokenizer drops, and maybe empty ones; a null text has none that isn't empty."""
+    texts = pc.fill_null(texts, "")
+    if pc.any(pc.match_substring_regex(texts, _SEPARATOR)).as_py():
+        return pa.array(map(_WORD.findall, texts.to_pylist()), pa.list_(pa.string()))
+    return pc.utf8_split_whitespace(texts)
 
 
 class _Lists:
@@ -64,13 +71,42 @@ class _Lists:
         return self.flat[np.repeat(self.start[which] - ends + sizes, sizes) + np.arange(total)], ends
 
 
-class _Words:
-    """Token ids of white-space separated words; the vocabulary used here drops white space, so a text's ids are its words' in order.
+class _Known:
+    """The ids of texts met before, numbered; number 0 is ``empty``, which has none. What is kept only saves work."""
 
-    What is kept only saves work; it starts anew beyond LIMIT entries.
-    """
+    def __init__(self, empty: str):
+        self.number, self.lists, self.met = {empty: 0}, _Lists(), np.zeros(1 << 16, np.int32)
+        self.lists.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def add(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(texts, range(len(self.number), len(self.number) + len(texts)), strict=True))
+        self.lists.add(ids, sizes)
+        if len(self.met) < len(self.lists.size):
+            self.met = np.concatenate([self.met, np.zeros(len(self.lists.size) - len(self.met), np.int32)])
+
+    def codes(self, texts: Collection[str]) -> np.ndarray:
+        """The texts' numbers, -1 for others."""
+        return np.fromiter(map(self.number.get, texts, repeat(-1)), np.int64, len(texts))
+
+    def trim(self, limit: int) -> None:
+        """Beyond ``limit`` texts, those stay that were met again since they came or last stayed, the most frequent ones and half of ``limit`` at most."""
+        if (n := len(self.number)) <= limit:
+            return
+        met = self.met[:n]
+        keep = met > max(1, np.partition(met, n - 1 - limit // 2)[n - 1 - limit // 2])
+        keep[0] = True
+        ids, ends = self.lists.join(np.nonzero(keep)[0])
+        self.number = {text: k for k, text in enumerate(compress(self.number, keep))}
+        self.lists = _Lists()
+        self.lists.add(ids, np.diff(ends, prepend=0))
+        self.met = np.zeros(len(self.lists.size), np.int32)
+        self.met[: len(self.number)] = 1
 
-    LIMIT = 600_000
+
+class _Words:
+    """Token ids of white-space separated words; the vocabulary used here drops white space, so a text's ids are its words' in order."""
+
+    LIMIT = 450_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -79,17 +115,7 @@ class _Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
-        self.clear_pieces()
-        self.clear_words()
-
-    def clear_words(self) -> None:
-        self.known: dict[str, int] = {}
-        self.words = _Lists()
-
-    def clear_pieces(self) -> None:
-        self.pieces: dict[str, int] = {"\n": 0}
-        self.parts = _Lists()
-        self.parts.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self.pieces, self.words = _Known("\n"), _Known("")
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,31 +123,37 @@ class _Words:
     def _learn(self, new: list[str]) -> None:
         plain = list(filter(_SIMPLE.fullmatch, new))
         found = _PIECE.findall("\n".join([*plain, ""]).lower())
-        if len(self.pieces) > self.LIMIT:
-            self.clear_pieces()
-        if fresh := list(set(found).difference(self.pieces)):
+        self.pieces.trim(self.LIMIT)
+        if fresh := list(set(found).difference(self.pieces.number)):
             # A piece is one word of the vocabulary's rule, so its last id, and no other, has the mark of a word's end.
             lists = self._encoded([" ".join(fresh[k : k + 1000]) for k in range(0, len(fresh), 1000)])
             ids = np.concatenate([np.array(x, np.uint32) for x in lists])
-            sizes = np.diff(np.nonzero(self.ends[ids])[0], prepend=-1)
-            self.pieces.update(zip(fresh, range(len(self.pieces), len(self.pieces) + len(fresh)), strict=True))
-            self.parts.add(ids, sizes)
-        codes = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
-        ids, ends = self.parts.join(codes)
-        self.words.add(ids, np.diff(ends[codes == 0], prepend=0))
+            self.pieces.add(fresh, ids, np.diff(np.nonzero(self.ends[ids])[0], prepend=-1))
+        codes = self.pieces.codes(found)
+        self.pieces.met[codes] += 1
+        ids, ends = self.pieces.lists.join(codes)
+        self.words.add(plain, ids, np.diff(ends[codes == 0], prepend=0))
         odd = list(set(new).difference(plain)) if len(plain) < len(new) else []
         if odd:
             lists = self._encoded(odd)
-            self.words.add(np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
-        self.known.update(zip(plain + odd, range(len(self.known), len(self.known) + len(new)), strict=True))
-
-    def encode(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
-        if len(self.known) > self.LIMIT:
-            self.clear_words()
-        if new := list(set().union(*texts).difference(self.known)):
-            self._learn(new)
-        for words in texts:
-            yield self.words.join(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))[0]
+            self.words.add(odd, np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text. Each distinct word is looked up once."""
+        self.words.trim(self.LIMIT)
+        split = _split(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
+        codes = self.words.codes(words)
+        new = np.nonzero(codes < 0)[0]
+        if len(new):
+            self._learn(words[new].tolist())
+            codes[new] = self.words.codes(words[new])
+        self.words.met[codes] += 1
+        ids, ends = self.words.lists.join(codes[coded.indices.to_numpy()])
+        last = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
+        for a, b in zip([0, *last], last, strict=False):
+            yield ids[a:b]
 
 
 def _tokenizer(path: str) -> _Words:
@@ -145,11 +177,12 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = _tokenizer(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = [_split(t or "") for t in batch.column(2).to_pylist()]
+            full = np.cumsum(pc.fill_null(pc.binary_length(whole.column(2)), 0).to_numpy().astype(np.int64)) // AT_ONCE
+            cuts = [0, *(np.nonzero(np.diff(full))[0] + 1).tolist(), whole.num_rows]
+            for at, end in pairwise(cuts):
+                batch = whole.slice(at, end - at)
                 rows, start, length, crc, piece, kept = [], [], [], [], [], []
-                for k, ids in enumerate(coder.encode(texts)):
+                for k, ids in enumerate(coder.encode(batch.column(2))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for n, a in enumerate(range(0, len(ids), limit)):
                         part = ids[a : a + limit]

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -125,3 +126,19 @@ def test_tiny_and_large_texts_together(spark):
     docs = [(k, " ".join(["the"] * (2040 if k % 20 == 0 else 1))) for k in range(6000)]
     rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), PATH, **PACKING).collect()
     assert whole(rows, docs) <= -(-sum(r.length for r in rows) // 2048) + 1
+
+
+def test_common_words_are_learned_once(monkeypatch):
+    """Rare words go when too many are kept; common ones stay, and every text's ids are the tokenizer's."""
+    monkeypatch.setattr(packing._Words, "LIMIT", 500)
+    coder, learned = packing._Words(PATH), []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda new: learned.extend(new) or learn(new))
+    rng = np.random.default_rng(7)
+    rare = lambda: "".join(rng.choice([*"abcdefgh"], 9))
+    for _ in range(40):
+        texts = [" ".join([f"common{chr(97 + k % 26)}{chr(97 + k // 26)}," for k in range(100)] + [rare() for _ in range(20)]) for _ in range(5)] + [None, "", " \n", "a<b 'tis\x1cso"]
+        for t, ids in zip(texts, coder.encode(pa.array(texts)), strict=True):
+            assert [*ids.tolist(), 0] == ids_of(t)
+    assert len(coder.words.number) <= 700
+    assert sum(w.startswith("common") for w in learned) == 100
