@@ -1,9 +1,11 @@
-"""SimHash near-duplicate groups by tiled exact comparison.
+"""SimHash near-duplicate groups by exact comparison of blocks.
 
 Fingerprints are exact: every word shingle of the whole text votes. Distinct fingerprints are sorted by the
 population counts of their parts and cut into blocks; every pair of blocks whose counts can be within the
-radius meets in one task, which compares tiles with exclusive-or and bit counts and skips the tile pairs whose population
-counts differ by more than the radius (a difference in population count is a lower bound of the Hamming distance, so nothing is missed).
+radius meets in one task. It cuts fingerprints into parts of 16 bits: if two are within the radius, some part differs in few bits, so one
+side is looked up by each part's keys, and only what it meets is compared. Small blocks, and those in which much is alike, are compared by
+tiles with exclusive-or and bit counts instead, but for the tile pairs whose population counts differ by more than the radius (a
+difference in population count is a lower bound of the Hamming distance). Both find every link.
 A task returns a spanning forest of the links that it finds, not the links, so a group of k alike
 fingerprints costs k rows; the components of all forests together are the components of all links.
 """
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from .words import column, free
 
 TILE = 128
 PARTS = 4
+#: Bits of a part that is looked up; rows that are looked up at once, and about how many pairs are compared at once beyond a key's first ones.
+KEY, ROWS, AT_ONCE = 16, 1 << 14, 1 << 18
 
 
 #: Odd factors that derive further hashes from a shingle's.
@@ -125,6 +129,115 @@ def _close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
     return x, y
 
 
+def _allowed(radius: int, parts: int) -> list[int]:
+    """Differing bits a part may have so that each pair within the radius has a part with no more; -1 where a part needn't be looked at. If every part had one more, the sum would pass the radius."""
+    least, more = divmod(radius + 1, parts)
+    return [least + (k < more) - 1 for k in range(parts)]
+
+
+def _masks(most: int) -> np.ndarray:
+    """All keys of a part with ``most`` bits or fewer, few bits first."""
+    keys = np.arange(1 << KEY)
+    bits = np.bitwise_count(keys)
+    return keys[np.argsort(bits, kind="stable")][: np.count_nonzero(bits <= most)]
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Each fingerprint's parts of KEY bits, a row a part."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).astype("<u8").view("<u2").reshape(len(x), -1).T).astype(np.int64)
+
+
+def _lookup_pays(a: np.ndarray, b: np.ndarray, masks: list[np.ndarray]) -> bool:
+    """Whether looking parts up costs less than comparing all tiles. The pairs that it would compare are reckoned from some of the rows; both ways find the same links."""
+    step, met, probes = max(1, -(-len(a) // 4096)), 0, sum(map(len, masks))
+    for ka, kb, own in zip(_keys(a[::step]), _keys(b), masks, strict=True):
+        n = np.bincount(kb, minlength=1 << KEY)
+        for at in range(0, len(ka), 256):
+            met += int(n[ka[at : at + 256, None] ^ own].sum())
+    return probes * (10_000 + len(a)) + 4 * met * step < len(a) * len(b)
+
+
+def _beyond(first: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, place) for each row's ``n`` places from ``first``, about AT_ONCE together."""
+    rows = np.nonzero(n > 0)[0]
+    first, n = first[rows], n[rows]
+    ends = np.cumsum(n)
+    cuts = np.searchsorted(ends, np.arange(AT_ONCE, ends[-1], AT_ONCE), side="right").tolist() if len(ends) else []
+    for lo, hi in pairwise([0, *cuts, len(rows)]):
+        if lo < hi:
+            before = ends[lo:hi] - n[lo:hi]
+            yield np.repeat(rows[lo:hi], n[lo:hi]), np.repeat(first[lo:hi] - before, n[lo:hi]) + np.arange(before[0], ends[hi - 1])
+
+
+def _together(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, little more than AT_ONCE at a time."""
+    held, n = [], 0
+    for x, y in pairs:
+        held.append((x, y))
+        n += len(x)
+        if n > AT_ONCE:
+            yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
+
+
+def _near_in_part(a: np.ndarray, b: np.ndarray, part: int, masks: np.ndarray, radius: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs that differ by one of ``masks`` in the part, and by ``radius`` bits at most in two words. Sides are sorted by the part.
+
+    The first ``wide`` fingerprints of each key of b stand in as many columns, a key a row; empty places hold any fingerprint, so some pairs that come don't differ by a mask.
+    """
+    words, wide = a.shape[1], min(8, 1 + int(1.5 * len(b) / (1 << KEY)))
+    ka, n = _keys(a)[part], np.bincount(_keys(b)[part], minlength=1 << KEY)
+    start, full = np.cumsum(n) - n, n > wide
+    place = [np.where(slot < n, start + slot, 0) for slot in range(wide)]
+    # The words without the part tell more.
+    first = [(part * KEY // 64 + 1 + i) % words for i in range(min(2, words))]
+    left, right = ([np.ascontiguousarray(z[:, w]) for w in first] for z in (a, b))
+    table = [[x[p] for x in right] for p in place]
+
+    def near(x: np.ndarray | slice, others: list[np.ndarray]) -> np.ndarray:
+        bits = [np.bitwise_count(q[x] ^ o) for q, o in zip(left, others, strict=True)]
+        return (bits[0] + bits[1] if len(bits) > 1 else bits[0]) <= radius
+
+    for mask in masks.tolist():
+        asked = ka ^ mask
+        rows = np.nonzero(asked > ka)[0] if own and mask else None  # of a side with itself each pair once
+        for at in range(0, len(ka) if rows is None else len(rows), ROWS):
+            here = slice(at, at + ROWS) if rows is None else rows[at : at + ROWS]
+            keys = asked[here]
+            for p, held in zip(place, table, strict=True):
+                i = np.nonzero(near(here, [t.take(keys, mode="wrap") for t in held]))[0]
+                if len(i):
+                    yield i + at if rows is None else here[i], p[keys[i]]
+        more = np.nonzero(full[asked])[0] if rows is None else rows[full[asked[rows]]]
+        for i, y in _beyond(start[asked[more]] + wide, n[asked[more]] - wide):
+            keep = near(more[i], [r[y] for r in right])
+            yield more[i[keep]], y[keep]
+
+
+def _looked_up(a: np.ndarray, b: np.ndarray, masks: list[np.ndarray], radius: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within the radius, some of them more than once: only pairs that are near in a part are compared."""
+    for part, (ka, kb, near_keys) in enumerate(zip(_keys(a), _keys(b), masks, strict=True)):
+        by_a, by_b = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        left, right = a[by_a], b[by_b]
+        for x, y in _together(_near_in_part(left, right, part, near_keys, radius, own)):
+            keep = np.bitwise_count(left[x] ^ right[y]).sum(axis=1, dtype=np.int64) <= radius
+            yield by_a[x[keep]], by_b[y[keep]]
+
+
+def _by_tiles(a: np.ndarray, b: np.ndarray, radius: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within the radius, of ordered fingerprints; every tile of a is compared with every one of b that its counts leave."""
+    (lo_a, hi_a), (lo_b, hi_b) = _boxes(a), _boxes(b)
+    for i in range(lo_a.shape[1]):
+        gap = np.maximum(0, np.maximum(lo_b - hi_a[:, i : i + 1], lo_a[:, i : i + 1] - hi_b))
+        left = a[i * TILE : (i + 1) * TILE]
+        for j in np.nonzero(_least_distance(gap) <= radius)[0]:
+            if not own or j >= i:
+                x, y = _close(left, b[j * TILE : (j + 1) * TILE], radius)
+                yield x + i * TILE, y + j * TILE
+
+
 def close_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs within the radius, of a with b or of a with itself, by first words. Fingerprints are words, or rows of words."""
     own = b is None
@@ -132,21 +245,20 @@ def close_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.n
     b = a if own else _ordered(b.reshape(len(b), -1))
     both = a if own else np.concatenate([a, b])
     shift = 0 if own else len(a)
-    (lo_a, hi_a), (lo_b, hi_b) = _boxes(a), _boxes(b)
+    masks = [_masks(most) for most in _allowed(radius, a.shape[1] * 64 // KEY)]
+    if not own and len(a) > len(b):
+        pairs = _looked_up(b, a, masks, radius, own) if _lookup_pays(b, a, masks) else None
+        pairs = ((y, x) for x, y in pairs) if pairs else None
+    else:
+        pairs = _looked_up(a, b, masks, radius, own) if _lookup_pays(a, b, masks) else None
     found: list[tuple[np.ndarray, np.ndarray]] = []
     lab, held = np.arange(len(both)), 0
-    for i in range(lo_a.shape[1]):
-        gap = np.maximum(0, np.maximum(lo_b - hi_a[:, i : i + 1], lo_a[:, i : i + 1] - hi_b))
-        left = a[i * TILE : (i + 1) * TILE]
-        for j in np.nonzero(_least_distance(gap) <= radius)[0]:
-            if own and j < i:
-                continue
-            x, y = _close(left, b[j * TILE : (j + 1) * TILE], radius)
-            x, y = x + i * TILE, y + j * TILE + shift
-            keep = lab[x] != lab[y]
-            if keep.any():
-                found.append((x[keep], y[keep]))
-                held += int(keep.sum())
+    for x, y in pairs or _by_tiles(a, b, radius, own):
+        y = y + shift
+        keep = lab[x] != lab[y]
+        if keep.any():
+            found.append((x[keep], y[keep]))
+            held += int(keep.sum())
         if held > 1_000_000:
             lab, found, held = _merge(lab, found), [], 0
     lab = _merge(lab, found)

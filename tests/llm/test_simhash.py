@@ -100,6 +100,48 @@ def test_tiles_find_every_link():
     assert (lab == want).all()
 
 
+def planted(rng, n, words, radius, near, hot=0):
+    """Random fingerprints, some others at most about ``radius`` bits from one of them, and ``hot`` about the first."""
+    base = rng.integers(0, 1 << 64, (n, words), dtype=np.uint64)
+    copies = base[np.concatenate([rng.integers(0, n, near), np.zeros(hot, np.int64)])]
+    for k, row in enumerate(copies):
+        for bit in rng.choice(64 * words, rng.integers(1, radius + 3 if k < near else 4), replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    both = np.concatenate([base, copies])
+    return both[rng.permutation(np.unique(both[:, 0], return_index=True)[1])]  # the first word names a fingerprint
+
+
+def forest_groups(fps, found):
+    at = {f: k for k, f in enumerate(fps[:, 0].tolist())}
+    return simhash.spanning(*(np.array([at[x] for x in side.tolist()], np.int64) for side in found), len(fps))
+
+
+@pytest.mark.parametrize(("words", "radius", "hot"), [(4, 42, 0), (4, 42, 300), (1, 4, 0), (1, 0, 0), (2, 9, 40), (3, 60, 0)])
+@pytest.mark.parametrize("pays", [True, False])
+def test_parts_find_every_link(monkeypatch, words, radius, hot, pays):
+    monkeypatch.setattr(simhash, "_lookup_pays", lambda *_: pays)
+    monkeypatch.setattr(simhash, "AT_ONCE", 50)
+    fps = planted(np.random.default_rng(words), 700, words, radius, 500, hot)
+    a, b = np.array_split(fps, [len(fps) // 3])
+    apart = np.bitwise_count(fps[:, None] ^ fps).sum(axis=2, dtype=np.int64)
+    own, two = np.nonzero(apart <= radius), np.nonzero(apart[: len(a), len(a) :] <= radius)
+    assert (forest_groups(fps, simhash.close_forest(fps, None, radius)) == simhash.spanning(*own, len(fps))).all()
+    want = simhash.spanning(two[0], two[1] + len(a), len(fps))
+    assert (forest_groups(fps, simhash.close_forest(a, b, radius)) == want).all()
+    assert (forest_groups(fps, simhash.close_forest(b, a, radius)) == want).all()
+
+
+def test_large_blocks_compare_few_pairs(monkeypatch):
+    tiles, close = [], simhash._close
+    monkeypatch.setattr(simhash, "_close", lambda *x: tiles.append(1) or close(*x))
+    fps = planted(np.random.default_rng(7), 24_000, 4, 40, 200)
+    simhash.close_forest(fps[:12_000], fps[12_000:], 42)
+    assert not tiles
+    hot = planted(np.random.default_rng(7), 3_000, 4, 40, 0, 9_000)
+    simhash.close_forest(hot, None, 42)  # most pairs are links, which parts would meet up to 16 times
+    assert tiles
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random"])
 def test_components(spark, shape):
     edges = {"path": [(i, i + 1) for i in range(200)], "star": [(500, i) for i in range(100)] + [(500, 500)], "random": [(i, i * 7919 % 101) for i in range(100)]}[shape]
